@@ -36,7 +36,7 @@ def bar_heads(flat: DataFrame) -> DataFrame:
     return heads.select(*BAR_KEY, *[F.col(f"head.{quoted(c)}").alias(c) for c in ["Price", *rest]])
 
 
-def _entry(bars: DataFrame, columns: Sequence[str] | None) -> Column:
+def entry_struct(bars: DataFrame, columns: Sequence[str] | None) -> Column:
     """What one lookback entry holds: time, the bar's columns and its lowest level."""
     plain = [c for c in bars.columns if c not in (SYMBOL, TIME, PROFILE, "index")]
     fields = {c: F.col(quoted(c)) for c in plain}
@@ -53,7 +53,7 @@ def with_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | N
     The entry is built before the window, so that a profile is read once per bar and the frame
     only moves what an entry holds.
     """
-    placed = bar_index(bars).withColumn("__entry", _entry(bars, columns))
+    placed = bar_index(bars).withColumn("__entry", entry_struct(bars, columns))
     return framed(
         placed, [SYMBOL], TIME, n, position="index",
         columns=lambda w: {"lookback": F.reverse(F.collect_list("__entry").over(w.rowsBetween(-n, -1)))},

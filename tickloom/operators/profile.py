@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import named, numeric_columns, text_columns, time_columns
 from tickloom.operators.dedup import duplicate_count
-from tickloom.operators.quantiles import exact_quantiles, long_form, quantile_columns
+from tickloom.operators.quantiles import exact_quantiles, long_form, number, quantile_columns
 from tickloom.operators.quality import null_counts
 
 BINS = 50
@@ -25,14 +25,10 @@ HIGH_CORRELATION = 0.7
 Stat = Callable[[Column], Column]
 
 
-def _number(c: str) -> Column:
-    return named(c).cast("double")
-
-
 def wide_stats(df: DataFrame, columns: Sequence[str], stats: Mapping[str, Stat]) -> DataFrame:
     """(column, stat...) rows out of a single aggregate over the table."""
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        make(_number(c)).alias(f"{i}__{name}") for i, c in enumerate(columns) for name, make in stats.items()
+        make(number(c)).alias(f"{i}__{name}") for i, c in enumerate(columns) for name, make in stats.items()
     ])
     return wide.select("rows", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), *[F.col(f"{i}__{name}").alias(name) for name in stats])
@@ -121,7 +117,7 @@ def moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def quantiles(df: DataFrame, columns: Sequence[str] | None = None,
               names: Mapping[str, float] | None = None) -> DataFrame:
     wanted = names or {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
-    return quantile_columns(long_form(df, columns or numeric_columns(df)), ["column"], wanted)
+    return quantile_columns(df, columns or numeric_columns(df), wanted)
 
 
 def _by_column(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -186,7 +182,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = B
               .agg(F.count(F.lit(1)).alias("n")))
     step = (F.col("hi") - F.col("lo")) / bins
     grid = ends.select("column", "lo", "hi", "total",
-                       F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
+                       F.explode(F.sequence(*[F.lit(i).cast("bigint") for i in (0, bins - 1)])).alias("bin"))
     filled = grid.join(counts, ["column", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return filled.select(
         "column", "bin", (F.col("lo") + F.col("bin") * step).alias("lo"),
@@ -218,7 +214,7 @@ def boxplot(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def normal_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     """Normal density with the column's mean and deviation at evenly spaced points."""
-    c = _number(column)
+    c = number(column)
     stats = df.agg(F.avg(c).alias("m"), F.stddev_samp(c).alias("s"), F.min(c).alias("lo"), F.max(c).alias("hi"))
     steps = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     x = F.col("lo") + F.col("i") * ((F.col("hi") - F.col("lo")) / (points - 1))
@@ -230,9 +226,9 @@ def normal_curve(df: DataFrame, column: str, points: int = 100) -> DataFrame:
 def qq(df: DataFrame, column: str, points: int = 99) -> DataFrame:
     """Sample quantiles on a fixed grid of probabilities next to those of a standard normal."""
     grid = [(i + 1) / (points + 1) for i in range(points)]
-    normal = F.create_map(*[F.lit(x) for p in grid for x in (p, NormalDist().inv_cdf(p))])
-    found = exact_quantiles(long_form(df, [column]), ["column"], grid)
-    return found.select("p", F.col("quantile").alias("sample_q"), F.element_at(normal, F.col("p")).alias("normal_q"))
+    found = exact_quantiles(df, [column], grid)
+    rows = [(p, found.get((column, p)), NormalDist().inv_cdf(p)) for p in grid]
+    return df.sparkSession.createDataFrame(rows, "p double, sample_q double, normal_q double")
 
 
 # -- relations -------------------------------------------------------------------------------
@@ -241,7 +237,7 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """Pearson r of every pair of table columns over rows where both are present."""
     chosen = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1:]]
-    wide = df.agg(*[F.corr(_number(a), _number(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[F.corr(number(a), number(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r"))
         for k, (a, b) in enumerate(pairs)])))

@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import named, seconds_between
-from tickloom.operators.quantiles import quantile_columns
+from tickloom.operators.quantiles import quantiles_of_counts
 from tickloom.operators.sequence import lagged
 from tickloom.schemas import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SYMBOL, TIME
+from tickloom.session import stage
 
 ISSUE, WARNING = "issue", "warning"
 GAP_FACTOR = 10
 OUTLIER_SIGMAS = 5
+# Seconds per piece when step sizes are ranked
+STEP_RANGE = 3600
 
 
 def schema_check(df: DataFrame) -> DataFrame:
@@ -50,10 +53,13 @@ def volume_check(df: DataFrame) -> DataFrame:
 
 
 def time_steps(df: DataFrame) -> DataFrame:
-    """Per symbol and distinct time: seconds since the previous one, and rows at that time."""
-    times = df.groupBy(SYMBOL, TIME).agg(F.count(F.lit(1)).alias("rows"))
-    return lagged(times, [SYMBOL], TIME, {"previous": TIME}).select(
-        SYMBOL, TIME, "rows", seconds_between("previous", TIME).alias("step"))
+    """Per symbol and distinct time: seconds since the previous one, and rows at that time.
+
+    Staged: the steps are read several times, the table behind them once.
+    """
+    times = stage(df.groupBy(SYMBOL, TIME).agg(F.count(F.lit(1)).alias("rows")), "times")
+    return stage(lagged(times, [SYMBOL], TIME, {"previous": TIME}).select(
+        SYMBOL, TIME, "rows", seconds_between("previous", TIME).alias("step")), "steps")
 
 
 def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR) -> DataFrame:
@@ -63,15 +69,16 @@ def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR) -> Da
     check did; rows that share a time are steps of zero, so they enter as a weight, not as rows.
     """
     steps = time_steps(df)
-    sizes = steps.select(F.lit("step").alias("what"), F.col("step").alias("value"), F.lit(1).alias("weight"))
+    known = steps.filter(F.col("step").isNotNull())
+    counts = known.groupBy(F.col("step").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     if grain == "level":
-        zeros = steps.agg(F.sum(F.col("rows") - 1).alias("weight")).filter(F.col("weight") > 0).select(
-            F.lit("step").alias("what"), F.lit(0).cast("bigint").alias("value"), F.col("weight"))
-        sizes = sizes.unionByName(zeros)
+        zeros = steps.agg(F.lit(0).cast("bigint").alias("value"), F.sum(F.col("rows") - 1).alias("n"))
+        counts = counts.unionByName(zeros.filter(F.col("n") > 0)).groupBy("value").agg(F.sum("n").alias("n"))
     elif grain != "bar":
         raise ValueError("grain is 'bar' or 'level'")
-    median = quantile_columns(sizes, ["what"], {"median_s": 0.5}, weight=F.col("weight"))
-    middle = median.agg(F.max("median_s")).scalar()
+    median = quantiles_of_counts(
+        counts.withColumn("column", F.lit("step")), [0.5], F.floor(F.col("value") / STEP_RANGE))
+    middle = F.lit(median.get(("step", 0.5))).cast("double")
     is_gap = F.col("step") > middle * factor
     return steps.agg(
         F.count_if(is_gap).alias("n_gaps"),

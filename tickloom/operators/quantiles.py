@@ -1,90 +1,154 @@
 """Exact quantiles that no single task has to hold.
 
-The built-in exact `percentile` keeps every distinct value of a group in one hash map. Here a
-sketch only proposes cut values around each wanted rank; exact counts then decide which piece
-between two cuts holds the rank, and only that piece is sorted. If the sketch were off, a larger
-piece would be sorted, and the result would still be exact.
+The built-in exact `percentile` keeps every distinct value of a column in one hash map. Here a
+sketch proposes a narrow bracket of values around each wanted rank. One exact pass then counts
+the values: inside a bracket value by value, outside as one count per piece between brackets.
+Ranks follow from prefix sums. A rank that falls outside its bracket (the sketch was off) is
+looked for again with a wider one, up to all values, so results never depend on the sketch.
+
+Like `DataFrame.approxQuantile`, these functions run jobs and return a table whose size is the
+number of columns times the number of probabilities.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+from tickloom.functions.columns import quoted
 
+# The largest sketch size; its rank error is about 1e-4, and brackets are wider than that.
+SKETCH_SIZE = 65_535
+MARGIN = 2.5e-4
+WIDEN = 20
 
-def long_form(df: DataFrame, columns: Sequence[str], drop_null: bool = True) -> DataFrame:
-    """(column, value) rows of the named numeric columns, as doubles."""
-    cast = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    rows = cast.unpivot([], [F.col(f"`{c}`") for c in columns], "column", "value")
-    return rows.filter(F.col("value").isNotNull()) if drop_null else rows
 
+def number(name: str) -> Column:
+    """A numeric column as double; NaN counts as missing."""
+    value = F.col(quoted(name)).cast("double")
+    return F.when(~F.isnan(value), value)
 
-def exact_quantiles(rows: DataFrame, by: Sequence[str], probabilities: Sequence[float], value: str = "value",
-                    weight: Column | None = None, accuracy: int = ACCURACY, few_groups: bool = True) -> DataFrame:
-    """(by..., p, quantile), linearly interpolated between order statistics.
 
-    `weight` counts a row more than once. `few_groups` says that the number of groups is
-    bounded by the schema, such as one group per column, so that one small row per group may be
-    broadcast; otherwise Spark decides by measured size.
+def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value) rows of the named numeric columns, without NULLs."""
+    rows = df.select(*[number(c).alias(c) for c in columns]).unpivot(
+        [], [F.col(quoted(c)) for c in columns], "column", "value")
+    return rows.filter(F.col("value").isNotNull())
+
+
+def _brackets(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
+              margin: float) -> dict[str, list[tuple[float, float]]]:
+    """Per column with values: half-open value ranges that should hold the wanted ranks."""
+    points = [min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-margin, margin)]
+    row = df.agg(*[
+        F.when(F.count(number(c)) > 0, F.kll_sketch_get_quantile_double(
+            F.kll_sketch_agg_double(number(c), F.lit(SKETCH_SIZE)), F.lit(points))).alias(str(i))
+        for i, c in enumerate(columns)
+    ]).first()
+    found = {}
+    for i, c in enumerate(columns):
+        if row[i] is not None:
+            # A bracket that reaches the end of the ranks is open there.
+            lows = [v if p > 0 else -math.inf for v, p in zip(row[i][::2], points[::2])]
+            highs = [math.nextafter(v, math.inf) if p < 1 else math.inf
+                     for v, p in zip(row[i][1::2], points[1::2])]
+            found[c] = list(zip(lows, highs))
+    return found
+
+
+def _piece(value: Column, brackets: list[tuple[float, float]]) -> Column:
+    """Number of the piece a value lies in, ascending; odd inside a bracket, even outside."""
+    cuts = sorted({x for b in brackets for x in b if math.isfinite(x)})
+
+    def code(k: int) -> int:
+        start = cuts[k - 1] if k else -math.inf
+        return 2 * k + any(lo <= start < hi for lo, hi in brackets)
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(code(lo))
+        middle = (lo + hi) // 2
+        return F.when(value < F.lit(cuts[middle]), search(lo, middle)).otherwise(search(middle + 1, hi))
+
+    return search(0, len(cuts))
+
+
+def _at_ranks(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """Order statistics at the ranks around each probability.
+
+    `counts` has (column, piece, value, n), at most one NULL value per piece. Returns
+    (column, p, up, part, value): value is NULL where a rank lies among uncounted values.
     """
-    by = list(by)
-    hint = F.broadcast if few_groups else (lambda frame: frame)
-    data = rows.filter(F.col(value).isNotNull()).select(
-        *by, F.col(value).cast("double").alias("__v"),
-        (F.lit(1) if weight is None else weight).cast("bigint").alias("__w"),
-    )
-    margin = 2.0 / accuracy
-    points = sorted({min(max(p + d, 0.0), 1.0) for p in probabilities for d in (-margin, margin)})
-    cuts = data.groupBy(*by).agg(
-        F.percentile_approx("__v", [float(p) for p in points], accuracy).alias("__cuts"))
-    piece = F.lit(0)
-    for i in range(len(points)):
-        piece = piece + F.when(F.col("__v") >= F.get("__cuts", F.lit(i)), 1).otherwise(0)
-    pieces = data.join(hint(cuts), by).select(*by, "__v", "__w", piece.alias("__piece"))
-
-    totals = pieces.groupBy(*by, "__piece").agg(F.sum("__w").alias("__c"))
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = totals.select(
-        *by, "__piece", "__c",
-        F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"),
-        (F.sum("__c").over(group) - 1).alias("__last"),
+    per_piece = counts.groupBy("column", "piece").agg(F.sum("n").alias("c"))
+    group = Window.partitionBy("column")
+    earlier = group.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per_piece.select(
+        "column", "piece", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"),
+        (F.sum("c").over(group) - 1).alias("last"))
+    inside = (Window.partitionBy("column", "piece").orderBy("value")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = (
+        counts.withColumn("upto", F.sum("n").over(inside)).join(placed, ["column", "piece"])
+        .withColumn("end", F.col("before") + F.col("upto")).withColumn("start", F.col("end") - F.col("n"))
     )
-
-    def rank(p: float, up: bool) -> Column:
-        at = F.lit(float(p)) * F.col("__last")
-        whole = F.ceil(at) if up else F.floor(at)
-        return F.struct(F.lit(float(p)).alias("p"), F.lit(up).alias("up"), whole.cast("bigint").alias("rank"),
-                        (at - F.floor(at)).alias("part"))
-
-    targets = placed.withColumn(
-        "__t", F.explode(F.array(*[rank(p, up) for p in probabilities for up in (False, True)]))
-    ).filter((F.col("__t.rank") >= F.col("__before")) & (F.col("__t.rank") < F.col("__before") + F.col("__c")))
-    wanted = targets.groupBy(*by, "__piece", "__before").agg(F.collect_list("__t").alias("__targets"))
-
-    # What a piece carries is part of the key: the only buffer is a sum, so values combine by hash.
-    inside = (pieces.join(hint(wanted), [*by, "__piece"])
-              .groupBy(*by, "__piece", "__before", "__targets", "__v").agg(F.sum("__w").alias("__c")))
-    upto = (Window.partitionBy(*by, "__piece").orderBy("__v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = (
-        inside.withColumn("__end", F.sum("__c").over(upto) + F.col("__before"))
-        .withColumn("__t", F.explode("__targets"))
-        .filter((F.col("__t.rank") < F.col("__end")) & (F.col("__t.rank") >= F.col("__end") - F.col("__c")))
+    at = F.col("p") * F.col("last")
+    targets = (
+        spans.withColumn("p", F.explode(F.lit([float(p) for p in probabilities])))
+        # A rank within one of this span, before the exact comparison below
+        .filter((at > F.col("start") - 1) & (at < F.col("end") + 1))
+        .withColumn("up", F.explode(F.lit([False, True])))
+        .withColumn("rank", F.when(F.col("up"), F.ceil(at)).otherwise(F.floor(at)))
     )
-    low = F.max(F.when(~F.col("__t.up"), F.col("__v")))
-    high = F.max(F.when(F.col("__t.up"), F.col("__v")))
-    return found.groupBy(*by, F.col("__t.p").alias("p")).agg(
-        (low + (high - low) * F.max("__t.part")).alias("quantile"))
-
-
-def quantile_columns(rows: DataFrame, by: Sequence[str], names: Mapping[str, float], **options) -> DataFrame:
-    """One row per group with a column for each named quantile."""
-    found = exact_quantiles(rows, by, sorted(set(names.values())), **options)
-    return found.groupBy(*by).agg(*[
-        F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(n) for n, p in names.items()
-    ])
+    hit = targets.filter((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end")))
+    return hit.select("column", "p", "up", (at - F.floor(at)).alias("part"), "value")
+
+
+def _interpolated(rows) -> dict[tuple[str, float], float | None]:
+    ends: dict[tuple[str, float], dict[bool, tuple]] = {}
+    for r in rows:
+        ends.setdefault((r["column"], r["p"]), {})[r["up"]] = (r["value"], r["part"])
+    result = {}
+    for key, found in ends.items():
+        (low, part), (high, _) = found[False], found[True]
+        result[key] = None if low is None or high is None else low + (high - low) * part
+    return result
+
+
+def quantiles_of_counts(counts: DataFrame, probabilities: Sequence[float],
+                        piece: Column) -> dict[tuple[str, float], float | None]:
+    """Quantiles of (column, value, n) rows, one per value; `piece` must not decrease along value."""
+    return _interpolated(_at_ranks(counts.withColumn("piece", piece), probabilities).collect())
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float],
+                    margin: float = MARGIN) -> dict[tuple[str, float], float | None]:
+    """{(column, p): quantile}, linearly interpolated; a column without values is left out."""
+    columns, wanted = list(columns), sorted(set(probabilities))
+    result: dict[tuple[str, float], float | None] = {}
+    while columns:
+        brackets = _brackets(df, columns, wanted, margin)
+        columns = list(brackets)
+        if not columns:
+            break
+        coded = df.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), number(c).alias("value"),
+                     _piece(number(c), brackets[c]).alias("piece")) for c in columns
+        ]))).filter(F.col("value").isNotNull())
+        counts = coded.groupBy(
+            "column", "piece", F.when(F.col("piece") % 2 == 1, F.col("value")).alias("value")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        result.update(_interpolated(_at_ranks(counts, wanted).collect()))
+        columns = sorted({c for (c, _), q in result.items() if q is None})
+        margin = max(margin * WIDEN, MARGIN)
+    return result
+
+
+def quantile_columns(df: DataFrame, columns: Sequence[str], names: Mapping[str, float]) -> DataFrame:
+    """One row per column with a field for each named quantile."""
+    found = exact_quantiles(df, columns, list(names.values()))
+    rows = [(c, *[found.get((c, float(p))) for p in names.values()]) for c in columns]
+    schema = "column string, " + ", ".join(f"`{n}` double" for n in names)
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tickloom.operators import profile as P
 from tickloom.plans import inputs as I
-from tickloom.plans.base_sql import TAPE_DAILY, bars_cte, with_ctes
+from tickloom.plans.base_sql import BARS, TAPE, with_ctes
 from tickloom.plans.inputs import DIRTY_EVENTS_SQL, LINEITEM_NUMBERS
 from tickloom.plans.registry import query, rounded, significant
 from tickloom.sources.tape import table
@@ -208,13 +208,12 @@ _BAR_PRICES = ["Open", "High", "Low", "Close", "Volume", "Delta"]
 _BAR_PAIRS = [(a, b) for i, a in enumerate(_BAR_PRICES) for b in _BAR_PRICES[i + 1:]]
 
 
-@query("eda_corr_high", with_ctes(TAPE_DAILY, bars_cte(
-    "bars", "tape_daily", "1 day", "(l_orderkey, l_linenumber, l_partkey, l_suppkey, price, size)")) + """
+@query("eda_corr_high", with_ctes(TAPE, BARS) + """
 SELECT * FROM (""" + "\nUNION ALL\n".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS r FROM bars" for a, b in _BAR_PAIRS)
        + ") WHERE abs(r) > 0.7")
 def eda_corr_high(spark, sf):
-    return rounded(P.high_correlation(I.daily_bars(spark, sf), _BAR_PRICES), 6, "r")
+    return rounded(P.high_correlation(I.bars(spark, sf), _BAR_PRICES), 6, "r")
 
 
 @query("eda_pairs", "SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_quantity IS NOT NULL "

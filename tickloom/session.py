@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", name: str = "tickloom", partitions: int = 8, **conf) -> SparkSession:
@@ -18,6 +18,7 @@ def local_session(cores: str = "*", name: str = "tickloom", partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TICKLOOM_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():
@@ -44,3 +45,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def checkpoint_location(spark: SparkSession, label: str | None = None) -> str:
     """A stream's own folder below the shared root; a stable label lets it resume."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label or uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a reduced table to the shared folder and read it back.
+
+    For tables that later steps read several times: the input behind them is then scanned once,
+    and a lost executor costs a re-read of this table, not of the input.
+    """
+    spark = df.sparkSession
+    path = checkpoint_location(spark, f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
