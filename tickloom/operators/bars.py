@@ -42,7 +42,7 @@ def ohlcv(tape: DataFrame, width: str = DEFAULT_WIDTH, order: Sequence[str] = TA
     is_large_bid = (F.col("side") == "bid") & (F.col("size") >= large)
     is_large_ask = (F.col("side") == "ask") & (F.col("size") >= large)
     none = F.lit(0)
-    return in_bars(tape, width).groupBy(*BAR_KEY).agg(
+    aggregates = [
         F.min_by("price", key).alias("Open"),
         F.max("price").alias("High"),
         F.min("price").alias("Low"),
@@ -54,7 +54,12 @@ def ohlcv(tape: DataFrame, width: str = DEFAULT_WIDTH, order: Sequence[str] = TA
         F.coalesce(F.sum(_large(F.col("size"), large)), none).alias("LTTotalVol"),
         F.coalesce(F.sum(F.when(is_large_bid, F.col("size"))), none).alias("LargeBidTrade"),
         F.coalesce(F.sum(F.when(is_large_ask, F.col("size"))), none).alias("LargeAskTrade"),
-    )
+    ]
+    if not tape.isStreaming:
+        return in_bars(tape, width).groupBy(*BAR_KEY).agg(*aggregates)
+    # Only a group on the window itself lets the watermark close bars.
+    made = tape.groupBy(SYMBOL, F.window("ts", width).alias("bar")).agg(*aggregates)
+    return made.select(SYMBOL, F.col("bar.start").alias(TIME), *made.columns[2:])
 
 
 def _level_totals(binned: DataFrame, *extra: Column) -> DataFrame:
@@ -108,8 +113,15 @@ def nested_bars(tape: DataFrame, width: str = DEFAULT_WIDTH, order: Sequence[str
 
 
 def with_cumulative_delta(bars: DataFrame) -> DataFrame:
-    """Running delta over all bars of a symbol, never reset."""
-    return running(bars, [SYMBOL], TIME, {"CumulativeDelta": F.col("Delta")})
+    """Running delta over all bars of a symbol, never reset; adds position and closed flag too.
+
+    All come from one prefix sum: `index` is the bar's 0-based position, which operators behind
+    this one use instead of counting again, and IsBarClosed is false on the latest bar.
+    """
+    placed = running(bars, [SYMBOL], TIME, {"index": F.lit(1), "CumulativeDelta": F.col("Delta")},
+                     totals={"__bars": "index"})
+    return (placed.withColumn("index", (F.col("index") - 1).cast("bigint"))
+            .withColumn(HELPER_COLUMNS[0], F.col("index") < F.col("__bars") - 1).drop("__bars"))
 
 
 def with_session_delta(bars: DataFrame) -> DataFrame:
@@ -141,16 +153,12 @@ def with_rvol(bars: DataFrame, n: int = RVOL_BARS) -> DataFrame:
 
 
 def with_studies(bars: DataFrame, rvol_bars: int = RVOL_BARS) -> DataFrame:
-    """All study columns on bars that carry delta and large-trade volumes.
+    """All study columns on bars that carry delta and large-trade volumes, and the closed flag.
 
-    Position and cumulative delta share one prefix sum, so `bars` is evaluated once for the
+    Position, cumulative delta and flag share one prefix sum, so `bars` is evaluated once for the
     rows and once, narrow, for the daily totals.
     """
-    placed = running(bars, [SYMBOL], TIME, {"__at": F.lit(1), "CumulativeDelta": F.col("Delta")})
-    placed = placed.withColumn("__at", F.col("__at") - 1)
-    framed_bars = framed(placed, [SYMBOL], TIME, rvol_bars, lambda w: {"RVOL": _rvol(w, rvol_bars)},
-                         position="__at")
-    return with_today_levels(framed_bars.drop("__at"))
+    return with_today_levels(with_rvol(with_cumulative_delta(bars), rvol_bars))
 
 
 def with_closed_flag(bars: DataFrame) -> DataFrame:
@@ -166,8 +174,9 @@ def closed_bars(bars: DataFrame) -> DataFrame:
 
 def vendor_bars(tape: DataFrame, width: str = DEFAULT_WIDTH, order: Sequence[str] = TAPE_ORDER) -> DataFrame:
     """Bars under the vendor's column names, profile included."""
-    named = with_closed_flag(with_studies(nested_bars(tape, width, order)))
-    return named.withColumnsRenamed({ours: theirs for theirs, ours in VENDOR_NAMES.items()}).drop("Trades")
+    named = with_studies(nested_bars(tape, width, order))
+    return named.withColumnsRenamed({ours: theirs for theirs, ours in VENDOR_NAMES.items()}).drop(
+        "Trades", "index")
 
 
 def study_columns(bars: DataFrame, studies: dict[int, list[int]] | None = None) -> DataFrame:

@@ -149,10 +149,10 @@ def percent_rank(bars: DataFrame, column: str, keys: Sequence[str] = (SYMBOL,),
     """
     keys = list(keys)
     counts = bars.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running(counts, keys, column, {"__upto": F.col("__n")}, chunk=F.floor(F.col(column) / step))
-    totals = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all"))
+    ranked = running(counts, keys, column, {"__upto": F.col("__n")}, F.floor(F.col(column) / step),
+                     {"__all": "__upto"})
     share = (F.col("__upto") - F.col("__n")) / F.nullif(F.col("__all") - 1, F.lit(0))
-    values = ranked.join(totals, keys).select(*keys, column, F.coalesce(share, F.lit(0.0)).alias("PercentRank"))
+    values = ranked.select(*keys, column, F.coalesce(share, F.lit(0.0)).alias("PercentRank"))
     return bars.join(values, [*keys, column])
 
 

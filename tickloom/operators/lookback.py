@@ -53,7 +53,8 @@ def with_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | N
     The entry is built before the window, so that a profile is read once per bar and the frame
     only moves what an entry holds.
     """
-    placed = bar_index(bars).withColumn("__entry", entry_struct(bars, columns))
+    placed = bars if "index" in bars.columns else bar_index(bars)
+    placed = placed.withColumn("__entry", entry_struct(bars, columns))
     return framed(
         placed, [SYMBOL], TIME, n, position="index",
         columns=lambda w: {"lookback": F.reverse(F.collect_list("__entry").over(w.rowsBetween(-n, -1)))},

@@ -36,6 +36,11 @@ def wide_stats(df: DataFrame, columns: Sequence[str], stats: Mapping[str, Stat])
     ])))
 
 
+def _known(stats: DataFrame) -> DataFrame:
+    """A table of one row per column, computed now: what reads it several times scans once."""
+    return stats.sparkSession.createDataFrame(stats.collect(), stats.schema)
+
+
 def sample_skewness(c: Column) -> Column:
     """Bias-corrected skewness; NULL below three values."""
     n = F.count(c).cast("double")
@@ -172,7 +177,7 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = B
     """Equal-width bins over [min, max], the last one closed; empty bins are kept."""
     chosen = list(columns or numeric_columns(df))
     rows = long_form(df, chosen)
-    ends = wide_stats(df, chosen, {"lo": F.min, "hi": F.max, "total": F.count}).filter("total > 0")
+    ends = _known(wide_stats(df, chosen, {"lo": F.min, "hi": F.max, "total": F.count}).filter("total > 0"))
     flat = F.col("lo") == F.col("hi")
     ends = ends.select("column", "total", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
                        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))

@@ -87,12 +87,17 @@ def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR) -> Da
     )
 
 
+def _beyond(column: str, mean: float | None, std: float | None, sigmas: float) -> Column:
+    low, high = (None, None) if mean is None or std is None else (mean - sigmas * std, mean + sigmas * std)
+    value = F.col(column)
+    return (value > F.lit(high).cast("double")) | (value < F.lit(low).cast("double"))
+
+
 def outlier_check(df: DataFrame, column: str = "Close", sigmas: float = OUTLIER_SIGMAS) -> DataFrame:
     """Rows further than `sigmas` sample standard deviations from the mean."""
-    stats = df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
-    mean, std = stats.select("mean").scalar(), stats.select("std").scalar()
-    far = (F.col(column) > mean + sigmas * std) | (F.col(column) < mean - sigmas * std)
-    return df.agg(F.count_if(far).alias("n"), F.max(mean).alias("mean"), F.max(std).alias("std"))
+    mean, std = df.agg(F.avg(column), F.stddev_samp(column)).first()
+    return df.agg(F.count_if(_beyond(column, mean, std, sigmas)).alias("n"),
+                  F.max(F.lit(mean)).cast("double").alias("mean"), F.max(F.lit(std)).cast("double").alias("std"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -118,43 +123,48 @@ def backward_steps(df: DataFrame, sequence: str, time: str, block: int = 65_536)
                  .alias("n_backward_steps")))
 
 
-def _finding(df: DataFrame, check: str, severity: str, n: Column | str, column: Column | str | None = None,
-             detail: Column | None = None, pct: Column | None = None) -> DataFrame:
-    text = F.lit(None).cast("string")
-    return df.select(
-        F.lit(check).alias("check"), F.lit(severity).alias("severity"),
-        (text if column is None else column if isinstance(column, Column) else F.lit(column)).alias("column"),
-        (n if isinstance(n, Column) else F.col(n)).cast("bigint").alias("n"),
-        (F.lit(None).cast("double") if pct is None else pct).alias("pct"),
-        (text if detail is None else detail.cast("string")).alias("detail"),
-    )
+REPORT = "check string, severity string, column string, n bigint, pct double, detail string"
 
 
 def report(df: DataFrame, grain: str = "bar") -> DataFrame:
-    """All findings as rows (check, severity, column, n, pct, detail); checks that pass add none."""
+    """All findings as rows (check, severity, column, n, pct, detail); checks that pass add none.
+
+    Three passes over the table: one aggregate for counts and moments, one for the outliers that
+    need those moments, one that reduces it to its time steps. The report itself is a few rows.
+    """
     have = set(df.columns)
-    schema = schema_check(df).filter(~F.col("present"))
-    parts = [
-        schema.select(
-            F.when(F.col("severity") == ISSUE, "required_columns").otherwise("optional_columns").alias("check"),
-            "severity", "column", F.lit(1).cast("bigint").alias("n"),
-            F.lit(None).cast("double").alias("pct"), F.lit(None).cast("string").alias("detail")),
-        _finding(null_counts(df), "nulls", WARNING, "nulls", F.col("column"), pct=F.col("pct")),
+    rows: list[tuple] = [
+        ("required_columns" if severity == ISSUE else "optional_columns", severity, c, 1, None, None)
+        for names, severity in ((REQUIRED_COLUMNS, ISSUE), (OPTIONAL_COLUMNS, WARNING))
+        for c in names if c not in have
     ]
+    counts = {f"null {i}": F.count_if(named(c).isNull()) for i, c in enumerate(df.columns)}
+    counts["rows"] = F.count(F.lit(1))
     if {"Open", "High", "Low", "Close"} <= have:
-        parts.append(_finding(ohlc_check(df), "ohlc", ISSUE, "n_bad").filter(F.col("n") > 0))
+        counts["ohlc"] = F.count_if(bad_ohlc())
     if "Volume" in have:
-        parts.append(_finding(volume_check(df), "volume", ISSUE, "n_bad", "Volume").filter(F.col("n") > 0))
+        counts["volume"] = F.count_if(F.col("Volume") < 0)
+    if "Close" in have:
+        counts["mean"], counts["std"] = F.avg("Close"), F.stddev_samp("Close")
+    found = df.agg(*[c.alias(name) for name, c in counts.items()]).first().asDict()
+    for i, c in enumerate(df.columns):
+        if found[f"null {i}"]:
+            share = found[f"null {i}"] * 100.0 / found["rows"]
+            rows.append(("nulls", WARNING, c, found[f"null {i}"], share, None))
+    for check, column in (("ohlc", None), ("volume", "Volume")):
+        if found.get(check):
+            rows.append((check, ISSUE, column, found[check], None, None))
     if {SYMBOL, TIME} <= have:
-        detail = F.concat(F.lit("median "), F.col("median_s").cast("bigint"), F.lit(" s, largest "),
-                          F.col("max_gap_s"), F.lit(" s"))
-        parts.append(_finding(gap_check(df, grain), "gaps", WARNING, "n_gaps", TIME, detail).filter(F.col("n") > 0))
+        gaps = gap_check(df, grain).first()
+        if gaps["n_gaps"]:
+            detail = f"median {gaps['median_s']:g} s, largest {gaps['max_gap_s']} s"
+            rows.append(("gaps", WARNING, TIME, gaps["n_gaps"], None, detail))
     if "Close" in have:
-        parts.append(_finding(outlier_check(df), "outliers", WARNING, "n", "Close").filter(F.col("n") > 0))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged
+        far = _beyond("Close", found["mean"], found["std"], OUTLIER_SIGMAS)
+        outliers = df.agg(F.count_if(far)).first()[0]
+        if outliers:
+            rows.append(("outliers", WARNING, "Close", outliers, None, None))
+    return df.sparkSession.createDataFrame(rows, REPORT)
 
 
 def verdict(report_rows: DataFrame) -> bool:

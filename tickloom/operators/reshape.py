@@ -107,9 +107,6 @@ def train_test_split(bars: DataFrame, test: float = 0.2) -> DataFrame:
 
     Only distinct times and their daily counts meet in a window.
     """
-    times = bars.select(TIME).distinct()
-    placed = with_position(times, [], TIME)
-    total = times.agg(F.count(F.lit(1)).alias("n")).scalar()
-    cut = (placed.filter(F.col("__pos") <= (1 - F.lit(test)) * (total - 1))
-           .agg(F.max(TIME).alias("cut")).scalar())
+    times = with_position(bars.select(TIME).distinct(), [], TIME, "at", total="n")
+    cut = times.filter(F.col("at") <= (1 - F.lit(test)) * (F.col("n") - 1)).agg(F.max(TIME)).scalar()
     return bars.withColumn("split", F.when(F.col(TIME) <= cut, "train").otherwise("test"))

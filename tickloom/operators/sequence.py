@@ -25,34 +25,37 @@ BLOCK = 4096
 _CHUNK, _POS, _BLOCK, _HALO = "__chunk", "__pos", "__block", "__halo"
 
 
-def _equal_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys), "inner")
-
-
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, Column],
-            chunk: Column | None = None) -> DataFrame:
-    """Add inclusive running sums per key. `chunk` must not decrease along `order`."""
-    keys = list(keys)
+            chunk: Column | None = None, totals: Mapping[str, str] | None = None) -> DataFrame:
+    """Add inclusive running sums per key. `chunk` must not decrease along `order`.
+
+    `totals` adds a key's final sum as well: {new name: name in sums}.
+    """
+    keys, totals = list(keys), dict(totals or {})
     chunked = df.withColumn(_CHUNK, day(order) if chunk is None else chunk)
-    totals = chunked.groupBy(*keys, _CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
-    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _CHUNK, *[
-        F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums
-    ])
+    per_chunk = chunked.groupBy(*keys, _CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(
+        *keys, _CHUNK,
+        *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums],
+        *[F.sum(f"__t_{n}").over(whole).alias(out) for out, n in totals.items()],
+    )
     inside = (Window.partitionBy(*keys, _CHUNK).orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = chunked.select("*", *[F.sum(v).over(inside).alias(f"__i_{n}") for n, v in sums.items()])
-    joined = _equal_keys(local, offsets, [*keys, _CHUNK])
+    joined = local.join(offsets, [*keys, _CHUNK])
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums],
+        *totals,
     )
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = _POS,
-                  chunk: Column | None = None) -> DataFrame:
-    """0-based position of every row in its key's sequence."""
-    counted = running(df, keys, order, {out: F.lit(1)}, chunk)
+                  chunk: Column | None = None, total: str | None = None) -> DataFrame:
+    """0-based position of every row in its key's sequence, and with `total` the number of rows."""
+    counted = running(df, keys, order, {out: F.lit(1)}, chunk, {total: out} if total else None)
     return counted.withColumn(out, (F.col(out) - 1).cast("bigint"))
 
 
@@ -61,10 +64,12 @@ def framed(df: DataFrame, keys: Sequence[str], order: str, back: int,
            block: int | None = None, chunk: Column | None = None) -> DataFrame:
     """Add window columns whose frames reach at most `back` rows into the past.
 
-    `columns` gets the ordered window and returns name -> column. Pass `position` when the
-    rows already carry their 0-based position.
+    `columns` gets the ordered window and returns name -> column. Rows that already carry their
+    0-based position, in `position` or in a column `index`, are not counted again.
     """
     keys = list(keys)
+    if position is None and "index" in df.columns:
+        position = "index"
     size = max(block or BLOCK, 4 * back)
     base = df if position else with_position(df, keys, order, chunk=chunk)
     pos = F.col(position or _POS)
