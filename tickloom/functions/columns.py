@@ -77,17 +77,27 @@ def first_date_column(df: DataFrame, probe: int = 10) -> str | None:
     return None
 
 
+def _seconds_of_day(clock: str) -> int:
+    hours, minutes, seconds = (int(x) for x in clock.split(":"))
+    return hours * 3600 + minutes * 60 + seconds
+
+
 def in_time_of_day(time: str, start: str, end: str) -> Column:
     """Time of day inside [start, end]; wraps past midnight when start is later than end."""
-    clock = F.date_format(time, "HH:mm:ss.SSSSSS")
-    lo, hi = (F.lit(t + ".000000") for t in (start, end))
-    return clock.between(lo, hi) if start <= end else (clock >= lo) | (clock <= hi)
+    second = F.expr(f"extract(SECOND FROM {quoted(time)})")
+    clock = F.hour(time) * 3600 + F.minute(time) * 60 + second
+    lo, hi = _seconds_of_day(start), _seconds_of_day(end)
+    return clock.between(lo, hi) if lo <= hi else (clock >= lo) | (clock <= hi)
+
+
+def time_text(time: str = TIME) -> Column:
+    """yyyy-MM-dd HH:mm:ss, whatever the session's zone."""
+    return F.substring(F.col(quoted(time)).cast("string"), 1, 19)
 
 
-def seconds_between(start: str | Column, end: str | Column) -> Column:
+def seconds_between(start: str, end: str) -> Column:
     """Whole seconds from start to end."""
-    return F.timestamp_diff("SECOND", start if isinstance(start, Column) else F.col(start),
-                            end if isinstance(end, Column) else F.col(end))
+    return F.expr(f"CAST(CAST({quoted(end)} - {quoted(start)} AS INTERVAL SECOND) AS BIGINT)")
 
 
 def day(time: str = TIME) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.columns import bar_start, day, side_volume
 from tickloom.operators.sequence import framed, latest_per_key, running
@@ -24,8 +26,25 @@ def in_bars(tape: DataFrame, width: str = DEFAULT_WIDTH) -> DataFrame:
     return tape.withColumn(TIME, bar_start("ts", width))
 
 
-def _trade_key(order: Sequence[str]) -> Column:
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+def _trade_key(tape: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable value per trade.
+
+    A struct would do, but aggregates over structs sort their input. A time and a whole number,
+    the usual order, fit one decimal, and decimals aggregate by hash: microseconds take the upper
+    18 digits, the number, shifted to be positive, the lower 20.
+    """
+    kinds = [tape.schema[c].dataType for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    # Zone-free times have exact microseconds only where the session adds no zone of its own.
+    exact = isinstance(kinds[0], T.TimestampType) or (
+        isinstance(kinds[0], T.TimestampNTZType)
+        and tape.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z"))
+    if len(order) == 2 and exact and isinstance(kinds[1], T.IntegralType):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(18,0)")
+        number = F.col(order[1]).cast("decimal(20,0)") + F.lit(Decimal(2 ** 63)).cast("decimal(20,0)")
+        return micros * F.lit(Decimal(10 ** 20)).cast("decimal(21,0)") + number
+    return F.struct(*order)
 
 
 def _large(value: Column, threshold: int) -> Column:
@@ -38,7 +57,7 @@ def ohlcv(tape: DataFrame, width: str = DEFAULT_WIDTH, order: Sequence[str] = TA
 
     Every aggregate combines map-side, so a busy bar ships one row per input partition.
     """
-    key = _trade_key(order)
+    key = _trade_key(tape, order)
     is_large_bid = (F.col("side") == "bid") & (F.col("size") >= large)
     is_large_ask = (F.col("side") == "ask") & (F.col("size") >= large)
     none = F.lit(0)
@@ -84,7 +103,7 @@ def nested_bars(tape: DataFrame, width: str = DEFAULT_WIDTH, order: Sequence[str
     Trades collapse to price levels first; bars are then built from levels, which are far
     fewer. A profile holds one entry per distinct tick price of its bar.
     """
-    key = _trade_key(order)
+    key = _trade_key(tape, order)
     size = F.col("size")
     big = size >= large
     levels = _level_totals(

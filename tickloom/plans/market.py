@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tickloom.functions.columns import time_text
 from tickloom.operators import bars as B
 from tickloom.operators import dedup as D
 from tickloom.operators import lookback as L
@@ -138,7 +139,7 @@ def study_columns(spark, sf):
 
 @query("vbp_scan", ON_LEVELS + "SELECT symbol, DateTime AS ts, price FROM levels")
 def vbp_scan(spark, sf):
-    text = I.levels(spark, sf).withColumn(TIME, F.date_format(TIME, "yyyy-MM-dd HH:mm:ss"))
+    text = I.levels(spark, sf).withColumn(TIME, time_text())
     return result(files.parse_time(text), "symbol", F.col(TIME).alias("ts"), "Price")
 
 

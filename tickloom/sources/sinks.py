@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import day, quoted
+from tickloom.functions.columns import day, quoted, time_text
 from tickloom.schemas import SYMBOL, TIME
 
 FORMATS = ("csv", "parquet")
@@ -15,7 +15,7 @@ FORMATS = ("csv", "parquet")
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Overwrite; times keep the format the reader expects."""
-    text = df.withColumn(TIME, F.date_format(TIME, "yyyy-MM-dd HH:mm:ss")) if TIME in df.columns else df
+    text = df.withColumn(TIME, time_text()) if TIME in df.columns else df
     text.write.mode("overwrite").option("header", True).csv(path)
     return path
 
