@@ -52,38 +52,37 @@ def volume_check(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("Volume") < 0).alias("n_bad"))
 
 
-def time_steps(df: DataFrame) -> DataFrame:
-    """Per symbol and distinct time: seconds since the previous one, and rows at that time.
+def step_counts(df: DataFrame, grain: str = "bar") -> DataFrame:
+    """(value, n): how often each step in seconds occurs between consecutive times of a symbol.
 
-    Staged: the steps are read several times, the table behind them once.
+    Grain "level" also counts a step of zero for every row that repeats its symbol's time. The
+    distinct times and the counts are staged, so that the table behind them is read once.
     """
+    if grain not in ("bar", "level"):
+        raise ValueError("grain is 'bar' or 'level'")
     times = stage(df.groupBy(SYMBOL, TIME).agg(F.count(F.lit(1)).alias("rows")), "times")
-    return stage(lagged(times, [SYMBOL], TIME, {"previous": TIME}).select(
-        SYMBOL, TIME, "rows", seconds_between("previous", TIME).alias("step")), "steps")
+    steps = lagged(times, [SYMBOL], TIME, {"previous": TIME}).filter(F.col("previous").isNotNull())
+    counts = steps.groupBy(seconds_between("previous", TIME).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    if grain == "level":
+        zeros = times.agg(F.lit(0).cast("bigint").alias("value"), F.sum(F.col("rows") - 1).alias("n"))
+        counts = counts.unionByName(zeros.filter(F.col("n") > 0)).groupBy("value").agg(F.sum("n").alias("n"))
+    return stage(counts, "steps")
 
 
 def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR) -> DataFrame:
     """Steps longer than `factor` times the median step.
 
-    Grain "bar" looks at distinct times. Grain "level" counts every row as a step, as the original
-    check did; rows that share a time are steps of zero, so they enter as a weight, not as rows.
+    Grain "bar" looks at distinct times; "level" takes every row as a step, as the original check
+    did, which makes the median zero wherever bars have more than two levels.
     """
-    steps = time_steps(df)
-    known = steps.filter(F.col("step").isNotNull())
-    counts = known.groupBy(F.col("step").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    if grain == "level":
-        zeros = steps.agg(F.lit(0).cast("bigint").alias("value"), F.sum(F.col("rows") - 1).alias("n"))
-        counts = counts.unionByName(zeros.filter(F.col("n") > 0)).groupBy("value").agg(F.sum("n").alias("n"))
-    elif grain != "bar":
-        raise ValueError("grain is 'bar' or 'level'")
-    median = quantiles_of_counts(
-        counts.withColumn("column", F.lit("step")), [0.5], F.floor(F.col("value") / STEP_RANGE))
-    middle = F.lit(median.get(("step", 0.5))).cast("double")
-    is_gap = F.col("step") > middle * factor
-    return steps.agg(
-        F.count_if(is_gap).alias("n_gaps"),
+    counts = step_counts(df, grain).withColumn("column", F.lit("step"))
+    median = quantiles_of_counts(counts, [0.5], F.floor(F.col("value") / STEP_RANGE)).get(("step", 0.5))
+    middle = F.lit(median).cast("double")
+    is_gap = F.col("value") > middle * factor
+    return counts.agg(
+        F.coalesce(F.sum(F.when(is_gap, F.col("n"))), F.lit(0)).cast("bigint").alias("n_gaps"),
         F.max(middle).alias("median_s"),
-        F.max(F.when(is_gap, F.col("step"))).alias("max_gap_s"),
+        F.max(F.when(is_gap, F.col("value"))).alias("max_gap_s"),
     )
 
 

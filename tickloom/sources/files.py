@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.columns import nan_to_null, named
+from tickloom.functions.columns import nan_to_null, named, quoted
 from tickloom.schemas import (
     DATETIME_FORMAT, FLAT_VBP_TEXT, LEVEL, LEVEL_COLUMNS, PROFILE, RAW_BAR, TIME,
 )
@@ -36,7 +36,7 @@ def parse_time(df: DataFrame, column: str = TIME, strict: bool = True) -> DataFr
     if strict:
         parsed = F.to_timestamp_ntz(text, F.lit(DATETIME_FORMAT))
     else:
-        parsed = F.expr(f"try_cast(CAST(`{column}` AS STRING) AS timestamp_ntz)")
+        parsed = F.expr(f"try_cast(CAST({quoted(column)} AS STRING) AS timestamp_ntz)")
     return require_columns(df, column).withColumn(column, parsed)
 
 
