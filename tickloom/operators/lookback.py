@@ -106,3 +106,16 @@ def rvol_alerts(bars: DataFrame, threshold: float = 2.0, rvol_bars: int = 20) ->
         }
 
     return framed(bars, [SYMBOL], TIME, rvol_bars, columns).filter(F.col("RVOL") > threshold)
+
+
+# Fixed value: what the short name stands for in a feature list.
+FEATURE_GROUPS = {"OHLCV": ["Open", "High", "Low", "Close", "Volume"]}
+
+
+def feature_table(bars: DataFrame, features: Sequence[str], n: int = LOOKBACK) -> DataFrame:
+    """Chosen features per bar, and the same of t-1 .. t-n as columns t1_Open, t1_High, ..."""
+    names = [c for f in features for c in FEATURE_GROUPS.get(f, [f])]
+    kept = [*BAR_KEY, *names, *(["index"] if "index" in bars.columns else [])]
+    looked = with_lookback(bars.select(*[quoted(c) for c in kept]), n, names)
+    past = [F.get("lookback", F.lit(i))[c].alias(f"t{i + 1}_{c}") for i in range(n) for c in names]
+    return looked.select(*BAR_KEY, *[quoted(c) for c in names], *past)

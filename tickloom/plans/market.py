@@ -287,6 +287,17 @@ def lookback_flat(spark, sf):
                   t3["Close"].alias("t3_close"))
 
 
+@query("feature_subset", ON_BARS + """
+SELECT symbol, DateTime, open, high, low, close, volume, delta, lag(close, 1) OVER w AS t1_close,
+       lag(volume, 1) OVER w AS t1_volume, lag(delta, 1) OVER w AS t1_delta, lag(close, 3) OVER w AS t3_close,
+       lag(delta, 3) OVER w AS t3_delta
+FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY DateTime)""")
+def feature_subset(spark, sf):
+    made = L.feature_table(I.bars(spark, sf), ["OHLCV", "Delta"], 3)
+    past = [F.col(c).alias(c.lower()) for c in ("t1_Close", "t1_Volume", "t1_Delta", "t3_Close", "t3_Delta")]
+    return result(made, *BAR_KEY, "Open", "High", "Low", "Close", "Volume", "Delta", *past)
+
+
 @query("close_change", ON_BARS + """
 SELECT symbol, DateTime, close - lag(close) OVER (PARTITION BY symbol ORDER BY DateTime) AS close_change FROM bars""")
 def close_change(spark, sf):

@@ -204,7 +204,7 @@ def eda_corr(spark, sf):
     return rounded(P.correlation(lineitem(spark, sf), LINEITEM_NUMBERS), 6, "r")
 
 
-_BAR_PRICES = ["Open", "High", "Low", "Close", "Volume", "Delta"]
+_BAR_PRICES = ["Open", "High", "Low", "Close", "Volume", "Trades"]
 _BAR_PAIRS = [(a, b) for i, a in enumerate(_BAR_PRICES) for b in _BAR_PRICES[i + 1:]]
 
 
