@@ -48,7 +48,7 @@ def entry_struct(bars: DataFrame, columns: Sequence[str] | None) -> Column:
 
 
 def with_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | None = None) -> DataFrame:
-    """Add `index` and `lookback` to nested bars or bar heads.
+    """Add `index` and `lookback` to nested bars or bar heads, one row per symbol and time.
 
     The entry is built before the window, so that a profile is read once per bar and the frame
     only moves what an entry holds.

@@ -52,16 +52,17 @@ def volume_check(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("Volume") < 0).alias("n_bad"))
 
 
-def step_counts(df: DataFrame, grain: str = "bar") -> DataFrame:
+def step_counts(df: DataFrame, grain: str = "bar", chunk: Column | None = None) -> DataFrame:
     """(value, n): how often each step in seconds occurs between consecutive times of a symbol.
 
     Grain "level" also counts a step of zero for every row that repeats its symbol's time. The
-    distinct times and the counts are staged, so that the table behind them is read once.
+    distinct times and the counts are staged, so that the table behind them is read once. Times are
+    ordered a day at a time; give a finer `chunk` for tables of single trades.
     """
     if grain not in ("bar", "level"):
         raise ValueError("grain is 'bar' or 'level'")
     times = stage(df.groupBy(SYMBOL, TIME).agg(F.count(F.lit(1)).alias("rows")), "times")
-    steps = lagged(times, [SYMBOL], TIME, {"previous": TIME}).filter(F.col("previous").isNotNull())
+    steps = lagged(times, [SYMBOL], TIME, {"previous": TIME}, chunk=chunk).filter(F.col("previous").isNotNull())
     counts = steps.groupBy(seconds_between("previous", TIME).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     if grain == "level":
         zeros = times.agg(F.lit(0).cast("bigint").alias("value"), F.sum(F.col("rows") - 1).alias("n"))
@@ -69,13 +70,14 @@ def step_counts(df: DataFrame, grain: str = "bar") -> DataFrame:
     return stage(counts, "steps")
 
 
-def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR) -> DataFrame:
+def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR,
+              chunk: Column | None = None) -> DataFrame:
     """Steps longer than `factor` times the median step.
 
     Grain "bar" looks at distinct times; "level" takes every row as a step, as the original check
     did, which makes the median zero wherever bars have more than two levels.
     """
-    counts = step_counts(df, grain).withColumn("column", F.lit("step"))
+    counts = step_counts(df, grain, chunk).withColumn("column", F.lit("step"))
     median = quantiles_of_counts(counts, [0.5], F.floor(F.col("value") / STEP_RANGE)).get(("step", 0.5))
     middle = F.lit(median).cast("double")
     is_gap = F.col("value") > middle * factor

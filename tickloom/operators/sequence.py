@@ -8,7 +8,7 @@ here cut a key's sequence into pieces instead:
 * frames of bounded length run inside blocks of consecutive positions, where the last
   rows of a block are also sent to the next one.
 
-Rows must be unique per (keys, order).
+Keys and order must not be NULL, and rows must be unique per (keys, order).
 """
 
 from __future__ import annotations
@@ -86,9 +86,10 @@ def framed(df: DataFrame, keys: Sequence[str], order: str, back: int,
     return computed.select(*kept, *[F.col(f"__w_{n}").alias(n) for n in made])
 
 
-def lagged(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[str, str], n: int = 1) -> DataFrame:
+def lagged(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[str, str], n: int = 1,
+           chunk: Column | None = None) -> DataFrame:
     """Add the value each named column had `n` rows earlier: {new name: column}."""
-    return framed(df, keys, order, n, lambda w: {o: F.lag(c, n).over(w) for o, c in columns.items()})
+    return framed(df, keys, order, n, lambda w: {o: F.lag(c, n).over(w) for o, c in columns.items()}, chunk=chunk)
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:

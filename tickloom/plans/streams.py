@@ -11,7 +11,7 @@ from tickloom.plans.base_sql import BARS, TAPE, with_ctes
 from tickloom.plans.market import LOOKBACK_SQL
 from tickloom.plans.registry import query, result
 from tickloom.schemas import BAR_KEY, TIME
-from tickloom.session import checkpoint_location, stage
+from tickloom.session import checkpoint_location, write_stage
 from tickloom.sources.tape import table, tape_from_events
 from tickloom.streaming import live
 from tickloom.streaming.lookback import bootstrap, stream_lookback
@@ -50,9 +50,8 @@ def stream_lookback_rows(spark, sf):
     cutoff = F.lit("2024-01-25").cast("timestamp_ntz")
     start = bootstrap(bars.filter(F.col(TIME) < cutoff), 10)
     later = from_date(bars, "2024-01-25").withColumn("index", F.lit(None).cast("bigint"))
-    arrived = stage(start.unionByName(later), "arriving")
-    folder = arrived.inputFiles()[0].rsplit("/", 1)[0]
-    stream = live.read_bar_stream(spark, folder, arrived.schema)
+    arriving = start.unionByName(later)
+    stream = live.read_bar_stream(spark, write_stage(arriving, "arriving"), arriving.schema)
     rows = flatten(stream_lookback(stream, 10, ["Price", "Close"])).filter(F.col(TIME) >= cutoff)
     long = _to_end(rows).select(*BAR_KEY, "Price", F.posexplode("lookback").alias("at", "t"))
     return result(long, *BAR_KEY, "Price", (F.col("at") + 1).cast("bigint").alias("i"),

@@ -47,13 +47,17 @@ def checkpoint_location(spark: SparkSession, label: str | None = None) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label or uuid.uuid4().hex}"
 
 
+def write_stage(df: DataFrame, label: str = "stage") -> str:
+    """Write a table to a new folder below the shared one; returns the folder."""
+    path = checkpoint_location(df.sparkSession, f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a reduced table to the shared folder and read it back.
 
     For tables that later steps read several times: the input behind them is then scanned once,
     and a lost executor costs a re-read of this table, not of the input.
     """
-    spark = df.sparkSession
-    path = checkpoint_location(spark, f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, label))

@@ -49,7 +49,7 @@ def read_history_csv(spark: SparkSession, path, schema: T.StructType | None = FL
     """
     reader = spark.read.option("header", True)
     if schema is None:
-        raw = reader.option("inferSchema", True).option("timestampFormat", "'never'").csv(path)
+        raw = reader.option("inferSchema", True).csv(path)
     else:
         header = reader.csv(path).columns
         known = {f.name: f for f in schema.fields}
