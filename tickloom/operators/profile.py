@@ -98,9 +98,11 @@ def categorical(df: DataFrame, columns: Sequence[str] | None = None, top: int =
     """Distinct values and the most frequent ones of the first five text columns."""
     chosen = list(columns or text_columns(df)[:5])
     values = df.select(*[named(c) for c in chosen]).unpivot([], [named(c) for c in chosen], "column", "value")
-    per_value = values.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
+    # Both uses below read the same rows and columns, so Spark shuffles the values once for both.
+    known = values.filter(F.col("column").isNotNull() & F.col("value").isNotNull())
+    per_value = known.groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n"))
-    unique = per_value.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    unique = per_value.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("n_unique"))
     common = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
     best = per_value.withColumn("rank", F.row_number().over(common)).filter(F.col("rank") <= top)
     return best.drop("rank").join(F.broadcast(unique), "column")

@@ -33,6 +33,10 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, C
     """
     keys, totals = list(keys), dict(totals or {})
     chunked = df.withColumn(_CHUNK, day(order) if chunk is None else chunk)
+    # The join below needs these filters. Stated here, both of its sides read the same rows, and
+    # where they also need the same columns Spark reuses one shuffle for both.
+    for c in (*keys, _CHUNK):
+        chunked = chunked.filter(F.col(c).isNotNull())
     per_chunk = chunked.groupBy(*keys, _CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
