@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from tickloom.operators import profile as P
 from tickloom.plans import inputs as I
 from tickloom.plans.base_sql import BARS, TAPE, with_ctes
@@ -188,9 +190,19 @@ def eda_normal_curve(spark, sf):
     return significant(rounded(curve, 6, "x"), "pdf", digits=6)
 
 
-@query("eda_qq")
+_GRID = [(i + 1) / 100 for i in range(99)]
+
+
+def _list(values):
+    return "[" + ", ".join(f"CAST('{v!r}' AS DOUBLE)" for v in values) + "]"
+
+
+@query("eda_qq", f"""
+SELECT unnest({_list(_GRID)}) AS p, round(unnest(quantile_cont(value, {_list(_GRID)})), 6) AS sample_q,
+       round(unnest({_list([NormalDist().inv_cdf(p) for p in _GRID])}), 6) AS normal_q
+FROM (SELECT value FROM events)""")
 def eda_qq(spark, sf):
-    return P.qq(table(spark, sf, "events"), "value")
+    return rounded(P.qq(table(spark, sf, "events"), "value"), 6, "sample_q", "normal_q")
 
 
 # -- relations -------------------------------------------------------------------------------
