@@ -24,6 +24,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Rows of presence vectors multiplied at once.
 BATCH_ROWS = 64
+#: Parts of a language in which the sample's ranks are taken first.
+_PARTS = 64
 
 
 @cache
@@ -96,12 +98,15 @@ def held_out(id: Column) -> Column:
 def training_rows(documents: DataFrame, per_language: int, id: str, text: str, lang: str) -> tuple[np.ndarray, list[str]]:
     """Presence vectors, packed in the tasks, of at most `per_language` texts of each language, the first by hash.
 
-    Ranks are limited before the shuffle and on hashes alone, so no language is gathered.
+    Ranks are taken on hashes alone, first inside parts of a language, so no task sees more than per_language rows of each
+    part of one. The broadcast keys are at most `per_language` for each of the bounded number of languages.
     """
     usable = documents.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & ~held_out(F.col(f"`{id}`")))
-    keys = usable.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(f"`{text}`").alias("key")).groupBy("lang", "key").count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = keys.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("lang", "key")
+    keys = usable.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(f"`{text}`").alias("key")).distinct()
+    part = F.pmod("key", F.lit(_PARTS))
+    for by in (["lang", part], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("key"), "key")
+        keys = keys.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("lang", "key")
 
     def pack(batches):
         for rows, texts in T.text_blocks(batches, "text"):
@@ -116,7 +121,7 @@ def training_rows(documents: DataFrame, per_language: int, id: str, text: str, l
                 pa.array(bits, pa.binary())], ["lang", "key", "bits"])
 
     texts = usable.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(f"`{text}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    texts = texts.join(chosen, ["lang", "key"], "left_semi")
+    texts = texts.join(F.broadcast(keys), ["lang", "key"], "left_semi")
     packed = texts.mapInArrow(pack, "lang string, key bigint, bits binary").dropDuplicates(["lang", "key"])
     found = sorted(packed.collect(), key=lambda r: (r["lang"], r["key"]))
     rows = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in found]).reshape(-1, BUCKETS)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import tickloom
 from tickloom.llm import (
-    bpe, decontamination, language_id, personal_data, quality_rules, sharding, unigram_counts, urls,
+    bpe, decontamination, jaccard_join, language_id, personal_data, quality_rules, sharding, unigram_counts, urls,
 )
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_url_filter, op3_sharding, op4_bpe, op5_token_counts, op6_personal_data, op8_quality_rules,
+    op1_url_filter, op2_jaccard_join, op3_sharding, op4_bpe, op5_token_counts, op6_personal_data, op8_quality_rules,
     op9_decontamination, op10_language_id)}
 SQL: dict[str, str] = {}
