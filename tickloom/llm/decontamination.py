@@ -149,24 +149,34 @@ def tile_coverage(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id"
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
     item_kind = benchmark.schema[item].dataType.simpleString()
     found_type = f"array<struct<item:{item_kind},coverage:double,tiles:bigint>>"
-    result = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"),
+    carried = text if text in names else "__text"
+    passed = [*names, *[carried for _ in range(carried not in names)]]
+    passed_kinds = kinds if carried in names else f"{kinds}, __text string"
+    result = documents.select(*[F.col(f"`{text if c == carried else c}`").alias(c) for c in passed],
                               F.array().cast(found_type).alias("__items"))
     for rows in benchmark_blocks(benchmark, item, item_text, block_bytes):
         shared = documents.sparkSession.sparkContext.broadcast(Items.of(rows, seed_words))
 
         def run(batches, shared=shared):
             items, cache = shared.value, T.WordHashes()
-            for part, texts in T.text_blocks(batches, "__text"):
+            for part, texts in T.text_blocks(batches, carried):
                 added = [[{"item": items.ids[i], "coverage": c, "tiles": n} for i, c, n in per if c >= threshold]
                          for per in covered(items, texts, cache)]
                 before = part.column(part.num_columns - 1)
                 values = pa.array([[*a.as_py(), *b] if b else a.as_py() for a, b in zip(before, added)], before.type)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], [*names, "__text", "__items"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], [*passed, "__items"])
 
-        result = result.mapInArrow(run, f"{kinds}, __text string, __items {found_type}")
+        result = result.mapInArrow(run, f"{passed_kinds}, __items {found_type}")
     return result.select(*[F.col(f"`{c}`") for c in names], F.array_sort("__items").alias("items"))
 
 
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
+    """The rows, with all their columns, that hold no benchmark item."""
+    others = tuple(c for c in documents.columns if c != id)
+    return tile_coverage(documents, benchmark, id, keep=others, **options).filter(F.size("items") == 0).select(
+        *[F.col(f"`{c}`") for c in documents.columns])
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """id, item_id of the best covered item, its coverage, item_ids at or above the threshold, contaminated; all rows.
 

@@ -145,6 +145,8 @@ def train(documents: DataFrame, per_language: int = 200, id: str = "doc_id", tex
 def predict(documents: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns `id` and `keep`, lang_pred and score for every row; only the text is looked at.
 
+    `keep` may name the text, which then passes through the tasks once.
+
     `und` with score 0 for a null text, one without a letter, or without a model. The score is the regression
     value of the best language, cut to 0..1; ties go to the first language by name.
     """
@@ -152,7 +154,7 @@ def predict(documents: DataFrame, model: Model | None, id: str = "doc_id", text:
 
     def run(batches):
         block = np.zeros((BATCH_ROWS, BUCKETS), bool)
-        for rows, texts in T.text_blocks(batches, "__text"):
+        for rows, texts in T.text_blocks(batches, carried):
             labels, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             for start in range(0, len(texts), BATCH_ROWS):
                 part = texts[start:start + BATCH_ROWS]
@@ -164,10 +166,11 @@ def predict(documents: DataFrame, model: Model | None, id: str = "doc_id", text:
                     for k, b, v in zip(usable, best, values[np.arange(len(best)), best]):
                         labels[start + k] = model.languages[b]
                         scores[start + k] = min(1.0, max(0.0, float(v)))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(labels), pa.array(scores)],
+            yield pa.RecordBatch.from_arrays([*rows.columns[:len(names)], pa.array(labels), pa.array(scores)],
                                              [*names, "lang_pred", "score"])
 
-    source = documents.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    carried = text if text in names else "__text"
+    source = documents.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"`{text}`").alias(carried) for _ in range(carried not in names)])
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
     return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 

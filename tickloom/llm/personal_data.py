@@ -228,3 +228,38 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
             out += [text[at:start], mark]
         at = end
     return "".join(out) + text[at:]
+
+
+def sanitise(documents: DataFrame, id: str = "doc_id", text: str = "text", length: str | None = None, **options) -> DataFrame:
+    """Every row and column, with the text's spans generalised or removed and `length` set to its new length.
+
+    Base spans give way to the name of their kind, added terms to a mark or to nothing. Null texts stay null. The
+    patterns run again on the text where it lies; only the few added spans are joined to it, by id and text.
+    """
+    key = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
+    found = find_personal_data(documents.select(key.alias("__key"), F.col(f"`{text}`").alias("text")), "__key", "text", **options)
+    added = found.filter(F.size("added") > 0).dropDuplicates(["__key"]).select(F.col("__key").alias("__k"), F.col("added").alias("__added"))
+    names = documents.columns
+    joined = documents.withColumn("__key", key).join(added, F.col("__key") == F.col("__k"), "left").select(
+        *[F.col(f"`{c}`") for c in names], "__added")
+    at = names.index(text)
+
+    def run(batches):
+        for rows, texts in T.text_blocks(batches, text):
+            out = []
+            for value, terms in zip(texts, rows.column(len(names)).to_pylist()):
+                if value is not None:
+                    whole = value.decode("utf-8")
+                    spans = [(s, e, PLACEHOLDERS[k]) for k, s, e in base_spans(whole)]
+                    spans += [(t["start"], t["end"], PLACEHOLDERS[t["action"]]) for t in terms or ()]
+                    value = masked(whole, spans) if spans else whole
+                out.append(value)
+            columns = list(rows.columns[:len(names)])
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    clean = joined.mapInArrow(run, documents.schema)
+    if length is None:
+        return clean
+    kind = documents.schema[length].dataType
+    return clean.withColumn(length, F.length(F.col(f"`{text}`")).cast(kind)).select(*[F.col(f"`{c}`") for c in names])

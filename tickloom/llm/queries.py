@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import tickloom
 from tickloom.llm import (
     bpe, decontamination, jaccard_join, language_id, personal_data, quality_rules, sharding, unigram_counts, urls,
 )
+from tickloom.llm.session import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,19 +19,6 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def find_package(spark: SparkSession) -> None:
-    """Let Python workers look for this package where the driver found it, whatever folder they start in."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(tickloom.__file__)))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    find_package(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -71,4 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filter, op2_jaccard_join, op3_sharding, op4_bpe, op5_token_counts, op6_personal_data, op8_quality_rules,
     op9_decontamination, op10_language_id)}
-SQL: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
