@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import (
-    bpe, decontamination, jaccard_join, language_id, personal_data, quality_rules, sharding, unigram_counts, urls,
+    bpe, decontamination, jaccard_join, language_id, personal_data, quality_rules, sharding,
+    suffix_dedup, unigram_counts, urls,
 )
 from tickloom.llm.session import table
 
@@ -31,6 +32,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_url_filter, op2_jaccard_join, op3_sharding, op4_bpe, op5_token_counts, op6_personal_data, op8_quality_rules,
+    op1_url_filter, op2_jaccard_join, op3_sharding, op4_bpe, op5_token_counts, op6_personal_data, op7_suffix_dedup, op8_quality_rules,
     op9_decontamination, op10_language_id)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
