@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +21,13 @@ def find_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     find_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark drops them when the driver collects the plans that made them, which a driver with memory to spare may not do for
+    hours. Called after a step has been written to the shared folder, so nothing that is still needed goes.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
