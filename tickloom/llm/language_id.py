@@ -77,9 +77,11 @@ def fit(rows: np.ndarray, languages: list[str], landmarks: int = 128, ridge: flo
     for k in range(len(names)):
         turn[label == k] = np.arange((label == k).sum())
     chosen = np.lexsort((label, turn))[:landmarks]
-    unit = rows.astype(np.float64) / np.sqrt(np.maximum(rows.sum(1), 1))[:, None]
-    basis = unit[chosen]
-    k_nm, k_mm = unit @ basis.T, basis @ basis.T
+    size = np.sqrt(np.maximum(rows.sum(1), 1)).astype(np.float32)[:, None]
+    basis = rows[chosen].astype(np.float32) / size[chosen]
+    k_nm = np.concatenate([rows[at:at + BATCH_ROWS].astype(np.float32) / size[at:at + BATCH_ROWS] @ basis.T
+                           for at in range(0, len(rows), BATCH_ROWS)]).astype(np.float64)
+    k_mm = k_nm[chosen]
     target = np.eye(len(names))[label]
     # each language weighs the same, however many texts it has
     weight = (1.0 / np.bincount(label, minlength=len(names)) / len(names))[label]
@@ -87,7 +89,7 @@ def fit(rows: np.ndarray, languages: list[str], landmarks: int = 128, ridge: flo
     centred = (k_nm - mean_k) * weight[:, None]
     left = centred.T @ (k_nm - mean_k) + ridge * k_mm + 1e-9 * np.eye(len(chosen))
     alpha = np.linalg.solve(left, centred.T @ (target - mean_y))
-    return Model(names, (basis.T @ alpha).astype(np.float32), (mean_y - mean_k @ alpha).astype(np.float32))
+    return Model(names, basis.T @ alpha.astype(np.float32), (mean_y - mean_k @ alpha).astype(np.float32))
 
 
 def held_out(id: Column) -> Column:
@@ -124,7 +126,9 @@ def training_rows(documents: DataFrame, per_language: int, id: str, text: str, l
     texts = texts.join(F.broadcast(keys), ["lang", "key"], "left_semi")
     packed = texts.mapInArrow(pack, "lang string, key bigint, bits binary").dropDuplicates(["lang", "key"])
     found = sorted(packed.collect(), key=lambda r: (r["lang"], r["key"]))
-    rows = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool) for r in found]).reshape(-1, BUCKETS)
+    rows = np.zeros((len(found), BUCKETS), bool)
+    for row, r in zip(rows, found):
+        row[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
     return rows, [r["lang"] for r in found]
 
 

@@ -238,7 +238,8 @@ def sanitise(documents: DataFrame, id: str = "doc_id", text: str = "text", lengt
     """
     key = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
     found = find_personal_data(documents.select(key.alias("__key"), F.col(f"`{text}`").alias("text")), "__key", "text", **options)
-    added = found.filter(F.size("added") > 0).dropDuplicates(["__key"]).select(F.col("__key").alias("__k"), F.col("added").alias("__added"))
+    added = stage(found.filter(F.size("added") > 0).dropDuplicates(["__key"]).select(
+        F.col("__key").alias("__k"), F.col("added").alias("__added")), "added-spans")  # its size is known when the join is planned
     names = documents.columns
     joined = documents.withColumn("__key", key).join(added, F.col("__key") == F.col("__k"), "left").select(
         *[F.col(f"`{c}`") for c in names], "__added")
