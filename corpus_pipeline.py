@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a known language: those without a letter, or whose best score is too low, go."""
     find_package(spark)
     others = tuple(c for c in docs.columns if c != "doc_id")
-    judged = language_id.predict(docs, language_id.train(docs), keep=others)
-    return judged.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language_id.predict(docs, language_id.train(docs), keep=others, outputs=("__language", "__score"))
+    return judged.filter((F.col("__language") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,8 +138,8 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: in
 
 def tile_coverage(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
                   item_text: str = "text", threshold: float = 0.6, seed_words: int = SEED_WORDS, keep: tuple[str, ...] = (),
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id, `keep`, items (array of item, coverage, tiles at or above the threshold) for every row.
+                  block_bytes: int = BLOCK_BYTES, output: str = "items") -> DataFrame:
+    """id, `keep`, `output` (array of item, coverage, tiles at or above the threshold) for every row.
 
     The benchmark is the query set: it is broadcast in blocks of at most `block_bytes` of text, each held against all
     rows. Texts without words and empty benchmarks give empty arrays. Items shorter than a seed must occur as a whole.
@@ -167,13 +167,13 @@ def tile_coverage(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], values], [*passed, "__items"])
 
         result = result.mapInArrow(run, f"{passed_kinds}, __items {found_type}")
-    return result.select(*[F.col(f"`{c}`") for c in names], F.array_sort("__items").alias("items"))
+    return result.select(*[F.col(f"`{c}`") for c in names], F.array_sort("__items").alias(output))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """The rows, with all their columns, that hold no benchmark item."""
     others = tuple(c for c in documents.columns if c != id)
-    return tile_coverage(documents, benchmark, id, keep=others, **options).filter(F.size("items") == 0).select(
+    return tile_coverage(documents, benchmark, id, keep=others, output="__found", **options).filter(F.size("__found") == 0).select(
         *[F.col(f"`{c}`") for c in documents.columns])
 
 

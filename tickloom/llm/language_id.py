@@ -146,8 +146,9 @@ def train(documents: DataFrame, per_language: int = 200, id: str = "doc_id", tex
     return fit(rows, languages) if len(rows) else None
 
 
-def predict(documents: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns `id` and `keep`, lang_pred and score for every row; only the text is looked at.
+def predict(documents: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
+            outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `id` and `keep`, the predicted language and its score for every row; only the text is looked at.
 
     `keep` may name the text, which then passes through the tasks once.
 
@@ -171,12 +172,12 @@ def predict(documents: DataFrame, model: Model | None, id: str = "doc_id", text:
                         labels[start + k] = model.languages[b]
                         scores[start + k] = min(1.0, max(0.0, float(v)))
             yield pa.RecordBatch.from_arrays([*rows.columns[:len(names)], pa.array(labels), pa.array(scores)],
-                                             [*names, "lang_pred", "score"])
+                                             [*names, *outputs])
 
     carried = text if text in names else "__text"
     source = documents.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"`{text}`").alias(carried) for _ in range(carried not in names)])
     kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names)
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{kinds}, {outputs[0]} string, {outputs[1]} double")
 
 
 def identify(documents: DataFrame, per_language: int = 200, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
