@@ -145,15 +145,19 @@ def percent_rank(bars: DataFrame, column: str, keys: Sequence[str] = (SYMBOL,),
     """Share of the symbol's other bars with a smaller value: (rank - 1) / (rows - 1).
 
     Values are counted first and ranked by a prefix sum over ranges of `step`, so no task sorts a
-    symbol's history.
+    symbol's history. Every row stays; one without a value or a symbol has a NULL rank.
     """
     keys = list(keys)
-    counts = bars.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
+    counts = bars.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running(counts, keys, column, {"__upto": F.col("__n")}, F.floor(F.col(column) / step),
                      {"__all": "__upto"})
     share = (F.col("__upto") - F.col("__n")) / F.nullif(F.col("__all") - 1, F.lit(0))
-    values = ranked.select(*keys, column, F.coalesce(share, F.lit(0.0)).alias("PercentRank"))
-    return bars.join(values, [*keys, column])
+    values = ranked.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(column).alias("__value"),
+                           F.coalesce(share, F.lit(0.0)).alias("PercentRank"))
+    same = F.col(column) == F.col("__value")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__k_{k}"))
+    return bars.join(values, same, "left").drop("__value", *[f"__k_{k}" for k in keys])
 
 
 def delta_percentile(bars: DataFrame) -> DataFrame:

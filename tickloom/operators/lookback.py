@@ -53,7 +53,7 @@ def with_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | N
     The entry is built before the window, so that a profile is read once per bar and the frame
     only moves what an entry holds.
     """
-    placed = bars if "index" in bars.columns else bar_index(bars)
+    placed = bar_index(bars.drop("index"))  # an `index` that came with the bars may have holes, from a filter say
     placed = placed.withColumn("__entry", entry_struct(bars, columns))
     return framed(
         placed, [SYMBOL], TIME, n, position="index",

@@ -68,12 +68,10 @@ def framed(df: DataFrame, keys: Sequence[str], order: str, back: int,
            block: int | None = None, chunk: Column | None = None) -> DataFrame:
     """Add window columns whose frames reach at most `back` rows into the past.
 
-    `columns` gets the ordered window and returns name -> column. Rows that already carry their
-    0-based position, in `position` or in a column `index`, are not counted again.
+    `columns` gets the ordered window and returns name -> column. `position` names a column with the rows'
+    0-based positions without holes; without it they are counted here.
     """
     keys = list(keys)
-    if position is None and "index" in df.columns:
-        position = "index"
     size = max(block or BLOCK, 4 * back)
     base = df if position else with_position(df, keys, order, chunk=chunk)
     pos = F.col(position or _POS)

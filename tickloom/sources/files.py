@@ -54,7 +54,8 @@ def read_history_csv(spark: SparkSession, path, schema: T.StructType | None = FL
         header = reader.csv(path).columns
         known = {f.name: f for f in schema.fields}
         present = T.StructType([known.get(c, T.StructField(c, T.StringType())) for c in header])
-        raw = reader.schema(present).csv(path)
+        # a file whose header differs from the first one fails instead of being read into wrong columns
+        raw = reader.option("enforceSchema", False).option("mode", "FAILFAST" if strict else "PERMISSIVE").schema(present).csv(path)
     return nan_to_null(parse_time(raw, strict=strict))
 
 

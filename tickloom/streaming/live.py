@@ -125,7 +125,7 @@ def route(stream: DataFrame, handlers: Mapping[int | str, Callable[[DataFrame],
         try:
             for request_id, handler in handlers.items():
                 handler(batch.filter(F.col(column) == request_id).drop(column))
-            unknown = batch.filter(~F.col(column).isin(known)).agg(F.count(F.lit(1)).alias("n")).first()["n"]
+            unknown = batch.filter(F.coalesce(~F.col(column).isin(known), F.lit(True))).agg(F.count(F.lit(1)).alias("n")).first()["n"]
             if unknown:
                 log.warning("batch %d: %d rows without a handler", batch_id, unknown)
         finally:
