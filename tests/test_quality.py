@@ -48,6 +48,15 @@ def test_gap_is_strictly_more_than_ten_medians(spark):
     assert (row["median_s"], row["n_gaps"], row["max_gap_s"]) == (1.0, 1, 11)
 
 
+def test_gap_between_seconds(spark):
+    moments = [START + timedelta(milliseconds=900 * i) for i in range(5)] + [START + timedelta(seconds=8.6)]
+    row = Q.gap_check(times(spark, [("A", t, 1.0) for t in moments])).first()
+    assert (row["median_s"], row["n_gaps"]) == (0.9, 0)
+    moments.append(START + timedelta(seconds=18))
+    row = Q.gap_check(times(spark, [("A", t, 1.0) for t in moments])).first()
+    assert (row["median_s"], row["n_gaps"], row["max_gap_s"]) == (0.9, 1, 9.4)
+
+
 def test_single_time_has_no_steps(spark):
     row = Q.gap_check(times(spark, [("A", at(0), 1.0)])).first()
     assert (row["n_gaps"], row["median_s"]) == (0, None)

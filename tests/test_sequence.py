@@ -3,7 +3,8 @@
 from collections import defaultdict
 
 import pytest
-from frames import bar_frame, random_bars
+from frames import at, bar_frame, random_bars
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import sequence as S
@@ -42,6 +43,22 @@ def test_positions(spark, rows):
     assert got == want
 
 
+def test_missing_keys_and_times_stay(spark):
+    """As in a plain window: a NULL symbol is one of its own, a NULL time comes first, NULL deltas add nothing."""
+    rows = [("A", at(0), None), ("A", None, 5), ("A", at(100), 2), ("A", at(300), None), (None, at(1), None),
+            (None, at(200), 4), (None, None, None), ("B", None, 3)]
+    df = spark.createDataFrame(rows, "symbol string, DateTime timestamp_ntz, Delta bigint")
+    got = S.running(df, ["symbol"], "DateTime", {"cum": F.col("Delta"), "at": F.lit(1)}, totals={"all": "cum"})
+    plain = Window.partitionBy("symbol").orderBy("DateTime").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("Delta").over(plain), F.count(F.lit(1)).over(plain),
+                     F.sum("Delta").over(Window.partitionBy("symbol")))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    before = S.lagged(df, ["symbol"], "DateTime", {"before": "DateTime"})
+    lag = df.select("*", F.lag("DateTime").over(Window.partitionBy("symbol").orderBy("DateTime")))
+    assert sorted(map(str, map(tuple, before.collect()))) == sorted(map(str, map(tuple, lag.collect())))
+    assert S.latest_per_key(df, ["symbol"], "DateTime").count() == 3
+
+
 @pytest.mark.parametrize("back,block", [(1, 4), (3, 4), (5, 64), (7, None)])
 def test_framed_equals_plain_window(spark, rows, back, block):
     df = S.framed(bar_frame(spark, rows), ["symbol"], "DateTime", back, lambda w: {

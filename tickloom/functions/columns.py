@@ -61,20 +61,16 @@ def time_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
 
 
-def first_date_column(df: DataFrame, probe: int = 10) -> str | None:
-    """First date-like column whose first few non-null values can be read as a time."""
-    native = set(time_columns(df))
-    for name in columns_with_role(df, "date"):
-        if name in native:
-            return name
-        if name not in text_columns(df):
-            continue
-        values = df.select(named(name).alias("v")).filter("v IS NOT NULL").limit(probe)
-        bad = values.agg(F.count_if(F.expr("try_cast(v AS timestamp_ntz)").isNull()).alias("n"),
-                         F.count("*").alias("rows")).first()
-        if bad["rows"] and bad["n"] == 0:
-            return name
-    return None
+def first_date_column(df: DataFrame) -> str | None:
+    """First date-like column that is a time, or a text whose values, all of them, can be read as one."""
+    native, texts = set(time_columns(df)), set(text_columns(df))
+    likely = [c for c in columns_with_role(df, "date") if c in native | texts]
+    asked = [c for c in likely if c in texts]
+    counts = df.agg(*[F.struct(
+        F.count(named(c)).alias("given"), F.count(F.expr(f"try_cast({quoted(c)} AS timestamp_ntz)")).alias("read"),
+    ).alias(f"__{i}") for i, c in enumerate(asked)]).first() if asked and likely[0] not in native else []
+    readable = {c for c, n in zip(asked, counts) if 0 < n["given"] == n["read"]}
+    return next((c for c in likely if c in native or c in readable), None)
 
 
 def _seconds_of_day(clock: str) -> int:
@@ -91,13 +87,15 @@ def in_time_of_day(time: str, start: str, end: str) -> Column:
 
 
 def time_text(time: str = TIME) -> Column:
-    """yyyy-MM-dd HH:mm:ss, whatever the session's zone."""
-    return F.substring(F.col(quoted(time)).cast("string"), 1, 19)
+    """yyyy-MM-dd HH:mm:ss, and six digits more for a time between two seconds, whatever the session's zone."""
+    text = F.col(quoted(time)).cast("string")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
 
 
-def seconds_between(start: str, end: str) -> Column:
-    """Whole seconds from start to end."""
-    return F.expr(f"CAST(CAST({quoted(end)} - {quoted(start)} AS INTERVAL SECOND) AS BIGINT)")
+def micros_between(start: str, end: str) -> Column:
+    """Microseconds from start to end."""
+    steps = f"CAST({quoted(end)} - {quoted(start)} AS INTERVAL SECOND)"
+    return (F.expr(f"CAST({steps} AS DECIMAL(18, 6))") * 1_000_000).cast("bigint")
 
 
 def day(time: str = TIME) -> Column:

@@ -135,7 +135,7 @@ def with_cumulative_delta(bars: DataFrame) -> DataFrame:
     """Running delta over all bars of a symbol, never reset; adds position and closed flag too.
 
     All come from one prefix sum: `index` is the bar's 0-based position, which operators behind
-    this one use instead of counting again, and IsBarClosed is false on the latest bar.
+    this one can be given as `position` while no bar is filtered out in between, and IsBarClosed is false on the latest bar.
     """
     placed = running(bars, [SYMBOL], TIME, {"index": F.lit(1), "CumulativeDelta": F.col("Delta")},
                      totals={"__bars": "index"})
@@ -166,9 +166,9 @@ def _rvol(window, n: int) -> Column:
     return F.col("Volume") / F.avg("Volume").over(window.rowsBetween(-n, -1))
 
 
-def with_rvol(bars: DataFrame, n: int = RVOL_BARS) -> DataFrame:
+def with_rvol(bars: DataFrame, n: int = RVOL_BARS, position: str | None = None) -> DataFrame:
     """Volume over the mean volume of up to n earlier bars; NULL on a symbol's first bar."""
-    return framed(bars, [SYMBOL], TIME, n, lambda w: {"RVOL": _rvol(w, n)})
+    return framed(bars, [SYMBOL], TIME, n, lambda w: {"RVOL": _rvol(w, n)}, position)
 
 
 def with_studies(bars: DataFrame, rvol_bars: int = RVOL_BARS) -> DataFrame:
@@ -177,7 +177,7 @@ def with_studies(bars: DataFrame, rvol_bars: int = RVOL_BARS) -> DataFrame:
     Position, cumulative delta and flag share one prefix sum, so `bars` is evaluated once for the
     rows and once, narrow, for the daily totals.
     """
-    return with_today_levels(with_rvol(with_cumulative_delta(bars), rvol_bars))
+    return with_today_levels(with_rvol(with_cumulative_delta(bars), rvol_bars, "index"))
 
 
 def with_closed_flag(bars: DataFrame) -> DataFrame:

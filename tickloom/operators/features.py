@@ -6,6 +6,7 @@ history frames by their length; ranks over a symbol's whole history go through c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,9 +53,9 @@ def delta_by_price(levels: DataFrame) -> DataFrame:
 
 # -- signals ---------------------------------------------------------------------------------
 
-def delta_divergence(bars: DataFrame) -> DataFrame:
+def delta_divergence(bars: DataFrame, position: str | None = None) -> DataFrame:
     """Higher high on a lower cumulative delta, or lower low on a higher one."""
-    past = lagged(bars, [SYMBOL], TIME, {"__h": "High", "__l": "Low", "__c": "CumulativeDelta"})
+    past = lagged(bars, [SYMBOL], TIME, {"__h": "High", "__l": "Low", "__c": "CumulativeDelta"}, position=position)
     bearish = (F.col("High") > F.col("__h")) & (F.col("CumulativeDelta") < F.col("__c"))
     bullish = (F.col("Low") < F.col("__l")) & (F.col("CumulativeDelta") > F.col("__c"))
     return past.select(*BAR_KEY, F.when(bearish, "potential_reversal_down")
@@ -75,13 +76,13 @@ def accumulation(bars: DataFrame, max_range: float, min_delta: float) -> DataFra
                        .otherwise("none").alias("signal"))
 
 
-def breakout(bars: DataFrame, n: int = 20, min_delta: float = 0) -> DataFrame:
+def breakout(bars: DataFrame, n: int = 20, min_delta: float = 0, position: str | None = None) -> DataFrame:
     """Close above the high of the n bars before, with delta and cumulative delta behind it."""
     def columns(window):
         return {"__top": F.max("High").over(window.rowsBetween(-n, -1)),
                 "__cum": F.lag("CumulativeDelta").over(window)}
 
-    seen = framed(bars, [SYMBOL], TIME, n, columns)
+    seen = framed(bars, [SYMBOL], TIME, n, columns, position)
     strong = ((F.col("Close") > F.col("__top")) & (F.col("CumulativeDelta") > F.col("__cum"))
               & (F.col("Delta") > min_delta))
     return seen.select(*BAR_KEY, F.when(strong, "strong_breakout").otherwise("none").alias("signal"))
@@ -103,7 +104,7 @@ def delta_ratio(bars: DataFrame) -> DataFrame:
     return bars.select(*BAR_KEY, (F.col("Delta") / F.nullif(F.col("Volume"), F.lit(0))).alias("value"))
 
 
-def delta_slope(bars: DataFrame, n: int = 5) -> DataFrame:
+def delta_slope(bars: DataFrame, n: int = 5, position: str | None = None) -> DataFrame:
     """Least-squares slope of cumulative delta per bar over the last n bars (NULL until n exist).
 
     Positions are whole numbers, so their moments are known and two sums give the slope.
@@ -112,7 +113,7 @@ def delta_slope(bars: DataFrame, n: int = 5) -> DataFrame:
         recent = window.rowsBetween(-(n - 1), 0)
         return {"__ys": F.collect_list("CumulativeDelta").over(recent)}
 
-    seen = framed(bars, [SYMBOL], TIME, n - 1, columns)
+    seen = framed(bars, [SYMBOL], TIME, n - 1, columns, position)
     middle = (n - 1) / 2
     spread = sum((i - middle) ** 2 for i in range(n))
     weighted = F.lit(0.0)
@@ -121,9 +122,13 @@ def delta_slope(bars: DataFrame, n: int = 5) -> DataFrame:
     return seen.select(*BAR_KEY, F.when(F.size("__ys") == n, weighted / spread).alias("value"))
 
 
-def delta_ema(bars: DataFrame, span: int = 10, reach: int = 40) -> DataFrame:
-    """Exponential mean of delta over the last `reach` bars, weights normalised over that frame."""
+def delta_ema(bars: DataFrame, span: int = 10) -> DataFrame:
+    """Exponential mean of delta over all bars so far, weights normalised over them.
+
+    The frame ends where all older weights together fall below the last bit of a double.
+    """
     decay = 1 - 2.0 / (span + 1)
+    reach = math.ceil(-54 * math.log(2) / math.log(decay)) if span > 1 else 1
 
     def columns(window):
         return {"__ds": F.reverse(F.collect_list("Delta").over(window.rowsBetween(-(reach - 1), 0)))}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import quoted
 from tickloom.operators.reshape import flatten
-from tickloom.operators.sequence import framed, lagged, with_position
+from tickloom.operators.sequence import framed, join_alike, lagged, with_position
 from tickloom.schemas import BAR_KEY, LEVEL_COLUMNS, PROFILE, SYMBOL, TIME
 
 LOOKBACK = 10
@@ -28,12 +28,12 @@ def bar_index(bars: DataFrame) -> DataFrame:
 def bar_heads(flat: DataFrame) -> DataFrame:
     """One row per bar: its lowest-priced row, or the NULL-level row of an empty profile.
 
-    min over a struct keeps that NULL row, which min_by(row, Price) would lose.
+    A bar has a price once, so all columns come from one row. A NULL price counts as the highest:
+    min_by passes over rows whose order is NULL.
     """
     rest = [c for c in flat.columns if c not in (*BAR_KEY, "Price")]
-    head = F.min(F.struct("Price", *[quoted(c) for c in rest])).alias("head")
-    heads = flat.groupBy(*BAR_KEY).agg(head)
-    return heads.select(*BAR_KEY, *[F.col(f"head.{quoted(c)}").alias(c) for c in ["Price", *rest]])
+    order = F.coalesce(F.col("Price").cast("double"), F.lit(float("inf")))
+    return flat.groupBy(*BAR_KEY).agg(F.min("Price").alias("Price"), *[F.min_by(quoted(c), order).alias(c) for c in rest])
 
 
 def entry_struct(bars: DataFrame, columns: Sequence[str] | None) -> Column:
@@ -47,13 +47,15 @@ def entry_struct(bars: DataFrame, columns: Sequence[str] | None) -> Column:
     return F.struct(F.col(TIME).alias("timestamp"), *[fields[c].alias(c) for c in names])
 
 
-def with_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | None = None) -> DataFrame:
+def with_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | None = None,
+                  position: str | None = None) -> DataFrame:
     """Add `index` and `lookback` to nested bars or bar heads, one row per symbol and time.
 
     The entry is built before the window, so that a profile is read once per bar and the frame
     only moves what an entry holds.
     """
-    placed = bar_index(bars.drop("index"))  # an `index` that came with the bars may have holes, from a filter say
+    # An `index` that came with the bars may have holes, from a filter say: it counts only where the caller names it.
+    placed = bars.withColumn("index", F.col(position)) if position else bar_index(bars.drop("index"))
     placed = placed.withColumn("__entry", entry_struct(bars, columns))
     return framed(
         placed, [SYMBOL], TIME, n, position="index",
@@ -69,7 +71,7 @@ def level_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] |
 def flat_lookback(flat: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | None = None) -> DataFrame:
     """The same for a table that is already flat: one equi-join of bars and levels."""
     looked = with_lookback(bar_heads(flat), n, columns).select(*BAR_KEY, "index", "lookback")
-    return flat.join(looked, BAR_KEY)
+    return join_alike(flat, looked, BAR_KEY)
 
 
 def market_records(levels: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import named, numeric_columns, text_columns, time_columns
+from tickloom.functions.columns import named, nan_to_null, numeric_columns, text_columns, time_columns
 from tickloom.operators.dedup import duplicate_count
 from tickloom.operators.quantiles import exact_quantiles, long_form, number, quantile_columns
 from tickloom.operators.quality import null_counts
@@ -85,9 +85,9 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
 
 
 def uniqueness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct non-null values per column. Counted as grouped values, so no task holds a column."""
+    """Distinct values per column, NULL and NaN left out. Counted as grouped values, so no task holds a column."""
     chosen = list(columns or numeric_columns(df))
-    values = df.select(*[named(c).cast("string").alias(c) for c in chosen]).unpivot(
+    values = nan_to_null(df.select(*[named(c) for c in chosen])).select(*[named(c).cast("string").alias(c) for c in chosen]).unpivot(
         [], [named(c) for c in chosen], "column", "value")
     per_value = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     return per_value.groupBy("column").agg(
@@ -95,8 +95,8 @@ def uniqueness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
 
 
 def categorical(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5) -> DataFrame:
-    """Distinct values and the most frequent ones of the first five text columns."""
-    chosen = list(columns or text_columns(df)[:5])
+    """Distinct values and the most frequent ones of the text columns."""
+    chosen = list(columns or text_columns(df))
     values = df.select(*[named(c) for c in chosen]).unpivot([], [named(c) for c in chosen], "column", "value")
     # Both uses below read the same rows and columns, so Spark shuffles the values once for both.
     known = values.filter(F.col("column").isNotNull() & F.col("value").isNotNull())
@@ -256,8 +256,8 @@ def high_correlation(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """The first four numeric columns, rows with a NULL left out."""
-    chosen = list(columns or numeric_columns(df)[:4])
+    """The numeric columns, rows with a NULL left out."""
+    chosen = list(columns or numeric_columns(df))
     return df.select(*[named(c) for c in chosen]).na.drop()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import named, seconds_between
+from tickloom.functions.columns import micros_between, named
 from tickloom.operators.quantiles import quantiles_of_counts
 from tickloom.operators.sequence import lagged
 from tickloom.schemas import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SYMBOL, TIME
@@ -16,15 +16,18 @@ from tickloom.session import stage
 ISSUE, WARNING = "issue", "warning"
 GAP_FACTOR = 10
 OUTLIER_SIGMAS = 5
-# Seconds per piece when step sizes are ranked
-STEP_RANGE = 3600
+# Pieces per doubling of the step size when step sizes are ranked
+STEP_PIECES = 64
 
 
 def schema_check(df: DataFrame) -> DataFrame:
-    """Required columns (issue when absent) and optional ones (warning when absent)."""
+    """Required columns (issue when absent) and optional ones (warning when absent), with their values counted."""
     wanted = [(c, ISSUE) for c in REQUIRED_COLUMNS] + [(c, WARNING) for c in OPTIONAL_COLUMNS]
-    rows = [(c, severity, c in df.columns) for c, severity in wanted]
-    return df.sparkSession.createDataFrame(rows, "column string, severity string, present boolean")
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(c).alias(c) for c, _ in wanted if c in df.columns])
+    return counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(severity).alias("severity"), F.lit(c in df.columns).alias("present"),
+                 (F.col(c) if c in df.columns else F.lit(0)).cast("bigint").alias("n_values"),
+                 F.col("__rows").alias("n_rows")) for c, severity in wanted])))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None, all_columns: bool = False) -> DataFrame:
@@ -53,7 +56,7 @@ def volume_check(df: DataFrame) -> DataFrame:
 
 
 def step_counts(df: DataFrame, grain: str = "bar", chunk: Column | None = None) -> DataFrame:
-    """(value, n): how often each step in seconds occurs between consecutive times of a symbol.
+    """(value, n): how often each step in microseconds occurs between consecutive times of a symbol.
 
     Grain "level" also counts a step of zero for every row that repeats its symbol's time. The
     distinct times and the counts are staged, so that the table behind them is read once. Times are
@@ -63,7 +66,7 @@ def step_counts(df: DataFrame, grain: str = "bar", chunk: Column | None = None)
         raise ValueError("grain is 'bar' or 'level'")
     times = stage(df.groupBy(SYMBOL, TIME).agg(F.count(F.lit(1)).alias("rows")), "times")
     steps = lagged(times, [SYMBOL], TIME, {"previous": TIME}, chunk=chunk).filter(F.col("previous").isNotNull())
-    counts = steps.groupBy(seconds_between("previous", TIME).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = steps.groupBy(micros_between("previous", TIME).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     if grain == "level":
         zeros = times.agg(F.lit(0).cast("bigint").alias("value"), F.sum(F.col("rows") - 1).alias("n"))
         counts = counts.unionByName(zeros.filter(F.col("n") > 0)).groupBy("value").agg(F.sum("n").alias("n"))
@@ -78,13 +81,14 @@ def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR,
     did, which makes the median zero wherever bars have more than two levels.
     """
     counts = step_counts(df, grain, chunk).withColumn("column", F.lit("step"))
-    median = quantiles_of_counts(counts, [0.5], F.floor(F.col("value") / STEP_RANGE)).get(("step", 0.5))
+    piece = F.floor(F.log2(F.col("value") + 1) * STEP_PIECES)
+    median = quantiles_of_counts(counts, [0.5], piece).get(("step", 0.5))
     middle = F.lit(median).cast("double")
     is_gap = F.col("value") > middle * factor
     return counts.agg(
         F.coalesce(F.sum(F.when(is_gap, F.col("n"))), F.lit(0)).cast("bigint").alias("n_gaps"),
-        F.max(middle).alias("median_s"),
-        F.max(F.when(is_gap, F.col("value"))).alias("max_gap_s"),
+        F.max(middle / 1e6).alias("median_s"),
+        (F.max(F.when(is_gap, F.col("value"))) / 1e6).alias("max_gap_s"),
     )
 
 
@@ -158,7 +162,7 @@ def report(df: DataFrame, grain: str = "bar") -> DataFrame:
     if {SYMBOL, TIME} <= have:
         gaps = gap_check(df, grain).first()
         if gaps["n_gaps"]:
-            detail = f"median {gaps['median_s']:g} s, largest {gaps['max_gap_s']} s"
+            detail = f"median {gaps['median_s']:g} s, largest {gaps['max_gap_s']:g} s"
             rows.append(("gaps", WARNING, TIME, gaps["n_gaps"], None, detail))
     if "Close" in have:
         far = _beyond("Close", found["mean"], found["std"], OUTLIER_SIGMAS)

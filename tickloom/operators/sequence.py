@@ -8,7 +8,8 @@ here cut a key's sequence into pieces instead:
 * frames of bounded length run inside blocks of consecutive positions, where the last
   rows of a block are also sent to the next one.
 
-Keys and order must not be NULL, and rows must be unique per (keys, order).
+As in a plain window, a NULL key is a key of its own and a NULL order comes first. Rows must be unique
+per (keys, order), NULLs included.
 """
 
 from __future__ import annotations
@@ -17,14 +18,38 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.functions.columns import day
+from tickloom.functions.columns import day, quoted
 
 BLOCK = 4096
 
 _CHUNK, _POS, _BLOCK, _HALO = "__chunk", "__pos", "__block", "__halo"
 
 
+def _definite(df: DataFrame, names: Sequence[str]) -> dict[str, Column]:
+    """Columns that are never NULL and are equal where the named ones are, NULLs included.
+
+    Unlike a null-safe comparison, an equality on them keeps the partitioning of a window on them.
+    """
+    made = {}
+    for i, c in enumerate(names):
+        kind = df.schema[c].dataType
+        timed = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        made[f"__d{i}"] = F.coalesce(F.col(quoted(c)), F.lit("1970-01-01" if timed else "0").cast(kind))
+        made[f"__m{i}"] = F.col(quoted(c)).isNull()
+    return made
+
+
+def join_alike(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of one name in which NULL equals NULL."""
+    renamed = right.withColumnsRenamed({c: f"__w_{c}" for c in on})
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(quoted(c)).eqNullSafe(F.col(quoted(f"__w_{c}")))
+    return left.join(renamed, condition, how).drop(*[f"__w_{c}" for c in on])
+
+
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, Column],
             chunk: Column | None = None, totals: Mapping[str, str] | None = None) -> DataFrame:
     """Add inclusive running sums per key. `chunk` must not decrease along `order`.
@@ -33,27 +58,22 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, C
     """
     keys, totals = list(keys), dict(totals or {})
     chunked = df.withColumn(_CHUNK, day(order) if chunk is None else chunk)
-    # The join below needs these filters. Stated here, both of its sides read the same rows, and
-    # where they also need the same columns Spark reuses one shuffle for both.
-    for c in (*keys, _CHUNK):
-        chunked = chunked.filter(F.col(c).isNotNull())
-    per_chunk = chunked.groupBy(*keys, _CHUNK).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
+    group = [*keys, _CHUNK]
+    per_chunk = chunked.groupBy(*group).agg(*[F.sum(v).alias(f"__t_{n}") for n, v in sums.items()])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    same = _definite(chunked, group)
     offsets = per_chunk.select(
-        *keys, _CHUNK,
-        *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums],
+        *[c.alias(n) for n, c in same.items()],
+        *[F.sum(f"__t_{n}").over(earlier).alias(f"__o_{n}") for n in sums],
         *[F.sum(f"__t_{n}").over(whole).alias(out) for out, n in totals.items()],
     )
-    inside = (Window.partitionBy(*keys, _CHUNK).orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = chunked.select("*", *[F.sum(v).over(inside).alias(f"__i_{n}") for n, v in sums.items()])
-    joined = local.join(offsets, [*keys, _CHUNK])
-    return joined.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.col(f"__i_{n}") + F.col(f"__o_{n}")).alias(n) for n in sums],
-        *totals,
-    )
+    inside = Window.partitionBy(*same).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = chunked.withColumns(same).select("*", *[F.sum(v).over(inside).alias(f"__i_{n}") for n, v in sums.items()])
+    joined = local.join(offsets, list(same))
+    # NULL only where no value came before, as in one window over the whole key.
+    reached = {n: F.coalesce(F.col(f"__i_{n}") + F.col(f"__o_{n}"), F.col(f"__i_{n}"), F.col(f"__o_{n}")) for n in sums}
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], *[c.alias(n) for n, c in reached.items()], *totals)
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = _POS,
@@ -89,9 +109,10 @@ def framed(df: DataFrame, keys: Sequence[str], order: str, back: int,
 
 
 def lagged(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[str, str], n: int = 1,
-           chunk: Column | None = None) -> DataFrame:
+           chunk: Column | None = None, position: str | None = None) -> DataFrame:
     """Add the value each named column had `n` rows earlier: {new name: column}."""
-    return framed(df, keys, order, n, lambda w: {o: F.lag(c, n).over(w) for o, c in columns.items()}, chunk=chunk)
+    return framed(df, keys, order, n, lambda w: {o: F.lag(c, n).over(w) for o, c in columns.items()},
+                  position, chunk=chunk)
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
@@ -154,7 +175,7 @@ def smallest(df: DataFrame, order: str, bucket: Column, n: int) -> DataFrame:
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """All rows that carry their key's latest order value (partial max, then an equi-join)."""
     last = df.groupBy(*keys).agg(F.max(order).alias(order))
-    return df.join(last, [*keys, order], "left_semi")
+    return join_alike(df, last, [*keys, order], "left_semi")
 
 
 def last_n_per_key(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ tape AS (
          floor(value / 5 + 0.5) * 5 AS price,
          CAST(regexp_extract(props, '[0-9]+') AS BIGINT) + 1 AS size,
          CASE WHEN event_type IN ('click', 'view') THEN 'bid' ELSE 'ask' END AS side
-  FROM events WHERE event_type <> 'error'
+  FROM events
 )"""
 
 TAPE_DAILY = """

@@ -18,7 +18,7 @@ _GAPS = """
   SELECT epoch(DateTime - lag(DateTime) OVER (PARTITION BY symbol ORDER BY DateTime)) AS step FROM {source}),
 middle AS (SELECT quantile_cont(step, 0.5) AS median_s FROM diffs)
 SELECT count(*) FILTER (WHERE step > median_s * 10) AS n_gaps, any_value(median_s) AS median_s,
-       CAST(max(step) FILTER (WHERE step > median_s * 10) AS BIGINT) AS max_gap_s
+       max(step) FILTER (WHERE step > median_s * 10) AS max_gap_s
 FROM diffs, middle"""
 
 
@@ -26,10 +26,11 @@ FROM diffs, middle"""
 , wanted AS (SELECT * FROM (VALUES ('Open', 'issue'), ('High', 'issue'), ('Low', 'issue'), ('Close', 'issue'),
   ('Volume', 'issue'), ('RVOL', 'warning'), ('Price', 'warning'), ('Delta', 'warning'),
   ('CumulativeDelta', 'warning')) w("column", severity)),
-present AS (SELECT DISTINCT "column" FROM (UNPIVOT (SELECT count("Open") AS "Open", count("High") AS "High",
+present AS (SELECT "column", n FROM (UNPIVOT (SELECT count("Open") AS "Open", count("High") AS "High",
   count("Low") AS "Low", count("Close") AS "Close", count("Volume") AS "Volume", count("Delta") AS "Delta"
   FROM dirty) ON COLUMNS(*) INTO NAME "column" VALUE n))
-SELECT w."column", severity, p."column" IS NOT NULL AS present FROM wanted w LEFT JOIN present p USING ("column")""")
+SELECT w."column", severity, p."column" IS NOT NULL AS present, CAST(coalesce(n, 0) AS BIGINT) AS n_values,
+       (SELECT count(*) FROM dirty) AS n_rows FROM wanted w LEFT JOIN present p USING ("column")""")
 def validate_schema(spark, sf):
     return Q.schema_check(I.dirty_bars(spark, sf))
 
@@ -69,6 +70,15 @@ def validate_gaps_bar(spark, sf):
     return Q.gap_check(I.bars(spark, sf), "bar")
 
 
+@query("validate_gaps_trades", "WITH trades AS (SELECT event_type AS symbol, ts + to_microseconds(event_id % 7 * 130000) "
+       "AS DateTime FROM events)" + _GAPS.format(source="trades"))
+def validate_gaps_trades(spark, sf):
+    """Times between seconds, one row a trade: every row is a step."""
+    moved = F.expr("ts + make_dt_interval(0, 0, 0, CAST(event_id % 7 * 0.13 AS DECIMAL(18, 6)))")
+    trades = table(spark, sf, "events").select(F.col("event_type").alias("symbol"), moved.alias("DateTime"))
+    return Q.gap_check(trades, "level", chunk=F.date_trunc("hour", "DateTime"))
+
+
 _OUTLIERS = """
 , stats AS (SELECT avg({c}) AS mean, stddev_samp({c}) AS std FROM {t})
 SELECT count(*) FILTER (WHERE {c} > mean + {k} * std OR {c} < mean - {k} * std) AS n,

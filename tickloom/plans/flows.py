@@ -55,7 +55,7 @@ def volume_share(spark, sf):
 SELECT symbol, DateTime, CASE WHEN high > h AND cumulative_delta < c THEN 'potential_reversal_down'
   WHEN low < l AND cumulative_delta > c THEN 'potential_reversal_up' ELSE 'none' END AS signal FROM past""")
 def delta_divergence(spark, sf):
-    return X.delta_divergence(cumulative(spark, sf))
+    return X.delta_divergence(cumulative(spark, sf), "index")
 
 
 @query("institutional_flow", ON_BARS + """
@@ -80,7 +80,7 @@ def accumulation(spark, sf):
 SELECT symbol, DateTime, CASE WHEN close > top AND cumulative_delta > c AND delta > 20 THEN 'strong_breakout'
   ELSE 'none' END AS signal FROM past""")
 def breakout(spark, sf):
-    return X.breakout(cumulative(spark, sf), 20, 20)
+    return X.breakout(cumulative(spark, sf), 20, 20, "index")
 
 
 @query("delta_alert", ON_STUDIES + """
@@ -102,14 +102,14 @@ SELECT symbol, DateTime, CASE WHEN count(*) OVER w = 5 THEN round(regr_slope(cum
   AS value FROM studies
 WINDOW w AS (PARTITION BY symbol ORDER BY DateTime ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def delta_slope(spark, sf):
-    return rounded(X.delta_slope(cumulative(spark, sf)), 6, "value")
+    return rounded(X.delta_slope(cumulative(spark, sf), position="index"), 6, "value")
 
 
 @query("delta_ema", ON_STUDIES + """
 SELECT s.symbol, s.DateTime,
        round(sum(p.delta * power(CAST(9 AS DOUBLE) / 11, s.bar_index - p.bar_index))
              / sum(power(CAST(9 AS DOUBLE) / 11, s.bar_index - p.bar_index)), 6) AS value
-FROM studies s JOIN studies p ON p.symbol = s.symbol AND p.bar_index BETWEEN s.bar_index - 39 AND s.bar_index
+FROM studies s JOIN studies p ON p.symbol = s.symbol AND p.bar_index <= s.bar_index
 GROUP BY 1, 2""")
 def delta_ema(spark, sf):
     return rounded(X.delta_ema(I.bars(spark, sf)), 6, "value")

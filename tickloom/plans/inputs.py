@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import bars as B
 from tickloom.schemas import TIME
-from tickloom.sources.tape import DAILY_ORDER, table, tape, tape_daily
+from tickloom.sources.tape import table, tape, tape_daily
 
 
 def bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,10 +26,6 @@ def daily_levels(spark: SparkSession, sf: str) -> DataFrame:
     return B.profile(tape_daily(spark, sf), "1 day")
 
 
-def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
-    return B.ohlcv(tape_daily(spark, sf), "1 day", DAILY_ORDER)
-
-
 def slot():
     """Number of the quarter hour inside the month; faults are planted by it."""
     return F.dayofmonth(TIME) * 96 + F.hour(TIME) * 4 + F.floor(F.minute(TIME) / 15)
@@ -54,7 +50,7 @@ def dirty_events(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "ts",
         F.when(F.col("event_id") % 31 != 0, F.col("user_id")).alias("user_id"),
         F.when(F.col("event_id") % 43 != 0, F.col("event_type")).alias("event_type"),
-        F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value"),
+        F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value"), "props",
     )
     copies = F.when(F.col("event_id") % 50 == 0, F.lit(2)).otherwise(F.lit(1))
     return holed.select("*", F.explode(F.sequence(F.lit(1), copies)).alias("copy")).drop("copy")
@@ -64,8 +60,9 @@ DIRTY_EVENTS_SQL = """
 dirty_events AS (
   SELECT event_id, ts, CASE WHEN event_id % 31 <> 0 THEN user_id END AS user_id,
          CASE WHEN event_id % 43 <> 0 THEN event_type END AS event_type,
-         CASE WHEN event_id % 97 <> 0 THEN value END AS value
+         CASE WHEN event_id % 97 <> 0 THEN value END AS value, props
   FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 50 = 0)
 )"""
 
-LINEITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_tax"]

@@ -40,7 +40,7 @@ def eda_missing(spark, sf):
 , flagged AS (SELECT (user_id IS NULL)::INT + (event_type IS NULL)::INT + (value IS NULL)::INT AS gaps FROM dirty_events)
 SELECT CAST(sum(gaps) AS BIGINT) AS total,
        round((1 - count(*) FILTER (WHERE gaps > 0) / count(*)) * 100, 6) AS complete_pct,
-       round(sum(gaps) * 100.0 / (count(*) * 5), 6) AS overall_pct FROM flagged""")
+       round(sum(gaps) * 100.0 / (count(*) * 6), 6) AS overall_pct FROM flagged""")
 def eda_missing_totals(spark, sf):
     return rounded(P.missing_totals(I.dirty_events(spark, sf)), 6, "complete_pct", "overall_pct")
 
@@ -55,7 +55,8 @@ def eda_overview(spark, sf):
     return P.overview(lineitem(spark, sf))
 
 
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice",
+                 "o_orderpriority"]
 
 
 @query("eda_uniqueness", _each(ORDER_COLUMNS, """SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique,
@@ -74,7 +75,7 @@ def eda_categorical(spark, sf):
 
 @query("eda_duplicates", ON_DIRTY + """
 SELECT CAST(sum(n) - count(*) AS BIGINT) AS n, round((sum(n) - count(*)) * 100.0 / sum(n), 6) AS pct
-FROM (SELECT count(*) AS n FROM dirty_events GROUP BY event_id, ts, user_id, event_type, value)""")
+FROM (SELECT count(*) AS n FROM dirty_events GROUP BY event_id, ts, user_id, event_type, value, props)""")
 def eda_duplicates(spark, sf):
     return rounded(P.duplicates(I.dirty_events(spark, sf)), 6, "pct")
 
@@ -228,8 +229,8 @@ def eda_corr_high(spark, sf):
     return rounded(P.high_correlation(I.bars(spark, sf), _BAR_PRICES), 6, "r")
 
 
-@query("eda_pairs", "SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem WHERE l_quantity IS NOT NULL "
-       "AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL")
+@query("eda_pairs", f"SELECT {', '.join(LINEITEM_NUMBERS)} FROM lineitem WHERE "
+       + " AND ".join(f"{c} IS NOT NULL" for c in LINEITEM_NUMBERS))
 def eda_pairs(spark, sf):
     return P.pairs(lineitem(spark, sf), LINEITEM_NUMBERS)
 

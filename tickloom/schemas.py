@@ -34,7 +34,7 @@ STUDY_COLUMNS = [
 ]
 BAR_COLUMNS = REQUIRED_COLUMNS + STUDY_COLUMNS
 
-DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 LEVEL = T.StructType([
     T.StructField("Price", T.DoubleType()),

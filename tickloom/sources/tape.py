@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tape_from_events(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("event_type") != "error").select(
+    return events.select(
         F.concat(F.lit("S"), F.col("user_id") % 4).alias("symbol"),
         "ts",
         F.col("event_id").alias("trade_id"),
