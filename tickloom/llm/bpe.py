@@ -20,6 +20,8 @@ from tickloom.llm import text as T
 
 #: Stands between pieces while they are split together; no word pattern matches white space.
 _BREAK = "\n"
+#: Bytes of text encoded at once. A block's distinct pieces are merged together: larger blocks merge less, smaller ones hold less.
+BLOCK_BYTES = 1 << 20
 _NO_RANK = np.int64(1) << np.int64(40)
 
 
@@ -177,7 +179,7 @@ def encode_documents(documents: DataFrame, path: str, id: str = "doc_id", text:
 
     def run(batches):
         tool = encoder(path)
-        for rows, texts in T.text_blocks(batches, "__text"):
+        for rows, texts in T.text_blocks(batches, "__text", BLOCK_BYTES):
             found = tool.encode([t or b"" for t in texts])
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), pa.array([np.array(x[0].split(), np.int32) for x in found], pa.list_(pa.int32())),
@@ -197,7 +199,7 @@ def encode_digest(documents: DataFrame, path: str, id: str = "doc_id", text: str
 
     def run(batches):
         tool = encoder(path)
-        for rows, texts in T.text_blocks(batches, "__text"):
+        for rows, texts in T.text_blocks(batches, "__text", BLOCK_BYTES):
             found = tool.encode([t or b"" for t in texts])
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), pa.array([x[1] for x in found], pa.int64()),

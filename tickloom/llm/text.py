@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,17 @@ _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 _FINAL = U64(0xD6E8FEB86659FD93)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker serves one step after the other and otherwise keeps its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES):
     """Slices of the batches with their texts as UTF-8 bytes (None for null), `limit` bytes each."""
+    give_back()
     for batch in batches:
         column = batch.column(text).cast(pa.binary())
         ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -30,6 +40,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
             start = stop
+    give_back()
 
 
 class WordHashes(dict):
