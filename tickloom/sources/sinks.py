@@ -38,7 +38,7 @@ def export_features(df: DataFrame, path: str | None = None, fmt: str = "csv", fo
 
 
 def write_bar_table(df: DataFrame, table: str, buckets: int = 64) -> None:
-    """Bars bucketed by key: lookback and level joins on (symbol, DateTime) then need no shuffle."""
+    """Bars bucketed by key: aggregates by (symbol, DateTime) and plain joins on it then need no shuffle."""
     (df.write.mode("overwrite").format("parquet")
         .bucketBy(buckets, SYMBOL, TIME).sortBy(SYMBOL, TIME).saveAsTable(table))
 
