@@ -102,19 +102,23 @@ def validate_outliers_lineitem(spark, sf):
 , diffs AS (SELECT epoch(DateTime - lag(DateTime) OVER (PARTITION BY symbol ORDER BY DateTime)) AS step FROM dirty),
 stats AS (SELECT avg("Close") AS mean, stddev_samp("Close") AS std FROM dirty),
 findings AS (
-  SELECT 'optional_columns' AS "check", 'warning' AS severity, c AS "column", 1 AS n
+  SELECT 'optional_columns' AS "check", 'warning' AS severity, c AS "column", 1 AS n, CAST(NULL AS DOUBLE) AS pct,
+         CAST(NULL AS VARCHAR) AS detail
   FROM (VALUES ('RVOL'), ('Price'), ('CumulativeDelta')) v(c)
-  UNION ALL SELECT 'nulls', 'warning', 'Close', count(*) - count("Close") FROM dirty
-  UNION ALL SELECT 'nulls', 'warning', 'Delta', count(*) - count("Delta") FROM dirty
-  UNION ALL SELECT 'ohlc', 'issue', NULL, count(*) FROM dirty WHERE {_BAD_OHLC}
-  UNION ALL SELECT 'volume', 'issue', 'Volume', count(*) FROM dirty WHERE "Volume" < 0
-  UNION ALL SELECT 'gaps', 'warning', 'DateTime', count(*) FROM diffs
+  UNION ALL SELECT 'nulls', 'warning', 'Close', count(*) - count("Close"),
+            round((count(*) - count("Close")) * CAST(100 AS DOUBLE) / count(*), 6), NULL FROM dirty
+  UNION ALL SELECT 'nulls', 'warning', 'Delta', count(*) - count("Delta"),
+            round((count(*) - count("Delta")) * CAST(100 AS DOUBLE) / count(*), 6), NULL FROM dirty
+  UNION ALL SELECT 'ohlc', 'issue', NULL, count(*), NULL, NULL FROM dirty WHERE {_BAD_OHLC}
+  UNION ALL SELECT 'volume', 'issue', 'Volume', count(*), NULL, NULL FROM dirty WHERE "Volume" < 0
+  UNION ALL SELECT 'gaps', 'warning', 'DateTime', count(*), NULL,
+            (SELECT printf('median %g s, largest %g s', quantile_cont(step, 0.5), max(step)) FROM diffs) FROM diffs
             WHERE step > 10 * (SELECT quantile_cont(step, 0.5) FROM diffs)
-  UNION ALL SELECT 'outliers', 'warning', 'Close', count(*) FROM dirty, stats
+  UNION ALL SELECT 'outliers', 'warning', 'Close', count(*), NULL, NULL FROM dirty, stats
             WHERE "Close" > mean + 5 * std OR "Close" < mean - 5 * std)
-SELECT "check", severity, "column", CAST(n AS BIGINT) AS n FROM findings WHERE n > 0""")
+SELECT "check", severity, "column", CAST(n AS BIGINT) AS n, pct, detail FROM findings WHERE n > 0""")
 def validate_report(spark, sf):
-    return Q.report(I.dirty_bars(spark, sf)).select("check", "severity", "column", "n")
+    return rounded(Q.report(I.dirty_bars(spark, sf)), 6, "pct")
 
 
 @query("validate_duplicates", with_ctes(DIRTY_EVENTS_SQL) + """

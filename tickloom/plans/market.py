@@ -95,17 +95,20 @@ def flatten_vbp(spark, sf):
                   "NumOfTrades")
 
 
-@query("bar_level_outer_join", with_ctes(TAPE, BARS, LEVELS) + """
+@query("bar_level_outer_join", with_ctes(TAPE, BARS, LEVELS) + f"""
 SELECT coalesce(b.symbol, l.symbol) AS symbol, coalesce(b.DateTime, l.DateTime) AS DateTime, b.close, l.price,
        l.total_volume,
        CASE WHEN b.symbol IS NULL THEN 'level' WHEN l.symbol IS NULL THEN 'bar' ELSE 'both' END AS side_flag
-FROM (SELECT * FROM bars WHERE CAST(DateTime AS DATE) <> DATE '2024-01-05') b
-FULL OUTER JOIN (SELECT * FROM levels WHERE CAST(DateTime AS DATE) <> DATE '2024-01-10') l
+FROM (SELECT * REPLACE (CASE WHEN {SLOT} % 5 = 0 THEN symbol || '-bar' ELSE symbol END AS symbol) FROM bars) b
+FULL OUTER JOIN (SELECT * REPLACE (CASE WHEN {SLOT} % 7 = 0 THEN symbol || '-level' ELSE symbol END AS symbol) FROM levels) l
   ON b.symbol = l.symbol AND b.DateTime = l.DateTime""")
 def bar_level_outer_join(spark, sf):
-    bars = I.bars(spark, sf).filter(F.to_date(TIME) != F.lit("2024-01-05")).select(*BAR_KEY, "Close")
-    levels = I.levels(spark, sf).filter(F.to_date(TIME) != F.lit("2024-01-10")).select(
-        *BAR_KEY, "Price", "TotalVolume")
+    """All bars and levels; some of either get a symbol that the other side does not have."""
+    def renamed(every, mark):
+        return F.when(I.slot() % every == 0, F.concat("symbol", F.lit(mark))).otherwise(F.col("symbol"))
+
+    bars = I.bars(spark, sf).withColumn("symbol", renamed(5, "-bar")).select(*BAR_KEY, "Close")
+    levels = I.levels(spark, sf).withColumn("symbol", renamed(7, "-level")).select(*BAR_KEY, "Price", "TotalVolume")
     flag = (F.when(F.col("Close").isNull(), "level").when(F.col("Price").isNull(), "bar").otherwise("both"))
     return result(R.join_levels(bars, levels), *BAR_KEY, "Close", "Price", "TotalVolume", flag.alias("side_flag"))
 
