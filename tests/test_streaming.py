@@ -103,6 +103,30 @@ def test_late_bar_goes_to_quarantine(spark, tmp_path):
     assert [e["timestamp"] for e in last["lookback"]] == [at(2), at(0)]
 
 
+def test_entries_keep_their_types(spark, tmp_path):
+    """Whole numbers beyond 2^53, text and NULLs come back from the state as they were; a bar without a time is late."""
+    schema = "symbol string, DateTime timestamp_ntz, Volume bigint, Note string, Close double"
+    rows = [("A", at(0), (1 << 53) + 1, 'a "b", c', 0.1), ("A", at(1), None, None, float("nan")), ("A", at(2), 5, "", 1e300)]
+    feed = Feed(spark, str(tmp_path / "in"), schema)
+    feed.add(rows[:1])
+    feed.add([*rows[1:], ("A", None, 1, "x", 1.0)])
+    kept = stream_lookback(feed.stream(), 3, ["Volume", "Note", "Close"], keep_late=True)
+    out = {r["DateTime"]: r for r in drain(kept, str(tmp_path / "out"), f"types-{tmp_path.name}").collect()}
+    assert [tuple(e) for e in out[at(1)]["lookback"]] == [(at(0), (1 << 53) + 1, 'a "b", c', 0.1)]
+    assert [str(e) for e in out[at(2)]["lookback"][0]] == [str(at(1)), "None", "None", "nan"]
+    assert [r["late"] for r in out.values()].count(True) == 1 and out[None]["late"]
+
+
+def test_live_loop_keeps_late_bars(spark, tmp_path):
+    feed = Feed(spark, str(tmp_path / "in"))
+    feed.add([bar("A", 0), bar("A", 2)])
+    feed.add([bar("A", 1), bar("A", 3)])
+    path = str(tmp_path / "out")
+    live.run_live(feed.stream(), path, label=f"keep-{tmp_path.name}", available_now=True, keep_late=True).awaitTermination()
+    rows = {(r["DateTime"], r["late"]) for r in spark.read.parquet(path).collect()}
+    assert rows == {(at(0), False), (at(1), True), (at(2), False), (at(3), False)}
+
+
 RAW = BARS + ", IsBarClosed boolean"
 
 
@@ -195,6 +219,20 @@ def test_closed_stream_bars_equal_batch_bars(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.select(out.columns).collect()))
 
 
+def test_newest_versions_equal_batch_bars(spark, tmp_path):
+    """Open bars included; bars that change in several batches count with their last version."""
+    rows = [("A", at(i // 7), i, float(i % 5), i % 7 + 1, "ask" if i % 2 else "bid") for i in range(60)]
+    feed = Feed(spark, str(tmp_path / "in"), TRADES)
+    for part in chunks(rows, 5):
+        feed.add(part)
+    made = live.plain_time(live.bars_from_trades(feed.stream()))
+    live.update_files(made, str(tmp_path / "out"), f"newest-{tmp_path.name}", available_now=True).awaitTermination()
+    out = live.newest(spark, str(tmp_path / "out"), made.schema, ["symbol", "DateTime"]).select(made.columns)
+    batch = B.ohlcv(spark.createDataFrame(rows, TRADES)).select(made.columns)
+    assert spark.read.parquet(str(tmp_path / "out")).count() > batch.count()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_location(spark, "x") == f"{checkpoint_root(spark)}/x"
     assert checkpoint_root(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.lookback import level_lookback
 from tickloom.operators.reshape import flatten, from_date
 from tickloom.plans import inputs as I
 from tickloom.plans.base_sql import BARS, TAPE, with_ctes
@@ -30,30 +31,31 @@ def _events_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("stream_bars", with_ctes(TAPE, BARS) + """
-SELECT symbol, DateTime, open, high, low, close, volume, delta FROM bars
-WHERE DateTime + INTERVAL '15 minutes' <= (SELECT max(ts) FROM tape) - INTERVAL '30 minutes'""")
+SELECT symbol, DateTime, open, high, low, close, volume, delta FROM bars""")
 def stream_bars(spark, sf):
-    made = live.bars_from_trades(tape_from_events(_events_stream(spark, sf)))
-    closed = live.plain_time(result(made, *BAR_KEY, "Open", "High", "Low", "Close", "Volume", "Delta"))
-    return _to_end(closed)
+    """Every change of a bar is written; the last version of each is the bar, the open ones at the end included."""
+    made = live.plain_time(live.bars_from_trades(tape_from_events(_events_stream(spark, sf))))
+    path = checkpoint_location(spark)
+    live.update_files(made, path, available_now=True).awaitTermination()
+    return result(live.newest(spark, path, made.schema, BAR_KEY), *BAR_KEY, "Open", "High", "Low", "Close", "Volume", "Delta")
 
 
 @query("stream_lookback", LOOKBACK_SQL + """
 SELECT l.symbol, l.DateTime, l.price, h.bar_index - p.bar_index AS i, p.DateTime AS t_ts, p.head_price AS t_price,
        p.close AS t_close
 FROM levels l JOIN heads h ON l.symbol = h.symbol AND l.DateTime = h.DateTime
-JOIN heads p ON p.symbol = h.symbol AND p.bar_index BETWEEN h.bar_index - 10 AND h.bar_index - 1
-WHERE l.DateTime >= TIMESTAMP '2024-01-25'""")
+JOIN heads p ON p.symbol = h.symbol AND p.bar_index BETWEEN h.bar_index - 10 AND h.bar_index - 1""")
 def stream_lookback_rows(spark, sf):
-    """History is batch; the bars after it are streamed on top of the last ten per symbol."""
+    """History is batch; the bars after it are streamed on top of the last ten per symbol. All bars' rows."""
     bars = I.nested(spark, sf)
     cutoff = F.lit("2024-01-25").cast("timestamp_ntz")
-    start = bootstrap(bars.filter(F.col(TIME) < cutoff), 10)
+    history = bars.filter(F.col(TIME) < cutoff)
     later = from_date(bars, "2024-01-25").withColumn("index", F.lit(None).cast("bigint"))
-    arriving = start.unionByName(later)
+    arriving = bootstrap(history, 10).unionByName(later)
     stream = live.read_bar_stream(spark, write_stage(arriving, "arriving"), arriving.schema)
-    rows = flatten(stream_lookback(stream, 10, ["Price", "Close"])).filter(F.col(TIME) >= cutoff)
-    long = _to_end(rows).select(*BAR_KEY, "Price", F.posexplode("lookback").alias("at", "t"))
+    streamed = _to_end(flatten(stream_lookback(stream, 10, ["Price", "Close"])).filter(F.col(TIME) >= cutoff))
+    rows = level_lookback(history, 10, ["Price", "Close"]).unionByName(streamed)
+    long = rows.select(*BAR_KEY, "Price", F.posexplode("lookback").alias("at", "t"))
     return result(long, *BAR_KEY, "Price", (F.col("at") + 1).cast("bigint").alias("i"),
                   F.col("t.timestamp").alias("t_ts"), F.col("t.Price").alias("t_price"),
                   F.col("t.Close").alias("t_close"))

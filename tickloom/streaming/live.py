@@ -28,6 +28,8 @@ from tickloom.streaming.lookback import stream_lookback
 log = logging.getLogger(__name__)
 
 LATENESS = "30 minutes"
+#: Partition column of the versions that update_files writes.
+VERSION = "__batch"
 
 
 def read_bar_stream(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR, fmt: str = "parquet",
@@ -71,17 +73,18 @@ def drop_seen(stream: DataFrame, lateness: str = LATENESS, values: Sequence[str]
 
 
 def live_levels(bars: DataFrame, n: int = 10, columns: Sequence[str] | None = None, on_bar_close: bool = True,
-                lateness: str = LATENESS) -> DataFrame:
+                lateness: str = LATENESS, keep_late: bool = False) -> DataFrame:
     """Raw bar stream to flat level rows with their lookback.
 
     With `on_bar_close` only closed bars pass, each once; they alone feed the lookback. Without
-    it every update of a bar passes, flat and cleaned, and carries no lookback.
+    it every update of a bar passes, flat and cleaned, and carries no lookback. `keep_late` keeps
+    bars that come too late for a lookback, marked in the column `late`.
     """
     if not on_bar_close:
         return plain_time(to_flat(bars))
     closed = B.closed_bars(bars) if HELPER_COLUMNS[0] in bars.columns else bars
     once = event_time(closed, lateness).dropDuplicatesWithinWatermark(BAR_KEY)
-    looked = stream_lookback(clean(once), n, columns)
+    looked = stream_lookback(clean(once), n, columns, keep_late)
     return plain_time(flatten(looked))
 
 
@@ -106,6 +109,21 @@ def append_files(stream: DataFrame, path: str, fmt: str = "parquet", label: str
     return writer.start(path)
 
 
+def update_files(stream: DataFrame, path: str, label: str | None = None, available_now: bool = False) -> StreamingQuery:
+    """Every change of an open row, one folder per micro-batch; a batch that is repeated replaces its folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{VERSION}={batch_id}")
+
+    return deliver(stream, write, label, available_now, "update")
+
+
+def newest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The last version of each row that `update_files` wrote, rows that are still open included."""
+    versions = spark.read.schema(T.StructType([*schema.fields, T.StructField(VERSION, T.LongType())])).parquet(path)
+    rest = [c for c in schema.names if c not in keys]
+    return versions.groupBy(*[named(k) for k in keys]).agg(*[F.max_by(named(c), VERSION).alias(c) for c in rest])
+
+
 def deliver(stream: DataFrame, callback: Callable[[DataFrame, int], None], label: str | None = None,
             available_now: bool = False, mode: str = "append") -> StreamingQuery:
     """Hand every micro-batch to a function. An error fails the batch, which is then retried on restart."""
@@ -144,9 +162,10 @@ def monitor(bars: DataFrame, show: Callable[[DataFrame, int], None], label: str
 
 
 def run_live(bars: DataFrame, path: str, n: int = 10, columns: Sequence[str] | None = None, fmt: str = "parquet",
-             label: str | None = None, available_now: bool = False) -> StreamingQuery:
+             label: str | None = None, available_now: bool = False, keep_late: bool = False) -> StreamingQuery:
     """The live loop: closed bars, each once, flat, with lookback, appended to files.
 
-    Stop it with `query.stop()`; with the same label it goes on from its checkpoint.
+    Stop it with `query.stop()`; with the same label it goes on from its checkpoint. With `keep_late`, bars that
+    come too late for a lookback are appended too, marked in the column `late`.
     """
-    return append_files(live_levels(bars, n, columns), path, fmt, label, available_now)
+    return append_files(live_levels(bars, n, columns, keep_late=keep_late), path, fmt, label, available_now)

@@ -20,42 +20,37 @@ from tickloom.operators.lookback import LOOKBACK, bar_index, entry_struct
 from tickloom.operators.sequence import last_n_per_key
 from tickloom.schemas import SYMBOL, TIME
 
-# last: microseconds of the newest bar; times and values: the newest bars, latest first
-STATE = "seen bigint, last bigint, times array<bigint>, entries array<array<double>>"
+# last: microseconds of the newest bar; entries: the newest bars' entries as text, latest first
+STATE = "seen bigint, last bigint, entries array<string>"
 
-# Bars travel through the Python function as text; times keep their microseconds
+# Bars and entries travel through the Python function as text: every type stays what it was, times keep their microseconds
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _step(n: int):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, last, times, entries = state.get if state.exists else (0, None, [], [])
-        times, entries = list(times), [list(e) for e in entries]
+        seen, last, entries = state.get if state.exists else (0, None, [])
+        entries = list(entries)
         # One symbol's bars of one micro-batch, at most one per bar width
         batch = pd.concat(list(batches)).sort_values("__time", kind="stable")
-        places, late, past_times, past_entries = [], [], [], []
+        places, late, past = [], [], []
         for time, given, entry in zip(batch["__time"], batch["__index"], batch["__entry"]):
-            behind = last is not None and time <= last
+            behind = pd.isna(time) or last is not None and time <= last
             late.append(behind)
             if behind:
                 places.append(None)
-                past_times.append(None)
-                past_entries.append(None)
+                past.append(None)
                 continue
             if not pd.isna(given):
                 seen = int(given)
             places.append(seen)
-            past_times.append(list(times))
-            past_entries.append([x for e in entries for x in e])
+            past.append("[" + ",".join(entries) + "]")
             seen, last = seen + 1, int(time)
-            times = [last, *times][:n]
-            values = [None if x is None or pd.isna(x) else float(x) for x in entry]
-            entries = [values, *entries][:n]
-        state.update((seen, last, times, entries))
+            entries = [entry, *entries][:n]
+        state.update((seen, last, entries))
         yield pd.DataFrame({
             **{c: batch[c] for c in batch.columns if not c.startswith("__")},
-            "index": pd.array(places, dtype="Int64"), "late": late,
-            "__times": past_times, "__values": past_entries,
+            "index": pd.array(places, dtype="Int64"), "late": late, "__past": past,
         })
 
     return advance
@@ -63,43 +58,34 @@ def _step(n: int):
 
 def stream_lookback(bars: DataFrame, n: int = LOOKBACK, columns: Sequence[str] | None = None,
                     keep_late: bool = False) -> DataFrame:
-    """Add `index` and `lookback` to a stream of bars (entry columns must be numeric).
+    """Add `index` and `lookback` to a stream of bars; entries keep the columns' types.
 
     An optional input column `index` gives positions to continue from, as `bootstrap` does. A bar
-    that is not newer than what its symbol has seen cannot have a lookback any more: it is left
-    out, or kept with `late` set and no lookback, for a quarantine.
+    that is not newer than what its symbol has seen, or has no time, cannot have a lookback any more: it is
+    left out, or kept with `late` set and no lookback, for a quarantine.
     """
     has_index = "index" in bars.columns
     body = [c for c in bars.columns if c not in (SYMBOL, "index")]
     entry = entry_struct(bars.drop("index"), columns)
-    kinds = {f.name: f.dataType for f in bars.select(entry.alias("e")).schema["e"].dataType.fields[1:]}
-    names = list(kinds)
     payload = F.struct(*[quoted(c) for c in body])
     packed = bars.select(
         SYMBOL, F.unix_micros(F.col(TIME).cast("timestamp")).alias("__time"),
-        (F.col("index") if has_index else F.lit(None)).cast("double").alias("__index"),
-        F.array(*[entry.getField(c).cast("double") for c in names]).alias("__entry"),
+        (F.col("index") if has_index else F.lit(None)).cast("string").alias("__index"),
+        F.to_json(entry, JSON_TIMES).alias("__entry"),
         F.to_json(payload, JSON_TIMES).alias("row"),
     )
     out = T.StructType([
         T.StructField(SYMBOL, T.StringType()), T.StructField("row", T.StringType()),
         T.StructField("index", T.LongType()), T.StructField("late", T.BooleanType()),
-        T.StructField("__times", T.ArrayType(T.LongType())),
-        T.StructField("__values", T.ArrayType(T.DoubleType())),
+        T.StructField("__past", T.StringType()),
     ])
-    width = len(names)
     done = packed.groupBy(SYMBOL).applyInPandasWithState(
         _step(n), out, STATE, "append", GroupStateTimeout.NoTimeout)
-    time_type = bars.schema[TIME].dataType
-
-    def past(time, i):
-        return F.struct(F.timestamp_micros(time).cast(time_type).alias("timestamp"), *[
-            F.get("__values", i * width + k).cast(kinds[c]).alias(c) for k, c in enumerate(names)])
-
+    past_type = T.ArrayType(bars.drop("index").select(entry.alias("e")).schema["e"].dataType)
     body_type = bars.select(payload.alias("p")).schema["p"].dataType
     opened = done.select(
         SYMBOL, F.from_json("row", body_type, JSON_TIMES).alias("r"), "index", "late",
-        F.transform("__times", past).alias("lookback"))
+        F.from_json("__past", past_type, JSON_TIMES).alias("lookback"))
     rows = opened.select(SYMBOL, *[F.col(f"r.{quoted(c)}").alias(c) for c in body], "index", "lookback", "late")
     return rows if keep_late else rows.filter(~F.col("late")).drop("late")
 
