@@ -63,6 +63,11 @@ def test_bars_and_levels_aggregate_by_hash(spark, small):
     assert "SortAggregate" not in plan(I.levels(spark, small))
 
 
+def test_point_of_control_keeps_one_level_before_the_sort_ends(spark, small):
+    text = plan(entry.queries()["poc"](spark, small))
+    assert "WindowGroupLimit" in text and "max_by" not in text
+
+
 def test_last_bars_are_limited_before_the_shuffle(spark, small):
     text = plan(entry.queries()["bars_last_n"](spark, small))
     assert "WindowGroupLimit" in text and TIME in text

@@ -78,6 +78,16 @@ def test_report(spark):
     assert not Q.verdict(Q.report(negative))
 
 
+def test_path_in_one_call(spark, tmp_path):
+    (tmp_path / "good.csv").write_text("when,Open,High,Low,Close,Volume\n2024-01-02 10:00:00,1,2,1,2,5\n2024-01-02 10:01:00,1,2,1,2,5\n")
+    rows, passed = Q.validate_path(spark, str(tmp_path / "good.csv"))
+    first = rows.first()
+    assert passed and (first["n"], first["detail"]) == (2, "6 columns, 2024-01-02 10:00:00 to 2024-01-02 10:01:00")
+    (tmp_path / "bad.csv").write_text("when,Open,High,Low,Close,Volume\n2024-01-02 10:00:00,1,2,3,2,5\nnever,1,2,1,2,-5\n")
+    rows, passed = Q.validate_path(spark, str(tmp_path / "bad.csv"))
+    assert not passed and {r["check"] for r in rows.collect()} >= {"table", "ohlc", "volume", "nulls"}
+
+
 def test_backward_steps_within_and_across_blocks(spark):
     seconds = [0, 5, 3, 4, 2, 9, 9, 1]
     df = spark.createDataFrame([(i, START + timedelta(seconds=s)) for i, s in enumerate(seconds)],

@@ -23,8 +23,9 @@ IMBALANCE = 1.5
 
 def point_of_control(levels: DataFrame) -> DataFrame:
     """Price with the largest volume per bar, the lowest one on a tie."""
-    return levels.groupBy(*BAR_KEY).agg(
-        F.max_by("Price", F.struct("TotalVolume", -F.col("Price"))).alias("PocPrice"))
+    by_size = _bar_window().orderBy(F.col("TotalVolume").desc(), F.col("Price").asc_nulls_last())
+    return (levels.withColumn("__rn", F.row_number().over(by_size)).filter(F.col("__rn") == 1)
+            .select(*BAR_KEY, F.col("Price").alias("PocPrice")))
 
 
 def _bar_window():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import micros_between, named
@@ -12,8 +12,10 @@ from tickloom.operators.quantiles import quantiles_of_counts
 from tickloom.operators.sequence import lagged
 from tickloom.schemas import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SYMBOL, TIME
 from tickloom.session import stage
+from tickloom.sources.files import read_indexed_csv
+from tickloom.sources.sinks import run_summary
 
-ISSUE, WARNING = "issue", "warning"
+ISSUE, WARNING, INFO = "issue", "warning", "info"
 GAP_FACTOR = 10
 OUTLIER_SIGMAS = 5
 # Pieces per doubling of the step size when step sizes are ranked
@@ -177,6 +179,18 @@ def verdict(report_rows: DataFrame) -> bool:
     return report_rows.filter(F.col("severity") == ISSUE).isEmpty()
 
 
+def validate_path(spark: SparkSession, path: str, grain: str = "bar") -> tuple[DataFrame, bool]:
+    """Report on CSV files whose first column is the time, and whether they pass.
+
+    The first row (check `table`) tells rows, columns and the range of times; an empty table has no range.
+    """
+    df = read_indexed_csv(spark, path)
+    seen, found = run_summary(df).first(), report(df, grain)
+    span = f"{seen['columns']} columns, {seen['min_ts']} to {seen['max_ts']}" if seen["min_ts"] else f"{seen['columns']} columns"
+    head = spark.createDataFrame([("table", INFO, None, seen["rows"], None, span)], REPORT)
+    return head.union(found), verdict(found)
+
+
 def quarantine(raw: DataFrame, time: str = TIME, price: str = "Price", volume: str = "TotalVolume") -> DataFrame:
     """Text rows to typed rows, with the reason why a row cannot be used ('ok' when it can)."""
     parsed = raw.select(

@@ -96,9 +96,9 @@ def _at_ranks(counts: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     )
     at = F.col("p") * F.col("last")
     targets = (
-        spans.withColumn("p", F.explode(F.lit([float(p) for p in probabilities])))
-        # A rank within one of this span, before the exact comparison below
-        .filter((at > F.col("start") - 1) & (at < F.col("end") + 1))
+        # Only probabilities whose rank is within one of this span, before the exact comparison below
+        spans.withColumn("p", F.explode(F.filter(F.lit([float(p) for p in probabilities]), lambda p: (
+            (p * F.col("last") > F.col("start") - 1) & (p * F.col("last") < F.col("end") + 1)))))
         .withColumn("up", F.explode(F.lit([False, True])))
         .withColumn("rank", F.when(F.col("up"), F.ceil(at)).otherwise(F.floor(at)))
     )

@@ -9,6 +9,9 @@ from tickloom.plans import inputs as I
 from tickloom.plans.base_sql import BARS, DIRTY, LEVELS, TAPE, with_ctes
 from tickloom.plans.inputs import DIRTY_EVENTS_SQL
 from tickloom.plans.registry import query, rounded, significant
+from tickloom.schemas import TIME
+from tickloom.session import checkpoint_location
+from tickloom.sources.sinks import write_csv
 from tickloom.sources.tape import table
 
 ON_DIRTY = with_ctes(TAPE, BARS, DIRTY)
@@ -98,7 +101,7 @@ def validate_outliers_lineitem(spark, sf):
     return significant(found, "mean", "std")
 
 
-@query("validate_report", ON_DIRTY + f"""
+_FINDINGS = f"""
 , diffs AS (SELECT epoch(DateTime - lag(DateTime) OVER (PARTITION BY symbol ORDER BY DateTime)) AS step FROM dirty),
 stats AS (SELECT avg("Close") AS mean, stddev_samp("Close") AS std FROM dirty),
 findings AS (
@@ -115,12 +118,26 @@ findings AS (
             (SELECT printf('median %g s, largest %g s', quantile_cont(step, 0.5), max(step)) FROM diffs) FROM diffs
             WHERE step > 10 * (SELECT quantile_cont(step, 0.5) FROM diffs)
   UNION ALL SELECT 'outliers', 'warning', 'Close', count(*), NULL, NULL FROM dirty, stats
-            WHERE "Close" > mean + 5 * std OR "Close" < mean - 5 * std)
+            WHERE "Close" > mean + 5 * std OR "Close" < mean - 5 * std)"""
+
+
+@query("validate_report", ON_DIRTY + _FINDINGS + """
 SELECT "check", severity, "column", CAST(n AS BIGINT) AS n, pct, detail FROM findings WHERE n > 0""")
 def validate_report(spark, sf):
     return rounded(Q.report(I.dirty_bars(spark, sf)), 6, "pct")
 
 
+@query("validate_csv", ON_DIRTY + _FINDINGS + """
+SELECT "check", severity, "column", CAST(n AS BIGINT) AS n, pct, detail FROM findings WHERE n > 0
+UNION ALL SELECT 'table', 'info', NULL, count(*), NULL,
+                 '8 columns, ' || CAST(min(DateTime) AS VARCHAR) || ' to ' || CAST(max(DateTime) AS VARCHAR) FROM dirty""")
+def validate_csv(spark, sf):
+    """Bars written as CSV, read back and judged in one call."""
+    bars = I.dirty_bars(spark, sf)
+    path = write_csv(bars.select(TIME, *[c for c in bars.columns if c != TIME]), checkpoint_location(spark))
+    return rounded(Q.validate_path(spark, path)[0], 6, "pct")
+
+
 @query("validate_duplicates", with_ctes(DIRTY_EVENTS_SQL) + """
 SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicate_rows
 FROM (SELECT event_id, ts, count(*) AS n FROM dirty_events GROUP BY 1, 2)""")
