@@ -116,18 +116,21 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def backward_steps(df: DataFrame, sequence: str, time: str, block: int = 65_536) -> DataFrame:
     """Rows whose time is earlier than that of the row before them in arrival order.
 
-    `sequence` is a whole number that gives the arrival order. Blocks of it are compared inside;
-    across blocks only their first and last rows meet.
+    `sequence` is a whole number that gives the arrival order. Blocks of it are compared inside; across blocks only
+    their first and last rows meet, first inside `block` blocks, then of those. The last window sees a row for
+    every block * block numbers.
     """
-    blocks = df.select(F.floor(F.col(sequence) / block).alias("b"), F.col(sequence).alias("s"),
-                       F.col(time).alias("t"))
-    stepped = blocks.withColumn("back", F.col("t") < F.lag("t").over(Window.partitionBy("b").orderBy("s")))
-    ends = stepped.groupBy("b").agg(
-        F.count_if("back").alias("inside"), F.min_by("t", "s").alias("first"), F.max_by("t", "s").alias("last"))
-    seam = F.col("first") < F.lag("last").over(Window.orderBy("b"))
-    return (ends.withColumn("seam", F.coalesce(seam.cast("bigint"), F.lit(0)))
-            .agg(F.coalesce(F.sum(F.col("inside") + F.col("seam")), F.lit(0)).cast("bigint")
-                 .alias("n_backward_steps")))
+    def joined(parts: DataFrame, *group: str) -> DataFrame:
+        back = F.col("first") < F.lag("last").over(Window.partitionBy(*group).orderBy("at"))
+        stepped = parts.withColumn("steps", F.col("steps") + F.coalesce(back.cast("bigint"), F.lit(0)))
+        return stepped.groupBy(*group).agg(
+            F.sum("steps").alias("steps"), F.min_by("first", "at").alias("first"), F.max_by("last", "at").alias("last"))
+
+    parts = df.select(F.col(sequence).alias("at"), F.col(time).alias("first"), F.col(time).alias("last"),
+                      F.lit(0).cast("bigint").alias("steps"))
+    for _ in range(2):
+        parts = joined(parts.withColumn("group", F.floor(F.col("at") / block)), "group").withColumnRenamed("group", "at")
+    return joined(parts).select(F.coalesce("steps", F.lit(0)).cast("bigint").alias("n_backward_steps"))
 
 
 REPORT = "check string, severity string, column string, n bigint, pct double, detail string"
