@@ -221,6 +221,15 @@ def test_disclosing_terms(spark):
     assert all(clean[k]["text"] == t for k, t, _ in data[5:45]) and all(r["n_chars"] == len(r["text"]) for r in clean.values())
 
 
+def test_disclosing_terms_beyond_ascii(spark):
+    names = ["Élodie", "ÉLODIE", "E\u0301lodie", "Élodie", "élodie"]  # the third is written with a mark of its own
+    data = [(k, f"{prose(k, 20)} {name} Özil {prose(50 + k, 1)} elo@corp.example.com {prose(90 + k, 20)}") for k, name in enumerate(names)]
+    data += [(100 + k, prose(200 + k, 60)) for k in range(40)]
+    found = {r["doc_id"]: r["added"] for r in personal_data.find_personal_data(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    for k, name in enumerate(names):
+        assert {name, "Özil"} <= {data[k][1][s["start"]:s["end"]] for s in found[k]}
+
+
 @pytest.mark.parametrize("words, percent", [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_join(spark, words, percent):
     r, data = random.Random(words), []

@@ -13,7 +13,6 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -36,8 +35,8 @@ PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[P
 REACH = 8
 #: Distinct terms counted in a worker before their counts are passed on.
 COUNTED_TERMS = 250_000
-_TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
-_TERMS = re.compile(r"[A-Za-z\x80-\U0010ffff]{3,}")
+#: Terms are runs of letters and their marks.
+_TERMS = re.compile(f"[{T.characters('L', 'M')}]{{3,}}")
 
 
 def luhn(digits: str) -> bool:
@@ -82,7 +81,17 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode()) - (1 << 63)
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
+class TermHashes(dict):
+    """Hash of each term in the form that all cases of it share; forgets all of them when it holds T.CACHE_WORDS."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= T.CACHE_WORDS:
+            self.clear()
+        value = self[term] = _hash(T.fold(term))
+        return value
+
+
+def mentions(text: str, spans: list[tuple[str, int, int]], cache: TermHashes) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
     """For each value and each term within REACH terms of it: (value, term, context, the term's places).
 
     Values are compared without case, spaces and marks. The context is a hash of the neighbours of the term's first
@@ -97,14 +106,14 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
         if not any(a < e and s < b for a, b in inside[k:k + len(KINDS) + 1]):
             free.append((s, e))
     starts = [s for s, _ in free]
-    words = [text[s:e].lower() for s, e in free]
+    words = [cache[text[s:e]] for s, e in free]
     found: dict[tuple[int, int], list] = {}
     for kind, s, e in spans:
         value = _hash(kind + ":" + (text[s:e].lower() if kind == "email" else "".join(c for c in text[s:e] if c.isdigit() or c == "." and kind == "ip")))
         middle = bisect_left(starts, s)
         for i in range(max(0, middle - REACH), min(len(free), middle + REACH)):
-            near = (words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")
-            entry = found.setdefault((value, _hash(words[i])), [_hash(near), set()])
+            near = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
+            entry = found.setdefault((value, words[i]), [_hash(near), set()])
             entry[1].add(free[i])
     return [(v, t, context, sorted(places)) for (v, t), (context, places) in found.items()]
 
@@ -118,6 +127,7 @@ def scan(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
     """id, spans of the patterns and mentions, for every row. A null text has none."""
 
     def run(batches):
+        cache = TermHashes()
         for rows, texts in T.text_blocks(batches, "__text"):
             spans, near = [], []
             for value in texts:
@@ -125,7 +135,7 @@ def scan(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
                 found = base_spans(whole)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
                 near.append([{"value": v, "term": t, "context": c, "places": [{"start": s, "end": e} for s, e in p]}
-                             for v, t, c, p in (mentions(whole, found) if found else [])])
+                             for v, t, c, p in (mentions(whole, found, cache) if found else [])])
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, _SPANS), pa.array(near, _MENTIONS)], ["id", "base", "near"])
 
     kind = documents.schema[id].dataType.simpleString()
@@ -142,16 +152,15 @@ def term_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         counts: Counter = Counter()
+        cache = TermHashes()
 
         def batch():
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in counts), np.uint64, len(counts))
-                         ^ np.uint64(1 << 63)).view(pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
         for _, texts in T.text_blocks(batches, "__text"):
             for value in texts:
                 if value:
-                    counts.update(set(value.translate(_TO_TERMS).split()))
+                    counts.update({cache[w] for w in set(_TERMS.findall(value.decode("utf-8")))})
                     if len(counts) > COUNTED_TERMS:
                         yield batch()
                         counts.clear()

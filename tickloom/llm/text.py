@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,24 @@ _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 _FINAL = U64(0xD6E8FEB86659FD93)
 
 
+def characters(*kinds: str) -> str:
+    """The code points of general categories that start with one of `kinds` (L, M, N), as ranges of a pattern's character class."""
+    found, first = [], None
+    for point in (*range(0x32400), *range(0xE0000, 0xE0200), sys.maxunicode):  # beyond and between, none is assigned to L, M or N
+        if unicodedata.category(chr(point))[0] in kinds:
+            first = point if first is None else first
+            last = point
+        elif first is not None:
+            found.append(f"\\U{first:08x}-\\U{last:08x}")
+            first = None
+    return "".join(found)
+
+
+def fold(text: str) -> str:
+    """One form of texts that differ in case or in how a character is written (NFKC_Casefold)."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
 def give_back() -> None:
     """Return freed memory to the system. A Python worker serves one step after the other and otherwise keeps its peak."""
     pa.default_memory_pool().release_unused()
