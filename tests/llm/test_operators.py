@@ -230,6 +230,18 @@ def test_disclosing_terms_beyond_ascii(spark):
         assert {name, "Özil"} <= {data[k][1][s["start"]:s["end"]] for s in found[k]}
 
 
+def test_copies_leave_evidence_alone(spark):
+    contact = "write to Quentin Overby at desk@corp.example.com today"  # the same neighbours in every document
+    data = [(k, f"{prose(k, 20)} {contact} {prose(90 + k, 20)}") for k in range(5)]
+    data += [(10 + k, f"{prose(777, 30)} {contact} {prose(778, 30)}") for k in range(60)]
+    data += [(100 + k, prose(200 + k, 60)) for k in range(40)]
+    found = {r["doc_id"]: r["added"] for r in personal_data.find_personal_data(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    for k, text in data[:65]:
+        assert {"Quentin", "Overby"} <= {text[s["start"]:s["end"]] for s in found[k]}
+    counts = {r["term"]: r["documents"] for r in personal_data.term_frequencies(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
+    assert counts[personal_data._hash("quentin")] == 6
+
+
 @pytest.mark.parametrize("words, percent", [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_join(spark, words, percent):
     r, data = random.Random(words), []

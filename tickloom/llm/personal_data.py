@@ -1,7 +1,7 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Patterns find protected values (addresses, numbers). Corpus statistics then tell how strongly a term reveals a value
-it stands next to: with n documents, disclosure = PMI(term, value) / information(value), where PMI = log2(n *
+it stands next to: with n documents (distinct texts), disclosure = PMI(term, value) / information(value), where PMI = log2(n *
 together / (with term * with value)) and information = log2(n / with value). It is 1 where the term never
 occurs without the value. Terms beyond a threshold are generalised, the strongest removed.
 """
@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,8 @@ PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[P
 REACH = 8
 #: Distinct terms counted in a worker before their counts are passed on.
 COUNTED_TERMS = 250_000
+#: Bits of the filters that tell which texts and terms are to be looked at (2 MB); what passes by chance changes no result.
+FILTER_BITS = 24
 #: Terms are runs of letters and their marks.
 _TERMS = re.compile(f"[{T.characters('L', 'M')}]{{3,}}")
 
@@ -91,11 +94,10 @@ class TermHashes(dict):
         return value
 
 
-def mentions(text: str, spans: list[tuple[str, int, int]], cache: TermHashes) -> list[tuple[int, int, int, list[tuple[int, int]]]]:
-    """For each value and each term within REACH terms of it: (value, term, context, the term's places).
+def mentions(text: str, spans: list[tuple[str, int, int]], cache: TermHashes) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """For each value and each term within REACH terms of it: (value, term, the term's places).
 
-    Values are compared without case, spaces and marks. The context is a hash of the neighbours of the term's first
-    place; copies of a passage have the same one and count as one piece of evidence.
+    Values are compared without case, spaces and marks.
     """
     terms = [(m.start(), m.end()) for m in _TERMS.finditer(text)]
     inside = sorted((s, e) for _, s, e in spans)
@@ -107,24 +109,45 @@ def mentions(text: str, spans: list[tuple[str, int, int]], cache: TermHashes) ->
             free.append((s, e))
     starts = [s for s, _ in free]
     words = [cache[text[s:e]] for s, e in free]
-    found: dict[tuple[int, int], list] = {}
+    found: dict[tuple[int, int], set] = {}
     for kind, s, e in spans:
         value = _hash(kind + ":" + (text[s:e].lower() if kind == "email" else "".join(c for c in text[s:e] if c.isdigit() or c == "." and kind == "ip")))
         middle = bisect_left(starts, s)
         for i in range(max(0, middle - REACH), min(len(free), middle + REACH)):
-            near = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
-            entry = found.setdefault((value, words[i]), [_hash(near), set()])
-            entry[1].add(free[i])
-    return [(v, t, context, sorted(places)) for (v, t), (context, places) in found.items()]
+            found.setdefault((value, words[i]), set()).add(free[i])
+    return [(v, t, sorted(places)) for (v, t), places in found.items()]
 
 
 _PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_MENTIONS = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("places", _PLACES)]))
+_MENTIONS = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("places", _PLACES)]))
+
+
+def copy_of(text: str) -> Column:
+    """Equal for copies of one text, which are one piece of evidence however many there are."""
+    return F.when(F.col(f"`{text}`").isNotNull(), F.xxhash64(F.col(f"`{text}`")))
+
+
+def hash_filter(hashes: DataFrame, column: str):
+    """A broadcast of FILTER_BITS bits, those of the column's hashes set; None if there is no hash."""
+    bit = F.pmod(F.col(column), F.lit(1 << FILTER_BITS))
+    words = hashes.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits")).collect()
+    if not words:
+        return None
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for row in words:
+        bitmap[row["word"]] = row["bits"]
+    return hashes.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _in_filter(bitmap: np.ndarray, value: int) -> bool:
+    bit = value & ((1 << FILTER_BITS) - 1)
+    return bool(int(bitmap[bit >> 6]) >> (bit & 63) & 1)
 
 
 def scan(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, spans of the patterns and mentions, for every row. A null text has none."""
+    """id, hash of the text, spans of the patterns and mentions, for every row. A null text has none."""
 
     def run(batches):
         cache = TermHashes()
@@ -134,57 +157,66 @@ def scan(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
                 whole = (value or b"").decode("utf-8")
                 found = base_spans(whole)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                near.append([{"value": v, "term": t, "context": c, "places": [{"start": s, "end": e} for s, e in p]}
-                             for v, t, c, p in (mentions(whole, found, cache) if found else [])])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(spans, _SPANS), pa.array(near, _MENTIONS)], ["id", "base", "near"])
+                near.append([{"value": v, "term": t, "places": [{"start": s, "end": e} for s, e in p]}
+                             for v, t, p in (mentions(whole, found, cache) if found else [])])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(spans, _SPANS), pa.array(near, _MENTIONS)], ["id", "copy", "base", "near"])
 
     kind = documents.schema[id].dataType.simpleString()
-    source = documents.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, f"id {kind}, base array<struct<kind:string,start:bigint,end:bigint>>, "
-                             "near array<struct<value:bigint,term:bigint,context:bigint,places:array<struct<start:bigint,end:bigint>>>>")
+    source = documents.select(F.col(f"`{id}`").alias("__id"), copy_of(text).alias("__copy"), F.col(f"`{text}`").alias("__text"))
+    return source.mapInArrow(run, f"id {kind}, copy bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
+                             "near array<struct<value:bigint,term:bigint,places:array<struct<start:bigint,end:bigint>>>>")
 
 
 def term_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(term, documents): in how many rows each term occurs, over all texts.
+    """(term, documents): in how many distinct texts each term occurs, over all texts.
 
-    Workers add up the counts of at most COUNTED_TERMS terms before passing them on.
+    Workers add up the counts of at most COUNTED_TERMS terms before passing them on. Texts that may be repeated
+    pass on their terms one by one, each with the text's hash, and every pair counts once.
     """
+    source = documents.filter(F.col(f"`{text}`").isNotNull()).select(copy_of(text).alias("__copy"), F.col(f"`{text}`").alias("__text"))
+    repeated = hash_filter(source.groupBy("__copy").count().filter("count > 1"), "__copy")
 
     def run(batches):
         counts: Counter = Counter()
+        pairs: set[tuple[int, int]] = set()
         cache = TermHashes()
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+            terms = [*counts, *(t for t, _ in pairs)]
+            copies = pa.array([*[None] * len(counts), *(c for _, c in pairs)], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), copies, pa.array([*counts.values(), *[1] * len(pairs)], pa.int64())], ["term", "copy", "n"])
 
-        for _, texts in T.text_blocks(batches, "__text"):
-            for value in texts:
-                if value:
-                    counts.update({cache[w] for w in set(_TERMS.findall(value.decode("utf-8")))})
-                    if len(counts) > COUNTED_TERMS:
-                        yield batch()
-                        counts.clear()
+        for rows, texts in T.text_blocks(batches, "__text"):
+            for copy, value in zip(rows.column(0).to_pylist(), texts):
+                terms = {cache[w] for w in set(_TERMS.findall(value.decode("utf-8")))}
+                if repeated is not None and _in_filter(repeated.value, copy):
+                    pairs.update((t, copy) for t in terms)
+                else:
+                    counts.update(terms)
+                if len(counts) + len(pairs) > COUNTED_TERMS:
+                    yield batch()
+                    counts.clear()
+                    pairs.clear()
         yield batch()
 
-    partial = documents.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "term bigint, n bigint")
-    return partial.groupBy("term").agg(F.sum("n").alias("documents"))
+    partial = source.mapInArrow(run, "term bigint, copy bigint, n bigint")
+    once = partial.groupBy("term", "copy").agg(F.when(F.col("copy").isNull(), F.sum("n")).otherwise(1).alias("n"))
+    return once.groupBy("term").agg(F.sum("n").alias("documents"))
 
 
-def disclosing_terms(scanned: DataFrame, frequencies: DataFrame, rows: int, threshold: float, least_documents: int) -> DataFrame:
+def disclosing_terms(scanned: DataFrame, frequencies: DataFrame, texts: int, threshold: float, least_documents: int) -> DataFrame:
     """(value, term, disclosure) of the pairs at or above the threshold.
 
-    A pair needs `least_documents` documents, and contexts that differ in at least half of them: the copies of one
-    passage say nothing about how a term is used.
+    Documents are distinct texts everywhere: copies add nothing to a pair, and take nothing from it. A pair needs
+    `least_documents` of them.
     """
-    pairs = (scanned.select(F.explode("near").alias("m")).groupBy("m.value", "m.term")
-             .agg(F.count(F.lit(1)).alias("together"), F.count_distinct("m.context").alias("contexts"))
-             .filter((F.col("together") >= least_documents) & (2 * F.col("contexts") >= F.col("together"))
-                     & (F.col("contexts") >= least_documents)))
-    values = (scanned.select(F.explode(F.array_distinct(F.transform("near", lambda m: m["value"]))).alias("value"))
-              .groupBy("value").agg(F.count(F.lit(1)).alias("with_value")))
-    information = F.log2(F.lit(float(rows)) / F.col("with_value"))
-    pmi = F.log2(F.lit(float(rows)) * F.col("together") / (F.col("documents") * F.col("with_value")))
-    return (pairs.join(values, "value").join(frequencies, "term").filter(F.col("with_value") < rows)
+    pairs = (scanned.select("copy", F.explode("near").alias("m")).groupBy("m.value", "m.term")
+             .agg(F.count_distinct("copy").alias("together")).filter(F.col("together") >= least_documents))
+    values = (scanned.select("copy", F.explode(F.array_distinct(F.transform("near", lambda m: m["value"]))).alias("value"))
+              .groupBy("value").agg(F.count_distinct("copy").alias("with_value")))
+    information = F.log2(F.lit(float(texts)) / F.col("with_value"))
+    pmi = F.log2(F.lit(float(texts)) * F.col("together") / (F.col("documents") * F.col("with_value")))
+    return (pairs.join(values, "value").join(frequencies, "term").filter(F.col("with_value") < texts)
             .select("value", "term", (pmi / information).alias("disclosure")).filter(F.col("disclosure") >= threshold))
 
 
@@ -197,8 +229,8 @@ def find_personal_data(documents: DataFrame, id: str = "doc_id", text: str = "te
     shared folder once, so the patterns run once; texts are never shuffled.
     """
     scanned = stage(scan(documents, id, text).withColumn("row", F.monotonically_increasing_id()), "personal-data")
-    rows = scanned.count()
-    strong = disclosing_terms(scanned, term_frequencies(documents, text), rows, threshold, least_documents)
+    texts = scanned.select(F.count_distinct("copy")).first()[0]
+    strong = disclosing_terms(scanned, term_frequencies(documents, text), texts, threshold, least_documents)
     action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
     added = (scanned.select("row", F.explode("near").alias("m")).select("row", "m.value", "m.term", "m.places")
              .join(strong, ["value", "term"]).select("row", F.explode("places").alias("p"), "disclosure")
