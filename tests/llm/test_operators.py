@@ -242,6 +242,18 @@ def test_copies_leave_evidence_alone(spark):
     assert counts[personal_data._hash("quentin")] == 6
 
 
+def test_disclosing_terms_are_marked_everywhere(spark):
+    data = [(k, f"Zanzibar {prose(k, 40)} Qi {prose(50 + k, 40)} carla@corp.example.com {prose(90 + k, 20)} ZANZIBAR") for k in range(9)]
+    data += [(50, f"{prose(60, 30)} zanzibar, (Qi) {prose(61, 30)}"), (50, f"{prose(60, 30)} zanzibar, (Qi) {prose(61, 30)}")]
+    data += [(100 + k, prose(200 + k, 60)) for k in range(90)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string")
+    for r, text in [(r, dict(data)[r["doc_id"]]) for r in personal_data.find_personal_data(frame).collect()]:
+        want = [m.span() for m in re.finditer("zanzibar|qi", text.lower())]
+        assert [(s["start"], s["end"]) for s in r["added"] if text[s["start"]:s["end"]].lower() in ("zanzibar", "qi")] == want
+    clean = personal_data.sanitise(frame).collect()
+    assert len(clean) == len(data) and not any(re.search("zanzibar|qi", r["text"].lower()) for r in clean)
+
+
 @pytest.mark.parametrize("words, percent", [(4, 85), (5, 80), (2, 50)])
 def test_jaccard_join(spark, words, percent):
     r, data = random.Random(words), []

@@ -1,16 +1,15 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Patterns find protected values (addresses, numbers). Corpus statistics then tell how strongly a term reveals a value
-it stands next to: with n documents (distinct texts), disclosure = PMI(term, value) / information(value), where PMI = log2(n *
-together / (with term * with value)) and information = log2(n / with value). It is 1 where the term never
-occurs without the value. Terms beyond a threshold are generalised, the strongest removed.
+of the same document: with n documents (distinct texts), disclosure = PMI(term, value) / information(value), where
+PMI = log2(n * together / (with term * with value)) and information = log2(n / with value). It is 1 where the term
+never occurs without the value. Terms beyond a threshold are generalised, the strongest removed, at every place of every document.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -32,14 +31,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 
-#: Terms on each side of a value that may reveal it.
-REACH = 8
 #: Distinct terms counted in a worker before their counts are passed on.
 COUNTED_TERMS = 250_000
 #: Bits of the filters that tell which texts and terms are to be looked at (2 MB); what passes by chance changes no result.
 FILTER_BITS = 24
 #: Terms are runs of letters and their marks.
-_TERMS = re.compile(f"[{T.characters('L', 'M')}]{{3,}}")
+_TERMS = re.compile(f"[{T.characters('L', 'M')}]{{2,}}")
 
 
 def luhn(digits: str) -> bool:
@@ -84,43 +81,51 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value.encode()) - (1 << 63)
 
 
+def values_of(text: str, spans: list[tuple[str, int, int]]) -> set[int]:
+    """Hashes of the spans' values, which are compared without case, spaces and marks."""
+    return {_hash(kind + ":" + (text[s:e].lower() if kind == "email" else "".join(c for c in text[s:e] if c.isdigit() or c == "." and kind == "ip")))
+            for kind, s, e in spans}
+
+
 class TermHashes(dict):
-    """Hash of each term in the form that all cases of it share; forgets all of them when it holds T.CACHE_WORDS."""
+    """Hash of each term in the form that all cases of it share, None if a filter is given and the hash is not in it.
+
+    Forgets all of them when it holds T.CACHE_WORDS.
+    """
+
+    def __init__(self, bitmap: np.ndarray | None = None):
+        self.bitmap = bitmap
 
-    def __missing__(self, term: str) -> int:
+    def __missing__(self, term: str) -> int | None:
         if len(self) >= T.CACHE_WORDS:
             self.clear()
-        value = self[term] = _hash(T.fold(term))
+        value = _hash(T.fold(term))
+        value = self[term] = value if self.bitmap is None or _in_filter(self.bitmap, value) else None
         return value
 
+    def of(self, text: str) -> set[int]:
+        """Hashes of the text's distinct terms, wherever they stand."""
+        found = {self[w] for w in set(_TERMS.findall(text))}
+        found.discard(None)
+        return found
+
+    def places(self, text: str) -> list[tuple[int, int, int]]:
+        """(term, start, end) of every place outside the patterns' spans."""
+        if not self.of(text):
+            return []
+        inside = sorted((s, e) for _, s, e in base_spans(text))
+        found, k = [], 0
+        for m in _TERMS.finditer(text):
+            term = self[m.group()]
+            while k < len(inside) and inside[k][1] <= m.start():
+                k += 1
+            if term is not None and not any(a < m.end() and m.start() < b for a, b in inside[k:k + len(KINDS) + 1]):
+                found.append((term, m.start(), m.end()))
+        return found
 
-def mentions(text: str, spans: list[tuple[str, int, int]], cache: TermHashes) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """For each value and each term within REACH terms of it: (value, term, the term's places).
 
-    Values are compared without case, spaces and marks.
-    """
-    terms = [(m.start(), m.end()) for m in _TERMS.finditer(text)]
-    inside = sorted((s, e) for _, s, e in spans)
-    free, k = [], 0
-    for s, e in terms:
-        while k < len(inside) and inside[k][1] <= s:
-            k += 1
-        if not any(a < e and s < b for a, b in inside[k:k + len(KINDS) + 1]):
-            free.append((s, e))
-    starts = [s for s, _ in free]
-    words = [cache[text[s:e]] for s, e in free]
-    found: dict[tuple[int, int], set] = {}
-    for kind, s, e in spans:
-        value = _hash(kind + ":" + (text[s:e].lower() if kind == "email" else "".join(c for c in text[s:e] if c.isdigit() or c == "." and kind == "ip")))
-        middle = bisect_left(starts, s)
-        for i in range(max(0, middle - REACH), min(len(free), middle + REACH)):
-            found.setdefault((value, words[i]), set()).add(free[i])
-    return [(v, t, sorted(places)) for (v, t), places in found.items()]
-
-
-_PLACES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_MENTIONS = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("places", _PLACES)]))
+_HASHES = pa.list_(pa.int64())
 
 
 def copy_of(text: str) -> Column:
@@ -146,29 +151,39 @@ def _in_filter(bitmap: np.ndarray, value: int) -> bool:
     return bool(int(bitmap[bit >> 6]) >> (bit & 63) & 1)
 
 
+def _key(id: str, text: str) -> Column:
+    """Rows of one id and text are judged alike."""
+    return F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
+
+
 def scan(documents: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, hash of the text, spans of the patterns and mentions, for every row. A null text has none."""
+    """key, id, hash of the text, spans of the patterns, distinct values and, where there are any, distinct terms, for every row.
+
+    A null text has none.
+    """
 
     def run(batches):
         cache = TermHashes()
         for rows, texts in T.text_blocks(batches, "__text"):
-            spans, near = [], []
+            spans, values, terms = [], [], []
             for value in texts:
                 whole = (value or b"").decode("utf-8")
                 found = base_spans(whole)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                near.append([{"value": v, "term": t, "places": [{"start": s, "end": e} for s, e in p]}
-                             for v, t, p in (mentions(whole, found, cache) if found else [])])
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(spans, _SPANS), pa.array(near, _MENTIONS)], ["id", "copy", "base", "near"])
+                values.append(list(values_of(whole, found)))
+                terms.append(list(cache.of(whole)) if found else [])
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(spans, _SPANS), pa.array(values, _HASHES), pa.array(terms, _HASHES)],
+                                             ["key", "id", "copy", "base", "values", "terms"])
 
     kind = documents.schema[id].dataType.simpleString()
-    source = documents.select(F.col(f"`{id}`").alias("__id"), copy_of(text).alias("__copy"), F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, f"id {kind}, copy bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
-                             "near array<struct<value:bigint,term:bigint,places:array<struct<start:bigint,end:bigint>>>>")
+    source = documents.select(_key(id, text).alias("__key"), F.col(f"`{id}`").alias("__id"), copy_of(text).alias("__copy"),
+                              F.col(f"`{text}`").alias("__text"))
+    return source.mapInArrow(run, f"key bigint, id {kind}, copy bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
+                             "values array<bigint>, terms array<bigint>")
 
 
-def term_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(term, documents): in how many distinct texts each term occurs, over all texts.
+def term_frequencies(documents: DataFrame, text: str = "text", wanted=None) -> DataFrame:
+    """(term, documents): in how many distinct texts each term occurs, over all texts; of terms in the filter `wanted`, if given.
 
     Workers add up the counts of at most COUNTED_TERMS terms before passing them on. Texts that may be repeated
     pass on their terms one by one, each with the text's hash, and every pair counts once.
@@ -179,7 +194,7 @@ def term_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         counts: Counter = Counter()
         pairs: set[tuple[int, int]] = set()
-        cache = TermHashes()
+        cache = TermHashes(None if wanted is None else wanted.value)
 
         def batch():
             terms = [*counts, *(t for t, _ in pairs)]
@@ -188,7 +203,7 @@ def term_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
 
         for rows, texts in T.text_blocks(batches, "__text"):
             for copy, value in zip(rows.column(0).to_pylist(), texts):
-                terms = {cache[w] for w in set(_TERMS.findall(value.decode("utf-8")))}
+                terms = cache.of(value.decode("utf-8"))
                 if repeated is not None and _in_filter(repeated.value, copy):
                     pairs.update((t, copy) for t in terms)
                 else:
@@ -204,41 +219,64 @@ def term_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
     return once.groupBy("term").agg(F.sum("n").alias("documents"))
 
 
-def disclosing_terms(scanned: DataFrame, frequencies: DataFrame, texts: int, threshold: float, least_documents: int) -> DataFrame:
-    """(value, term, disclosure) of the pairs at or above the threshold.
+def pairs_together(scanned: DataFrame, texts: int, least_documents: int) -> DataFrame:
+    """(value, term, with_value, together) of the pairs that stand in `least_documents` texts or more.
 
-    Documents are distinct texts everywhere: copies add nothing to a pair, and take nothing from it. A pair needs
-    `least_documents` of them.
+    Documents are distinct texts: copies add nothing to a pair, and take nothing from it. Values in fewer texts
+    have no such pair and go before their terms are listed.
     """
-    pairs = (scanned.select("copy", F.explode("near").alias("m")).groupBy("m.value", "m.term")
-             .agg(F.count_distinct("copy").alias("together")).filter(F.col("together") >= least_documents))
-    values = (scanned.select("copy", F.explode(F.array_distinct(F.transform("near", lambda m: m["value"]))).alias("value"))
-              .groupBy("value").agg(F.count_distinct("copy").alias("with_value")))
+    by_value = scanned.filter(F.size("values") > 0).dropDuplicates(["copy"]).select("copy", F.explode("values").alias("value"), "terms")
+    values = by_value.groupBy("value").agg(F.count(F.lit(1)).alias("with_value")).filter(
+        (F.col("with_value") >= least_documents) & (F.col("with_value") < texts))
+    return (by_value.join(values, "value").select("value", "with_value", F.explode("terms").alias("term"))
+            .groupBy("value", "term", "with_value").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least_documents))
+
+
+def disclosing_terms(pairs: DataFrame, frequencies: DataFrame, texts: int, threshold: float) -> DataFrame:
+    """(term, disclosure) of the terms that disclose a value at or above the threshold, with the highest of their values."""
     information = F.log2(F.lit(float(texts)) / F.col("with_value"))
     pmi = F.log2(F.lit(float(texts)) * F.col("together") / (F.col("documents") * F.col("with_value")))
-    return (pairs.join(values, "value").join(frequencies, "term").filter(F.col("with_value") < texts)
-            .select("value", "term", (pmi / information).alias("disclosure")).filter(F.col("disclosure") >= threshold))
+    return (pairs.join(frequencies, "term").select("term", (pmi / information).alias("disclosure")).filter(F.col("disclosure") >= threshold)
+            .groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+
+
+def term_places(documents: DataFrame, id: str, text: str, wanted) -> DataFrame:
+    """(key, term, start, end) of every place, in all texts, of the terms in the filter `wanted`."""
+
+    def run(batches):
+        cache = TermHashes(wanted.value)
+        for rows, texts in T.text_blocks(batches, "__text"):
+            found = [(key, *place) for key, value in zip(rows.column(0).to_pylist(), texts) if value for place in cache.places(value.decode("utf-8"))]
+            columns = zip(*found) if found else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "term", "start", "end"])
+
+    source = documents.select(_key(id, text).alias("__key"), F.col(f"`{text}`").alias("__text"))
+    return source.mapInArrow(run, "key bigint, term bigint, start bigint, end bigint")
 
 
 def find_personal_data(documents: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.9,
                        remove_at: float = 0.98, least_documents: int = 3) -> DataFrame:
     """id, base spans and added spans (kind, start, end, action, disclosure) for every row.
 
-    Base spans come from the patterns; added ones are terms near a value of the same document that disclose it.
-    A null or empty text has no spans; repeated rows get the same ones. The spans found are written to the
-    shared folder once, so the patterns run once; texts are never shuffled.
+    Base spans come from the patterns; added ones are all places, in all documents, of terms that disclose a value of
+    any document. A null or empty text has no spans; repeated rows get the same ones. Texts are read once for the
+    patterns, and once each for the counts and the places of terms where there are any; they are never shuffled.
     """
-    scanned = stage(scan(documents, id, text).withColumn("row", F.monotonically_increasing_id()), "personal-data")
+    scanned = stage(scan(documents, id, text), "personal-data")
     texts = scanned.select(F.count_distinct("copy")).first()[0]
-    strong = disclosing_terms(scanned, term_frequencies(documents, text), texts, threshold, least_documents)
-    action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
-    added = (scanned.select("row", F.explode("near").alias("m")).select("row", "m.value", "m.term", "m.places")
-             .join(strong, ["value", "term"]).select("row", F.explode("places").alias("p"), "disclosure")
-             .groupBy("row", "p.start", "p.end").agg(F.max("disclosure").alias("disclosure"))
-             .groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
-                 "start", "end", action.alias("action"), F.round("disclosure", 6).alias("disclosure")))).alias("added")))
+    pairs = stage(pairs_together(scanned, texts, least_documents), "term-pairs")
     none = F.array().cast("array<struct<start:bigint,end:bigint,action:string,disclosure:double>>")
-    return scanned.join(added, "row", "left").select(F.col("id").alias(id), "base", F.coalesce("added", none).alias("added"))
+    candidates = hash_filter(pairs, "term")
+    strong = wanted = None
+    if candidates is not None:
+        strong = stage(disclosing_terms(pairs, term_frequencies(documents, text, candidates), texts, threshold), "strong-terms")
+        wanted = hash_filter(strong, "term")
+    if wanted is None:
+        return scanned.select(F.col("id").alias(id), "base", none.alias("added"))
+    action = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
+    added = (term_places(documents, id, text, wanted).join(strong, "term").groupBy("key").agg(F.sort_array(F.collect_set(F.struct(
+        "start", "end", action.alias("action"), F.round("disclosure", 6).alias("disclosure")))).alias("added")))
+    return scanned.join(added, "key", "left").select(F.col("id").alias(id), "base", F.coalesce("added", none).alias("added"))
 
 
 def _listed(spans: Column) -> Column:
