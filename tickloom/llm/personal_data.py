@@ -35,8 +35,8 @@ PLACEHOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[P
 COUNTED_TERMS = 250_000
 #: Bits of the filters that tell which texts and terms are to be looked at (2 MB); what passes by chance changes no result.
 FILTER_BITS = 24
-#: Terms are runs of letters and their marks.
-_TERMS = re.compile(f"[{T.characters('L', 'M')}]{{2,}}")
+#: Terms are runs of at least two letters and their marks.
+_TERMS = re.compile(T.runs("L", "M"))
 
 
 def luhn(digits: str) -> bool:
@@ -88,7 +88,7 @@ def values_of(text: str, spans: list[tuple[str, int, int]]) -> set[int]:
 
 
 class TermHashes(dict):
-    """Hash of each term in the form that all cases of it share, None if a filter is given and the hash is not in it.
+    """Hash of each term in the form that all cases of it share, None for one letter, or if a filter is given and the hash is not in it.
 
     Forgets all of them when it holds T.CACHE_WORDS.
     """
@@ -100,7 +100,8 @@ class TermHashes(dict):
         if len(self) >= T.CACHE_WORDS:
             self.clear()
         value = _hash(T.fold(term))
-        value = self[term] = value if self.bitmap is None or _in_filter(self.bitmap, value) else None
+        known = len(term) > 1 and (self.bitmap is None or _in_filter(self.bitmap, value))
+        value = self[term] = value if known else None
         return value
 
     def of(self, text: str) -> set[int]:
@@ -219,8 +220,17 @@ def term_frequencies(documents: DataFrame, text: str = "text", wanted=None) -> D
     return once.groupBy("term").agg(F.sum("n").alias("documents"))
 
 
-def pairs_together(scanned: DataFrame, texts: int, least_documents: int) -> DataFrame:
-    """(value, term, with_value, together) of the pairs that stand in `least_documents` texts or more.
+def _disclosure(texts: int) -> Column:
+    """Of a pair with together, with_value and documents."""
+    information = F.log2(F.lit(float(texts)) / F.col("with_value"))
+    return F.log2(F.lit(float(texts)) * F.col("together") / (F.col("documents") * F.col("with_value"))) / information
+
+
+def pairs_together(scanned: DataFrame, texts: int, threshold: float, least_documents: int) -> DataFrame:
+    """(value, term, with_value, together) of the pairs that stand in `least_documents` texts or more and may reach the threshold.
+
+    A term stands in at least as many texts as those with any value hold it. Where that is too many already, as for
+    common words, the pair is below the threshold whatever the other texts hold.
 
     Documents are distinct texts: copies add nothing to a pair, and take nothing from it. Values in fewer texts
     have no such pair and go before their terms are listed.
@@ -228,15 +238,16 @@ def pairs_together(scanned: DataFrame, texts: int, least_documents: int) -> Data
     by_value = scanned.filter(F.size("values") > 0).dropDuplicates(["copy"]).select("copy", F.explode("values").alias("value"), "terms")
     values = by_value.groupBy("value").agg(F.count(F.lit(1)).alias("with_value")).filter(
         (F.col("with_value") >= least_documents) & (F.col("with_value") < texts))
-    return (by_value.join(values, "value").select("value", "with_value", F.explode("terms").alias("term"))
-            .groupBy("value", "term", "with_value").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least_documents))
+    pairs = (by_value.join(values, "value").select("value", "with_value", F.explode("terms").alias("term"))
+             .groupBy("value", "term", "with_value").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least_documents))
+    least = (scanned.filter(F.size("values") > 0).dropDuplicates(["copy"]).select(F.explode("terms").alias("term"))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("documents")))
+    return pairs.join(least, "term").filter(_disclosure(texts) >= threshold).drop("documents")
 
 
 def disclosing_terms(pairs: DataFrame, frequencies: DataFrame, texts: int, threshold: float) -> DataFrame:
     """(term, disclosure) of the terms that disclose a value at or above the threshold, with the highest of their values."""
-    information = F.log2(F.lit(float(texts)) / F.col("with_value"))
-    pmi = F.log2(F.lit(float(texts)) * F.col("together") / (F.col("documents") * F.col("with_value")))
-    return (pairs.join(frequencies, "term").select("term", (pmi / information).alias("disclosure")).filter(F.col("disclosure") >= threshold)
+    return (pairs.join(frequencies, "term").select("term", _disclosure(texts).alias("disclosure")).filter(F.col("disclosure") >= threshold)
             .groupBy("term").agg(F.max("disclosure").alias("disclosure")))
 
 
@@ -264,7 +275,7 @@ def find_personal_data(documents: DataFrame, id: str = "doc_id", text: str = "te
     """
     scanned = stage(scan(documents, id, text), "personal-data")
     texts = scanned.select(F.count_distinct("copy")).first()[0]
-    pairs = stage(pairs_together(scanned, texts, least_documents), "term-pairs")
+    pairs = stage(pairs_together(scanned, texts, threshold, least_documents), "term-pairs")
     none = F.array().cast("array<struct<start:bigint,end:bigint,action:string,disclosure:double>>")
     candidates = hash_filter(pairs, "term")
     strong = wanted = None

@@ -22,17 +22,18 @@ _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 _FINAL = U64(0xD6E8FEB86659FD93)
 
 
-def characters(*kinds: str) -> str:
-    """The code points of general categories that start with one of `kinds` (L, M, N), as ranges of a pattern's character class."""
+def runs(*kinds: str) -> str:
+    """Pattern of runs of the code points whose general category starts with one of `kinds` (L, M, N)."""
     found, first = [], None
-    for point in (*range(0x32400), *range(0xE0000, 0xE0200), sys.maxunicode):  # beyond and between, none is assigned to L, M or N
+    for point in (*range(0x10000), sys.maxunicode, *range(0x10000, 0x32400), *range(0xE0000, 0xE0200), sys.maxunicode):  # beyond and between, none is of L, M or N
         if unicodedata.category(chr(point))[0] in kinds:
             first = point if first is None else first
             last = point
         elif first is not None:
-            found.append(f"\\U{first:08x}-\\U{last:08x}")
+            found.append((first, last))
             first = None
-    return "".join(found)
+    low, high = ("".join(f"\\U{s:08x}-\\U{e:08x}" for s, e in found if (s > 0xFFFF) == far) for far in (False, True))
+    return rf"(?:[{low}]++|(?=[\U00010000-\U0010ffff])[{high}])++"  # a class of the lower plane alone is a table
 
 
 def fold(text: str) -> str:
