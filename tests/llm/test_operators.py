@@ -9,6 +9,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import pytest
@@ -339,6 +340,15 @@ def test_greedy_tiling(spark, odd, none):
     assert decontamination.contamination(odd.limit(0), bench).count() == 0
 
 
+def test_tiling_folds_every_script(spark):
+    item = "l'été où l'élève s'était égaré à l'école, où il était très gêné; Иван жил в Москве, Αθήνα μᾶς ὁδός, größe 漢字 𐐨𐐩 weiß"
+    copies = [item.upper(), "“" + item.replace("'", "’").replace(" ", "\u00a0") + "”", "—".join(item.split()), unicodedata.normalize("NFD", item.title())]
+    docs = spark.createDataFrame([(k, f"{prose(k, 30)} {c} {prose(50 + k, 30)}") for k, c in enumerate(copies)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item), (8, prose(9, 30))], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["item_ids"], r["coverage"]) for r in decontamination.contamination(docs, bench).collect()}
+    assert got == {k: ([7], 1.0) for k in range(len(copies))}
+
+
 def test_tiles_are_greedy():
     runs = [(0, 0, 10), (20, 8, 12), (40, 0, 6)]
     assert decontamination.tiles(runs, 20, 5) == [(20, 8, 12), (0, 0, 8)]

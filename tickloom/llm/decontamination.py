@@ -8,6 +8,7 @@ stand. The share of the item's words under tiles tells whether the document hold
 from __future__ import annotations
 
 import heapq
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +23,18 @@ SEED_WORDS = 5
 #: Bytes of item text in one broadcast; a larger benchmark is taken block by block.
 BLOCK_BYTES = 32 << 20
 _FILTER_BITS = 20
-#: ASCII letters in lower case, other ASCII but digits as space: case and marks do not hide a passage.
+#: The same for ASCII, byte by byte: letters in lower case, all others but digits as space.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+#: Words are runs of letters, their marks and digits.
+_WORDS = re.compile(T.runs("L", "M", "N"))
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_PLAIN).split()
+    """Words in one form: case, punctuation and ways of writing a character do not hide a passage, in any script."""
+    text = text or b""
+    if text.isascii():
+        return text.translate(_PLAIN).split()
+    return [w.encode() for w in _WORDS.findall(T.fold(text.decode("utf-8")))]
 
 
 @dataclass(frozen=True)
