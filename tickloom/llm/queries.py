@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import (
     bpe, decontamination, jaccard_join, language_id, manifest, periodic_runs, personal_data, quality_rules, sharding,
-    suffix_dedup, unigram_counts, urls,
+    suffix_dedup, toxicity, unigram_counts, urls,
 )
 from tickloom.llm.session import table
 
@@ -68,8 +68,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.runs_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filter, op2_jaccard_join, op3_sharding, op4_bpe, op5_token_counts, op6_personal_data, op7_suffix_dedup, op8_quality_rules,
-    op9_decontamination, op10_language_id, op11_manifest, op12_periodic_runs)}
+    op9_decontamination, op10_language_id, op11_manifest, op12_periodic_runs, op13_toxicity)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
