@@ -37,8 +37,8 @@ WORD = re.compile(r"[^\W_]+")
 SHOUTED = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
 PUNCTUATION_RUN = re.compile(r"[!?]{2,}")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
-DISGUISED = re.compile(r"(?:[^\W\d_]|[@$])+(?:[*@$!|0-9.\-_]+[^\W\d_]+)+")
-SPACED = re.compile(r"(?:\b[^\W\d_]\b[ .\-]){3,}[^\W\d_]\b")
+DISGUISED = re.compile(r"(?<![\w@$])(?:[@$][^\W\d_]++(?:[*@$!|0-9.\-_]++[^\W\d_]++)*|[^\W\d_]++(?:[*@$!|0-9.\-_]++[^\W\d_]++)+)")
+SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .\-][^\W\d_]){3,}(?!\w)")
 
 #: Lengths of the word beginnings that are terms besides the whole word: inflected and joined forms share them.
 STEMS = (4, 5, 6, 7)
@@ -60,11 +60,16 @@ class Lexicon(dict):
     def __init__(self, terms: dict[str, float]):
         super().__init__()
         self.terms = terms
+        self.starts = {t[:min(STEMS)] for t in terms if t.endswith("*")}
 
     def __missing__(self, word: str) -> float:
         if len(self) >= T.CACHE_WORDS:
             self.clear()
-        weight = self[word] = max((self.terms.get(t, 0.0) for t in terms_of(word)), default=0.0)
+        if word[:min(STEMS)] in self.starts:
+            weight = max(self.terms.get(t, 0.0) for t in terms_of(word))
+        else:
+            weight = self.terms.get(word, 0.0)
+        self[word] = weight
         return weight
 
 
