@@ -112,3 +112,14 @@ def test_query(spark, sf_dir):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS).collect()]
     assert sorted((tuple(r) for r in QUERIES["op11_manifest"](spark, sf_dir).collect()), key=str) == by_lists(rows)
+
+
+def test_sql(spark, sf_dir):
+    import duckdb
+
+    from tickloom.llm.queries import QUERIES, SQL
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    expected = duckdb.sql(SQL["op11_manifest"])
+    found = QUERIES["op11_manifest"](spark, sf_dir).select(*expected.columns).collect()
+    assert sorted(map(tuple, found)) == sorted(expected.fetchall())

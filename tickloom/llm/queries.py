@@ -76,4 +76,70 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filter, op2_jaccard_join, op3_sharding, op4_bpe, op5_token_counts, op6_personal_data, op7_suffix_dedup, op8_quality_rules,
     op9_decontamination, op10_language_id, op11_manifest, op12_periodic_runs, op13_toxicity)}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+#: crc32 of a short ASCII text, one bit at a time: a byte is xor-ed in, then the polynomial divides eight times.
+CRC32_SQL = """CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+  range(1, length({0}) + 1), lambda k: list_prepend(CAST(ascii(substr({0}, k, 1)) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS BIGINT)"""
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """All levels (grp, level, slot, h) of the trees whose leaves `nodes` (grp, slot, h) has, and each leaf's siblings."""
+    return f"""
+{name} AS (
+  SELECT grp, 0 AS level, slot, h FROM {nodes}
+  UNION ALL
+  SELECT grp, level + 1, slot // 2, sha256(string_agg(h, '' ORDER BY slot))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {name}) WHERE n > 1 GROUP BY grp, level, slot // 2
+),
+{name}_steps AS (
+  SELECT a.grp, a.slot, b.level,
+         CASE WHEN s.h IS NULL THEN '=' WHEN (a.slot >> b.level) % 2 = 1 THEN '<' || s.h ELSE '>' || s.h END AS step
+  FROM {nodes} a
+  JOIN (SELECT grp, level FROM {name} GROUP BY 1, 2 HAVING count(*) > 1) b ON a.grp = b.grp
+  LEFT JOIN {name} s ON s.grp = a.grp AND s.level = b.level AND s.slot = xor(a.slot >> b.level, 1)
+)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in (
+        "doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf_sql("n_chars")} AS h,
+         CASE WHEN {CRC32_SQL.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS now
+  FROM documents
+),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS slot FROM rows_),
+{_tree_sql("tree", "leaves")},
+subroots AS (
+  SELECT '' AS grp, name, h, row_number() OVER (ORDER BY encode(name)) - 1 AS slot
+  FROM (SELECT grp AS name, arg_max(h, level) AS h FROM tree GROUP BY grp)
+),
+{_tree_sql("top", "subroots")},
+root AS (SELECT arg_max(h, level) AS root FROM top),
+steps AS (
+  SELECT grp, slot, list(step ORDER BY level) AS steps FROM tree_steps GROUP BY grp, slot
+),
+upper_steps AS (
+  SELECT g.name, list(t.step ORDER BY t.level) AS steps FROM subroots g JOIN top_steps t ON t.slot = g.slot GROUP BY g.name
+),
+folded AS (
+  SELECT l.doc_id, l.h AS leaf, coalesce(l.now, l.h) AS now, g.h AS subroot, r.root,
+         list_concat(coalesce(s.steps, []), coalesce(u.steps, [])) AS steps
+  FROM leaves l JOIN subroots g ON g.name = l.grp CROSS JOIN root r
+  LEFT JOIN steps s ON s.grp = l.grp AND s.slot = l.slot LEFT JOIN upper_steps u ON u.name = l.grp
+),
+results AS (
+  SELECT *, list_reduce(list_prepend(now, steps), lambda a, x: sha256(
+    CASE x[1] WHEN '<' THEN x[2:] || a WHEN '>' THEN a || x[2:] ELSE a END)) AS folded_root
+  FROM folded
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda x: x[2:]), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM results"""
+
+SQL: dict[str, str] = {"op11_manifest": MANIFEST_SQL}
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
