@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.columns import bar_start, day, side_volume
-from tickloom.operators.sequence import framed, latest_per_key, running
+from tickloom.functions.columns import bar_start, day, quoted, side_volume
+from tickloom.operators.sequence import asof_join, framed, latest_per_key, running
 from tickloom.schemas import (
     BAR_KEY, HELPER_COLUMNS, PROFILE, STUDIES, SYMBOL, TIME, VENDOR_NAMES,
 )
@@ -216,3 +216,29 @@ def resample_mean(bars: DataFrame, width: str = "1 hour", column: str = "Close")
 def resample_last(bars: DataFrame, width: str = "1 day", column: str = "Close") -> DataFrame:
     return (bars.withColumn("period", bar_start(TIME, width)).groupBy(SYMBOL, "period")
             .agg(F.max_by(column, TIME).alias(f"last_{column.lower()}")))
+
+
+# Names of the coarser bars' columns start with these.
+TIMEFRAMES = {"Hour": "1 hour", "Day": "1 day"}
+
+
+def coarser(bars: DataFrame, width: str) -> DataFrame:
+    """Bars put together to wider ones, with the time they end."""
+    made = bars.withColumn("__start", bar_start(TIME, width)).groupBy(SYMBOL, "__start").agg(
+        F.min_by("Open", TIME).alias("Open"), F.max("High").alias("High"), F.min("Low").alias("Low"),
+        F.max_by("Close", TIME).alias("Close"), F.sum("Volume").alias("Volume"), F.sum("Delta").alias("Delta"))
+    return made.withColumn("__end", F.col("__start") + F.expr(f"INTERVAL {width}")).withColumnRenamed("__start", "Start")
+
+
+def multi_timeframe(bars: DataFrame, frames: dict[str, str] | None = None) -> DataFrame:
+    """Each bar with the last wider bars that were closed when it began: HourStart, HourOpen, ... DayDelta.
+
+    A wider bar is closed once its time is over, so nothing a bar carries was unknown at its start. Holes in the
+    history stretch the distance; before the first closed one the columns are NULL.
+    """
+    chosen = frames or TIMEFRAMES
+    rights = {name: (coarser(bars, width), "__end") for name, width in chosen.items()}
+    joined = asof_join(bars, rights, [SYMBOL], TIME)
+    parts = ["Start", "Open", "High", "Low", "Close", "Volume", "Delta"]
+    return joined.select(*[quoted(c) for c in bars.columns], *[
+        F.col(f"{name}.{c}").alias(name + c) for name in chosen for c in parts])

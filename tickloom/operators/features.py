@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.sequence import framed, lagged, running
+from tickloom.functions.columns import day
+from tickloom.operators.sequence import carried, framed, islands, join_alike, lagged, running, with_position
 from tickloom.schemas import BAR_KEY, SYMBOL, TIME
 
 VALUE_AREA = 0.7
@@ -52,6 +53,20 @@ def delta_by_price(levels: DataFrame) -> DataFrame:
     return levels.groupBy(SYMBOL, "Price").agg(F.sum(F.col("AskVol") - F.col("BidVol")).alias("Delta"))
 
 
+def developing_poc(levels: DataFrame) -> DataFrame:
+    """At every bar, the price with the largest volume of the day so far, the lowest one on a tie.
+
+    Volumes only grow, so the leader is the largest (volume so far, price) that any bar up to now has set: prefix
+    sums per price, the best of each bar, and a running maximum. Every window is one day of a symbol or less.
+    """
+    so_far = Window.partitionBy(SYMBOL, day(), "Price").orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grown = levels.filter(F.col("Price").isNotNull()).select(*BAR_KEY, "Price", F.sum("TotalVolume").over(so_far).alias("__volume"))
+    best = grown.groupBy(*BAR_KEY).agg(F.max(F.struct("__volume", (-F.col("Price")).alias("__price"))).alias("__best"))
+    session = Window.partitionBy(SYMBOL, day()).orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = best.select(*BAR_KEY, F.max("__best").over(session).alias("__lead"))
+    return led.select(*BAR_KEY, (-F.col("__lead.__price")).alias("PocPrice"), F.col("__lead.__volume").alias("PocVolume"))
+
+
 # -- signals ---------------------------------------------------------------------------------
 
 def delta_divergence(bars: DataFrame, position: str | None = None) -> DataFrame:
@@ -99,6 +114,34 @@ def delta_alert(bars: DataFrame, n: int = 20, factor: float = 2.0) -> DataFrame:
     return seen.filter(F.abs("Delta") > limit).select(*BAR_KEY, "Delta", "Volume")
 
 
+def delta_trend_reversal(bars: DataFrame, min_bars: int = 3) -> DataFrame:
+    """Bars where cumulative delta turns after moving one way for `min_bars` bars or more.
+
+    A bar without a move, or with a NULL delta, goes on with the move before it. Gives the new direction, and the length and
+    total move of the run that ended.
+    """
+    runs = islands(bars, [SYMBOL], TIME, F.when(F.col("Delta") > 0, 1).when(F.col("Delta") < 0, -1))
+    per_run = runs.filter(F.col("run").isNotNull()).groupBy(SYMBOL, "run", "state").agg(
+        F.min(TIME).alias(TIME), F.count(F.lit(1)).alias("bars"), F.sum("Delta").alias("move"))
+    ended = per_run.select(SYMBOL, (F.col("run") + 1).alias("run"), "bars", "move")
+    turned = join_alike(per_run.select(SYMBOL, TIME, "run", "state"), ended, [SYMBOL, "run"])
+    return turned.filter(F.col("bars") >= min_bars).select(
+        *BAR_KEY, F.when(F.col("state") > 0, "up").otherwise("down").alias("direction"), "bars", "move")
+
+
+def large_trade_alert(bars: DataFrame, ratio: float = IMBALANCE, min_bars: int = 3) -> DataFrame:
+    """The bar at which large trades have been on one side for `min_bars` bars in a row.
+
+    A bar leans to a side whose large volume is more than `ratio` times the other's. One without large trades goes on with
+    the lean before it; one with both sides alike ends it.
+    """
+    bid, ask = F.col("LargeBidTrade"), F.col("LargeAskTrade")
+    lean = F.when((bid == 0) & (ask == 0), None).when(ask > bid * ratio, 1).when(bid > ask * ratio, -1).otherwise(0)
+    runs = islands(bars, [SYMBOL], TIME, lean)
+    return runs.filter((F.col("place") == min_bars - 1) & (F.col("state") != 0)).select(
+        *BAR_KEY, F.when(F.col("state") > 0, "accumulation").otherwise("distribution").alias("signal"))
+
+
 # -- delta transforms ------------------------------------------------------------------------
 
 def delta_ratio(bars: DataFrame) -> DataFrame:
@@ -124,22 +167,38 @@ def delta_slope(bars: DataFrame, n: int = 5, position: str | None = None) -> Dat
 
 
 def delta_ema(bars: DataFrame, span: int = 10) -> DataFrame:
-    """Exponential mean of delta over all bars so far, weights normalised over them.
+    """Exponential mean of delta over all bars so far, weights normalised over the bars that have a delta.
 
-    The frame ends where all older weights together fall below the last bit of a double.
+    A bar's weight falls with every bar that follows it, with or without a delta; a bar without one shows the mean
+    before it. The recurrence s = delta + decay * s is solved in blocks: inside a block by a running sum of deltas scaled up
+    with their place, and from the block before by its end value. A block is so long that what came before its predecessor is 2^-500 of that
+    or less, which whole numbers cannot make up for.
     """
+    if span <= 1:  # only the newest delta weighs anything
+        deltas = bars.select(*BAR_KEY, F.col("Delta").cast("double").alias("__delta"))
+        return carried(deltas, [SYMBOL], [TIME], {"value": "__delta"}).select(*BAR_KEY, "value")
     decay = 1 - 2.0 / (span + 1)
-    reach = math.ceil(-54 * math.log(2) / math.log(decay)) if span > 1 else 1
-
-    def columns(window):
-        return {"__ds": F.reverse(F.collect_list("Delta").over(window.rowsBetween(-(reach - 1), 0)))}
-
-    seen = framed(bars, [SYMBOL], TIME, reach - 1, columns)
-    weights = F.array(*[F.lit(decay ** i) for i in range(reach)])
-    used = F.slice(weights, 1, F.size("__ds"))
-    start = F.lit(0.0)
-    top = F.aggregate(F.zip_with("__ds", used, lambda d, w: d * w), start, lambda a, x: a + x)
-    return seen.select(*BAR_KEY, (top / F.aggregate(used, start, lambda a, x: a + x)).alias("value"))
+    size = int(500 * math.log(2) / -math.log(decay))
+    placed = with_position(bars.select(*BAR_KEY, "Delta"), [SYMBOL], TIME, out="__at")
+    offset = F.col("__at") % size
+    given = F.col("Delta").isNotNull()
+    blocked = placed.withColumn("__block", F.floor(F.col("__at") / size))
+    base = F.lit(decay)
+    scaled = {"n": F.when(given, F.col("Delta") * F.pow(base, -offset)), "d": F.when(given, F.pow(base, -offset))}
+    ends = blocked.groupBy(SYMBOL, "__block").agg(*[
+        (F.sum(v) * F.pow(base, F.lit(size - 1))).alias(f"__e{n}") for n, v in scaled.items()])
+    earlier = Window.partitionBy(SYMBOL).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("__ed").isNotNull(), F.struct("__block", "__en", "__ed"))
+    ends = ends.select(SYMBOL, "__block", F.last(known, ignorenulls=True).over(earlier).alias("__end"))
+    inside = Window.partitionBy(SYMBOL, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = blocked.select("*", offset.alias("__off"), *[F.sum(v).over(inside).alias(f"__i{n}") for n, v in scaled.items()])
+    joined = join_alike(local, ends, [SYMBOL, "__block"])
+    # Steps from the end of the block that is carried to this bar
+    age = F.col("__off") + 1 + size * (F.col("__block") - F.col("__end.__block") - 1)
+    past = F.coalesce(F.pow(base, age), F.lit(0.0))
+    value = [F.col(f"__i{n}") * F.pow(base, F.col("__off")) + past * F.coalesce(F.col(f"__end.__e{n}"), F.lit(0.0)) for n in scaled]
+    return joined.select(*BAR_KEY, F.when(F.col("__id").isNull(), F.col("__end.__en") / F.col("__end.__ed"))
+                         .otherwise(value[0] / value[1]).alias("value"))
 
 
 def delta_change(bars: DataFrame, n: int = 1) -> DataFrame:

@@ -76,6 +76,75 @@ def running(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, C
     return joined.select(*[F.col(quoted(c)) for c in df.columns], *[c.alias(n) for n, c in reached.items()], *totals)
 
 
+def carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],
+            chunk: Column | None = None) -> DataFrame:
+    """Add the last value that is not NULL, at or before each row: {new name: column}.
+
+    As with `running`, a window sees one chunk, and one row per chunk carries the last value into later ones. Rows
+    need not be unique; of rows equal in all of `order` any may come first.
+    """
+    keys, order = list(keys), list(order)
+    chunked = df.withColumn(_CHUNK, day(order[0]) if chunk is None else chunk)
+    group = [*keys, _CHUNK]
+    # max_by passes over rows whose order is NULL; a struct of NULLs is not
+    at = F.struct(*order)
+    per_chunk = chunked.groupBy(*group).agg(*[
+        F.max_by(quoted(c), F.when(F.col(quoted(c)).isNotNull(), at)).alias(f"__l_{n}") for n, c in columns.items()])
+    same = _definite(chunked, group)
+    earlier = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = per_chunk.select(*[c.alias(n) for n, c in same.items()], *[
+        F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__b_{n}") for n in columns])
+    inside = Window.partitionBy(*same).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = chunked.withColumns(same).select("*", *[
+        F.last(quoted(c), ignorenulls=True).over(inside).alias(f"__i_{n}") for n, c in columns.items()])
+    return local.join(before, list(same)).select(
+        *[F.col(quoted(c)) for c in df.columns if c not in columns],
+        *[F.coalesce(f"__i_{n}", f"__b_{n}").alias(n) for n in columns])
+
+
+def asof_join(left: DataFrame, rights: Mapping[str, tuple[DataFrame, str]], keys: Sequence[str], on: str,
+              chunk: Column | None = None) -> DataFrame:
+    """Each row of `left` with the latest row of every right table at or before its time: {new struct: (table, its time)}.
+
+    All sides become one sequence, right rows first where times are equal, and the last right row is carried along. So a key
+    with most of the rows is cut into chunks like everywhere here, and any number of tables costs one pass. A left row
+    without a match or a time gets NULL. Rows of a right table without a time match nothing; of several with one key and
+    time the largest by its other columns counts.
+    """
+    keys = list(keys)
+    payloads = {n: F.struct(*[quoted(c) for c in table.columns if c not in keys]) for n, (table, _) in rights.items()}
+    kinds = {n: table.select(payloads[n].alias("p")).schema["p"].dataType for n, (table, _) in rights.items()}
+    rows = left.select(*[quoted(c) for c in left.columns], F.lit(len(rights)).alias("__side"),
+                       *[F.lit(None).cast(kinds[n]).alias(n) for n in rights])
+    for side, (name, (table, time)) in enumerate(rights.items()):
+        given = table.filter(F.col(quoted(time)).isNotNull()).select(
+            *[quoted(k) for k in keys], F.col(quoted(time)).cast(left.schema[on].dataType).alias(on),
+            F.lit(side).alias("__side"), payloads[name].alias(name))
+        one = given.groupBy(*[quoted(k) for k in keys], quoted(on), "__side").agg(F.max(name).alias(name))
+        rows = rows.unionByName(one, allowMissingColumns=True)
+    found = carried(rows, keys, [on, "__side"], {n: n for n in rights}, day(on) if chunk is None else chunk)
+    return found.filter(F.col("__side") == len(rights)).drop("__side")
+
+
+def islands(df: DataFrame, keys: Sequence[str], order: str, state: Column, chunk: Column | None = None) -> DataFrame:
+    """Cut every key's sequence where `state` changes: adds state, run (from 0) and place in the run (from 0).
+
+    A NULL state goes on with the state before it; rows before the first state have neither run nor place. Runs may be as long as
+    the data: numbers and places are prefix sums, so no task sees a whole run.
+    """
+    keys = list(keys)
+    known = carried(df.withColumn("__given", state), keys, [order], {"__state": "__given"}, chunk)
+    placed = with_position(known, keys, order, chunk=chunk)
+    turned = lagged(placed, keys, order, {"__before": "__state"}, position=_POS)
+    starts = F.col("__state").isNotNull() & ~F.col("__state").eqNullSafe(F.col("__before"))
+    marked = turned.withColumn("__turn", starts.cast("bigint")).withColumn("__first", F.when(starts, F.col(_POS)))
+    numbered = running(marked, keys, order, {"__runs": F.col("__turn")}, chunk)
+    begun = carried(numbered, keys, [order], {"__begin": "__first"}, chunk)
+    kept = F.col("__state").isNotNull()
+    return begun.select(*[quoted(c) for c in df.columns], F.col("__state").alias("state"),
+                        F.when(kept, F.col("__runs") - 1).alias("run"), F.when(kept, F.col(_POS) - F.col("__begin")).alias("place"))
+
+
 def with_position(df: DataFrame, keys: Sequence[str], order: str, out: str = _POS,
                   chunk: Column | None = None, total: str | None = None) -> DataFrame:
     """0-based position of every row in its key's sequence, and with `total` the number of rows."""
