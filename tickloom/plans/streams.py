@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from tickloom.session import checkpoint_location, write_stage
 from tickloom.sources.tape import table, tape_from_events
 from tickloom.streaming import live
 from tickloom.streaming.lookback import bootstrap, stream_lookback
+from tickloom.streaming.tables import read_batches, run_unseen
 
 
 def _to_end(stream: DataFrame) -> DataFrame:
@@ -73,3 +76,59 @@ def stream_dedup(spark, sf):
     return _to_end(live.plain_time(live.drop_seen(twice, time="ts")))
 
 
+@query("stream_live", LOOKBACK_SQL + """
+SELECT l.symbol, l.DateTime, l.price, h.bar_index - p.bar_index AS i, p.DateTime AS t_ts, p.head_price AS t_price,
+       p.close AS t_close
+FROM levels l JOIN heads h ON l.symbol = h.symbol AND l.DateTime = h.DateTime
+JOIN heads p ON p.symbol = h.symbol AND p.bar_index BETWEEN h.bar_index - 10 AND h.bar_index - 1""")
+def stream_live(spark, sf):
+    """History and three rounds of updates through the live loop, which stops and goes on between them."""
+    bars = I.nested(spark, sf)
+    cuts = [F.lit(f"2024-01-{day}").cast("timestamp_ntz") for day in ("10", "17", "24")]
+    arriving, out, label = checkpoint_location(spark), checkpoint_location(spark), f"live-{uuid.uuid4().hex}"
+    for first, end in zip(cuts, [*cuts[1:], None]):
+        part = bars.filter(F.col(TIME) >= first)
+        (part if end is None else part.filter(F.col(TIME) < end)).write.mode("append").parquet(arriving)
+        stream = live.read_bar_stream(spark, arriving, bars.schema)
+        live.run_live(stream, out, 10, ["Price", "Close"], label=label, available_now=True,
+                      history=bars.filter(F.col(TIME) < cuts[0])).awaitTermination()
+    rows = spark.read.parquet(out)
+    long = rows.select(*BAR_KEY, "Price", F.posexplode("lookback").alias("at", "t"))
+    return result(long, *BAR_KEY, "Price", (F.col("at") + 1).cast("bigint").alias("i"),
+                  F.col("t.timestamp").alias("t_ts"), F.col("t.Price").alias("t_price"),
+                  F.col("t.Close").alias("t_close"))
+
+
+@query("stream_dedup_late", """
+SELECT DISTINCT event_id, ts, user_id % 4 AS lane, event_type
+FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 50 = 0)""")
+def stream_dedup_late(spark, sf):
+    """Every 50th event arrives twice, and every 7th only two batches after its time: no watermark lets it go."""
+    events = table(spark, sf, "events").select("event_id", "ts", (F.col("user_id") % 4).alias("lane"), "event_type")
+    late = F.col("event_id") % 7 == 0
+    copies = events.filter(F.col("event_id") % 50 == 0)
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")
+    rounds = [events.filter(early & ~late), events.filter(~early & ~late).unionByName(copies),
+              events.filter(late).unionByName(copies)]
+    arriving, out, seen, label = (checkpoint_location(spark) for _ in range(4))
+    for part in rounds:
+        part.write.mode("append").parquet(arriving)
+        stream = spark.readStream.schema(events.schema).parquet(arriving)
+        run_unseen(stream, out, seen, time="ts", label=label.rsplit("/", 1)[1], available_now=True).awaitTermination()
+    return read_batches(spark, out, events.schema)
+
+
+@query("stream_route", """
+SELECT event_id, CASE WHEN user_id % 5 = 4 THEN 'none' WHEN user_id % 5 = 3 THEN 'unknown' ELSE 'id-' || (user_id % 5) END AS folder,
+       CASE WHEN user_id % 5 < 3 THEN 1 ELSE 0 END AS handled
+FROM events""")
+def stream_route(spark, sf):
+    """Three subscriptions with handlers, one without, and rows of none; handlers keep what they got."""
+    events = _events_stream(spark, sf)
+    stream = events.select("event_id", F.when(F.col("user_id") % 5 < 4, F.col("user_id") % 5).alias("subscription_id"))
+    out, kept = checkpoint_location(spark), checkpoint_location(spark)
+    handlers = {i: (lambda df: df.write.mode("append").parquet(kept)) for i in range(3)}
+    live.route(stream, handlers, available_now=True, path=out).awaitTermination()
+    handled = spark.read.parquet(kept).select("event_id", F.lit(1).alias("handled"))
+    return live.routed(spark, out, stream.schema).join(handled, "event_id", "left").select(
+        "event_id", F.col(live.ROUTE).alias("folder"), F.coalesce("handled", F.lit(0)).alias("handled"))

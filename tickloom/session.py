@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,15 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     and a lost executor costs a re-read of this table, not of the input.
     """
     return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, label))
+
+
+@contextmanager
+def staged(df: DataFrame, label: str = "stage") -> Iterator[DataFrame]:
+    """A table written to the shared folder for the time of a block, and removed behind it."""
+    from tickloom.sources.folders import remove
+
+    path = write_stage(df, label)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove(df.sparkSession, path)

@@ -9,6 +9,7 @@ where it stopped.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,18 @@ from tickloom.operators.reshape import clean, flatten, to_flat
 from tickloom.operators.sequence import latest_per_key
 from tickloom.schemas import BAR_KEY, HELPER_COLUMNS, RAW_BAR, SYMBOL, TIME
 from tickloom.session import checkpoint_location
+from tickloom.sources.folders import matching, remove
 from tickloom.sources.tape import TAPE_ORDER
 from tickloom.streaming.lookback import stream_lookback
+from tickloom.streaming.tables import BATCH, run_lookback, state_folder
 
 log = logging.getLogger(__name__)
 
 LATENESS = "30 minutes"
 #: Partition column of the versions that update_files writes.
-VERSION = "__batch"
+VERSION = BATCH
+#: Partition column of the folders that route writes.
+ROUTE = "__route"
 
 
 def read_bar_stream(spark: SparkSession, path: str, schema: T.StructType = RAW_BAR, fmt: str = "parquet",
@@ -96,13 +101,15 @@ def _writer(stream: DataFrame, label: str | None, available_now: bool, mode: str
     return writer.trigger(availableNow=True) if available_now else writer
 
 
+def without_nested(df: DataFrame) -> DataFrame:
+    return df.select(*[named(f.name) for f in df.schema.fields
+                       if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))])
+
+
 def append_files(stream: DataFrame, path: str, fmt: str = "parquet", label: str | None = None,
                  available_now: bool = False) -> StreamingQuery:
     """Exactly-once append. CSV gets the plain columns only; nested ones (the lookback) stay out."""
-    out = stream
-    if fmt == "csv":
-        out = stream.select(*[named(f.name) for f in stream.schema.fields
-                              if not isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))])
+    out = without_nested(stream) if fmt == "csv" else stream
     writer = _writer(out, label, available_now, "append").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
@@ -133,25 +140,47 @@ def deliver(stream: DataFrame, callback: Callable[[DataFrame, int], None], label
     return _writer(stream, label, available_now, mode).foreachBatch(run).start()
 
 
+#: Folders of rows whose subscription has no handler, and of rows without one.
+UNKNOWN, NO_ID = "unknown", "none"
+
+
 def route(stream: DataFrame, handlers: Mapping[int | str, Callable[[DataFrame], None]],
-          column: str = "subscription_id", label: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Give each subscription's rows to its handler; rows of unknown subscriptions are reported."""
-    known = list(handlers)
+          column: str = "subscription_id", label: str | None = None, available_now: bool = False,
+          path: str | None = None) -> StreamingQuery:
+    """Give each subscription's rows to its handler.
+
+    A batch is read once and written once, into a folder per subscription; Spark's commit of that write is the mark that all of them are
+    complete, and a handler reads its own folder only. Rows of unknown subscriptions and rows without one have folders of
+    their own and are reported. With `path` the folders stay, for `routed`; otherwise a batch's go when its handlers are done.
+    """
+    spark = stream.sparkSession
+    root = path or state_folder(spark, label, "routed")
+    known = {str(k): k for k in handlers}
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            for request_id, handler in handlers.items():
-                handler(batch.filter(F.col(column) == request_id).drop(column))
-            unknown = batch.filter(F.coalesce(~F.col(column).isin(known), F.lit(True))).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-            if unknown:
-                log.warning("batch %d: %d rows without a handler", batch_id, unknown)
-        finally:
-            batch.unpersist()
+        own = F.col(column).cast("string")
+        folder = F.when(own.isNull(), NO_ID).when(own.isin(list(known)), F.concat(F.lit("id-"), own)).otherwise(UNKNOWN)
+        target = f"{root}/{BATCH}={batch_id}"
+        batch.withColumn(ROUTE, folder).write.mode("overwrite").partitionBy(ROUTE).parquet(target)
+        session = batch.sparkSession
+        for folder_name, handler in [(f"id-{k}", handlers[known[k]]) for k in known]:
+            if own_rows := matching(session, f"{target}/{ROUTE}={folder_name}"):
+                handler(session.read.schema(batch.schema).parquet(*own_rows).drop(column))
+        for name in (UNKNOWN, NO_ID):
+            if others := matching(session, f"{target}/{ROUTE}={name}"):
+                log.warning("batch %d: %d rows without a handler (%s)", batch_id, session.read.schema(batch.schema).parquet(*others).count(), name)
+        if path is None:
+            remove(session, target)
 
     return _writer(stream, label, available_now, "append").foreachBatch(run).start()
 
 
+def routed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows that `route` wrote below `path`, with the folder they went to; a filter on that reads the folder alone."""
+    extra = [T.StructField(BATCH, T.LongType()), T.StructField(ROUTE, T.StringType())]
+    return spark.read.schema(T.StructType([*schema.fields, *extra])).parquet(path).drop(BATCH)
+
+
 def monitor(bars: DataFrame, show: Callable[[DataFrame, int], None], label: str | None = None,
             available_now: bool = False) -> StreamingQuery:
     """Raw monitor: per batch, the level rows of each symbol's latest bar."""
@@ -162,10 +191,27 @@ def monitor(bars: DataFrame, show: Callable[[DataFrame, int], None], label: str
 
 
 def run_live(bars: DataFrame, path: str, n: int = 10, columns: Sequence[str] | None = None, fmt: str = "parquet",
-             label: str | None = None, available_now: bool = False, keep_late: bool = False) -> StreamingQuery:
-    """The live loop: closed bars, each once, flat, with lookback, appended to files.
+             label: str | None = None, available_now: bool = False, keep_late: bool = False,
+             history: DataFrame | None = None) -> StreamingQuery:
+    """The live loop: closed bars, each once, flat, with lookback, written to files batch by batch.
 
-    Stop it with `query.stop()`; with the same label it goes on from its checkpoint. With `keep_late`, bars that
-    come too late for a lookback are appended too, marked in the column `late`.
+    `history` (bars of the same columns) is written first and feeds the lookback of the updates: initial history and live updates
+    are one call. State is the last n bars per symbol in a table (see `tables`), so late bars need no watermark: with
+    `keep_late` they are written too, marked in the column `late`. Stop with `query.stop()`; with the same label it goes on.
     """
-    return append_files(live_levels(bars, n, columns, keep_late=keep_late), path, fmt, label, available_now)
+    spark = bars.sparkSession
+
+    def closed(rows: DataFrame) -> DataFrame:
+        return clean(B.closed_bars(rows) if HELPER_COLUMNS[0] in rows.columns else rows)
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        out = flatten(rows)
+        target = f"{path}/{VERSION}={batch_id}"
+        if fmt == "csv":
+            without_nested(out).write.mode("overwrite").option("header", True).csv(target)
+        else:
+            out.write.mode("overwrite").format(fmt).save(target)
+
+    label = label or uuid.uuid4().hex
+    return run_lookback(closed(bars), write, state_folder(spark, label, "state"), n, columns,
+                        None if history is None else closed(history), label, available_now, keep_late)
