@@ -30,21 +30,72 @@ def df(spark, frame):
     return nan_to_null(spark.createDataFrame(frame)).repartition(5).persist()
 
 
-@pytest.mark.parametrize("margin", [2.5e-4, 0.0, 0.2, 2.0])
-def test_quantiles_are_exact_whatever_the_bracket(df, frame, margin):
+@pytest.mark.parametrize("bins, few", [(1 << 13, 4096), (256, 10), (1 << 13, 0)])
+def test_quantiles_are_exact(df, frame, monkeypatch, bins, few):
+    monkeypatch.setattr(QT, "BINS", bins)
+    monkeypatch.setattr(QT, "FEW", few)
     probabilities = [0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1]
-    found = QT.exact_quantiles(df, list(frame.columns), probabilities, margin)
+    found = QT.exact_quantiles(df, list(frame.columns), probabilities)
     for c in frame.columns:
         for p in probabilities:
             assert math.isclose(found[(c, p)], frame[c].quantile(p), rel_tol=1e-12), (c, p)
 
 
-def test_quantiles_with_a_coarse_sketch(df, frame, monkeypatch):
-    """A bad sketch costs passes, not correctness."""
-    monkeypatch.setattr(QT, "SKETCH_SIZE", 8)
-    found = QT.exact_quantiles(df, ["a", "heavy"], [0.1, 0.5, 0.9], 1e-6)
-    assert all(math.isclose(found[(c, p)], frame[c].quantile(p), rel_tol=1e-12)
-               for c in ("a", "heavy") for p in (0.1, 0.5, 0.9))
+def scans(monkeypatch, run):
+    """How many scans a selection took, and the most rows that one interval gave."""
+    seen, scan = [], QT._scan
+
+    def counted(values, intervals, parts):
+        out = scan(values, intervals, parts)
+        sizes = [r["count"] for r in out.groupBy("interval").count().collect()]
+        seen.append(max(sizes, default=0))
+        return out
+
+    monkeypatch.setattr(QT, "_scan", counted)
+    return run(), seen
+
+
+def test_quantiles_of_any_doubles(spark, monkeypatch):
+    """Values over the whole range of doubles, hot ones, and neighbours that differ in their last bit: five scans at most."""
+    near = [math.nextafter(1.0, 2) if k % 2 else 1.0 for k in range(400)]
+    wild = [s * 10.0 ** e for e in range(-320, 309) for s in (1, -1)] + [0.0, -0.0, 5e-324, -5e-324, math.inf, -math.inf]
+    hot = [7.0] * 5000 + [float(k) for k in range(300)]
+    values = [("near", v) for v in near] + [("wild", v) for v in wild] + [("hot", v) for v in hot]
+    made = spark.createDataFrame([tuple(v if c == n else None for n in ("near", "wild", "hot")) for c, v in values],
+                                 "near double, wild double, hot double").repartition(3)
+    probabilities = [0, 0.001, 0.1, 0.3, 0.5, 0.77, 0.999, 1]
+    monkeypatch.setattr(QT, "FEW", 0)
+    found, seen = scans(monkeypatch, lambda: QT.exact_quantiles(made, ["near", "wild", "hot"], probabilities))
+    for name, own in (("near", near), ("wild", wild), ("hot", hot)):
+        ranked = sorted(own)
+        for p in probabilities:
+            at = p * (len(own) - 1)
+            low, high = ranked[math.floor(at)], ranked[math.ceil(at)]
+            expected = low + (high - low) * (at - math.floor(at))
+            assert found[name, p] == expected or math.isnan(expected)
+    assert len(seen) <= 5
+
+
+def test_no_task_reads_more_than_a_histogram(spark, monkeypatch):
+    monkeypatch.setattr(QT, "BINS", 512)
+    monkeypatch.setattr(QT, "FEW", 300)
+    made = spark.range(60_000, numPartitions=4).selectExpr("rand(3) * id AS x")
+    found, seen = scans(monkeypatch, lambda: QT.exact_quantiles(made, ["x"], [0.25, 0.5]))
+    ranked = sorted(r["x"] for r in made.collect())
+    assert found["x", 0.5] == (ranked[29_999] + ranked[30_000]) / 2
+    assert max(seen) <= 4 * 512, "parts of an interval, once per task"
+
+
+def test_quantiles_of_counts(spark):
+    counts = spark.createDataFrame([(5, 1000), (7, 1), (-3, 999)], "value bigint, n bigint").repartition(2)
+    assert QT.quantiles_of_counts(counts, [0.0, 0.5, 1.0]) == {0.0: -3.0, 0.5: 5.0, 1.0: 7.0}
+    assert QT.quantiles_of_counts(counts.limit(0), [0.5]) == {}
+
+
+def test_statistics_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "x double, y bigint")
+    assert [tuple(r) for r in P.wide_stats(none, ["x"], {"n": lambda c: F.count(c), "m": lambda c: F.avg(c)}).collect()] == [("x", 0, 0, None)]
+    assert [tuple(r) for r in P.correlation(none).collect()] == [("x", "y", None)] and P.correlation(none, ["x"]).count() == 0
 
 
 def test_quantiles_without_values(spark):

@@ -21,19 +21,25 @@ BINS = 50
 IQR_REACH = 1.5
 Z_LIMIT = 3
 HIGH_CORRELATION = 0.7
+#: Columns of a block whose correlations with another block are one aggregate.
+SIDE = 4
 
 Stat = Callable[[Column], Column]
 
 
 def wide_stats(df: DataFrame, columns: Sequence[str], stats: Mapping[str, Stat]) -> DataFrame:
-    """(column, stat...) rows out of a single aggregate over the table."""
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        make(number(c)).alias(f"{i}__{name}") for i, c in enumerate(columns) for name, make in stats.items()
-    ])
-    return wide.select("rows", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{i}__{name}").alias(name) for name in stats])
-        for i, c in enumerate(columns)
-    ])))
+    """(column, rows, stat...) rows out of one scan.
+
+    The statistics are written once for (column, value) rows, however many columns there are: an aggregate with all of them for
+    all columns side by side is more than Spark compiles. Each task sends one row per column.
+    """
+    values = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), number(c).alias("value"), F.lit(1).alias("row")) for c in columns])))
+    # One row more per column, which counts nothing, so that a table without rows has statistics too
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").select(
+        "column", F.lit(None).cast("double").alias("value"), F.lit(0).alias("row"))
+    return values.unionByName(every).groupBy("column").agg(
+        F.sum("row").alias("rows"), *[make(F.col("value")).alias(name) for name, make in stats.items()])
 
 
 def _known(stats: DataFrame) -> DataFrame:
@@ -241,13 +247,28 @@ def qq(df: DataFrame, column: str, points: int = 99) -> DataFrame:
 # -- relations -------------------------------------------------------------------------------
 
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson r of every pair of table columns over rows where both are present."""
+    """Pearson r of every pair of table columns over rows where both are present.
+
+    Columns go in blocks, and each row gives one row per pair of blocks. So one scan does for any number of columns,
+    and the aggregate is the SIDE * SIDE correlations of two blocks, which Spark compiles.
+    """
     chosen = list(columns or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(chosen) for b in chosen[i + 1:]]
-    wide = df.agg(*[F.corr(number(a), number(b)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{k}").alias("r"))
-        for k, (a, b) in enumerate(pairs)])))
+    blocks = [chosen[i:i + SIDE] for i in range(0, len(chosen), SIDE)]
+    pairs = [(a, b) for i, a in enumerate(blocks) for b in blocks[i:]]
+    wanted = [(k, i, j, x, y) for k, (a, b) in enumerate(pairs) for i, x in enumerate(a) for j, y in enumerate(b)
+              if chosen.index(x) < chosen.index(y)]
+    names = df.sparkSession.createDataFrame(wanted, "pair int, i int, j int, col_a string, col_b string")
+    none = F.lit(None).cast("double")
+    cells = [(i, j) for i in range(SIDE) for j in range(SIDE)]
+    numbers = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(chosen)])
+    value = {c: F.col(f"c{i}") for i, c in enumerate(chosen)}
+    rows = numbers.select(F.inline(F.array(*[
+        F.struct(F.lit(k).alias("pair"), *[(value[p[i]] if i < len(p) else none).alias(f"{side}{i}") for side, p in zip("ab", pair) for i in range(SIDE)])
+        for k, pair in enumerate(pairs)])))
+    found = rows.groupBy("pair").agg(*[F.corr(f"a{i}", f"b{j}").alias(f"r{i}_{j}") for i, j in cells])
+    found = found.select("pair", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in cells])))
+    return names.join(F.broadcast(found), ["pair", "i", "j"], "left").select("col_a", "col_b", "r")  # one row per pair of columns
 
 
 def high_correlation(df: DataFrame, columns: Sequence[str] | None = None,

@@ -18,8 +18,6 @@ from tickloom.sources.sinks import run_summary
 ISSUE, WARNING, INFO = "issue", "warning", "info"
 GAP_FACTOR = 10
 OUTLIER_SIGMAS = 5
-# Pieces per doubling of the step size when step sizes are ranked
-STEP_PIECES = 64
 
 
 def schema_check(df: DataFrame) -> DataFrame:
@@ -82,9 +80,8 @@ def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR,
     Grain "bar" looks at distinct times; "level" takes every row as a step, as the original check
     did, which makes the median zero wherever bars have more than two levels.
     """
-    counts = step_counts(df, grain, chunk).withColumn("column", F.lit("step"))
-    piece = F.floor(F.log2(F.col("value") + 1) * STEP_PIECES)
-    median = quantiles_of_counts(counts, [0.5], piece).get(("step", 0.5))
+    counts = step_counts(df, grain, chunk)
+    median = quantiles_of_counts(counts, [0.5]).get(0.5)
     middle = F.lit(median).cast("double")
     is_gap = F.col("value") > middle * factor
     return counts.agg(
