@@ -18,6 +18,7 @@ from tickloom.plans import inputs as I
 from tickloom.plans.base_sql import BARS, LEVELS, SLOT, STUDIES, TAPE, with_ctes
 from tickloom.plans.registry import query, result, rounded
 from tickloom.schemas import BAR_KEY, PROFILE, TIME
+from tickloom.session import checkpoint_location
 from tickloom.sources import files, sinks
 from tickloom.sources.tape import table, tape
 
@@ -146,6 +147,72 @@ def vbp_scan(spark, sf):
     return result(files.parse_time(text), "symbol", F.col(TIME).alias("ts"), "Price")
 
 
+@query("csv_history", with_ctes(TAPE, BARS, LEVELS) + f"""
+SELECT b.symbol, b.DateTime, b.close, b.volume, l.price, l.bid_vol, l.ask_vol, l.total_volume, l.num_trades
+FROM bars b LEFT JOIN levels l
+  ON b.symbol = l.symbol AND b.DateTime = l.DateTime AND {SLOT.replace('DateTime', 'b.DateTime')} % 7 <> 0""")
+def csv_history(spark, sf):
+    """Flat rows written as CSV and read as a history."""
+    bars = I.nested(spark, sf)
+    none = F.array().cast(bars.schema[PROFILE].dataType)
+    emptied = bars.withColumn(PROFILE, F.when(I.slot() % 7 == 0, none).otherwise(F.col(PROFILE)))
+    path = sinks.write_csv(R.to_flat(emptied), checkpoint_location(spark))
+    return result(files.read_history_csv(spark, path), *BAR_KEY, "Close", "Volume", "Price", "BidVol", "AskVol", "TotalVolume",
+                  "NumOfTrades")
+
+
+@query("csv_mixed_headers", ON_LEVELS + f"""
+SELECT symbol, DateTime, price, CASE WHEN {SLOT} % 3 <> 2 THEN total_volume END AS total_volume,
+       CASE WHEN {SLOT} % 3 = 1 THEN bid_vol END AS bid_vol FROM levels""")
+def csv_mixed_headers(spark, sf):
+    """Three exports in one folder, with columns in another order, one more, and one less."""
+    root = checkpoint_location(spark)
+    layouts = [["DateTime", "symbol", "Price", "TotalVolume"], ["symbol", "TotalVolume", "BidVol", "DateTime", "Price"],
+               ["Price", "DateTime", "symbol"]]
+    rows = I.levels(spark, sf)
+    for k, names in enumerate(layouts):
+        sinks.write_csv(rows.filter(I.slot() % 3 == k).select(*names), f"{root}/{k}")
+    return result(files.read_history_csv(spark, [f"{root}/{k}" for k in range(3)]), *BAR_KEY, "Price", "TotalVolume", "BidVol")
+
+
+@query("quarantine_csv", ON_LEVELS + f"""
+, faults AS (
+  SELECT *, {SLOT} % 11 = 0 AS bad_time, {SLOT} % 7 = 0 AS bad_price, {SLOT} % 5 = 0 AS bad_volume FROM levels)
+SELECT symbol, CASE WHEN NOT (bad_time OR bad_price OR bad_volume) THEN DateTime END AS DateTime,
+       CASE WHEN NOT (bad_time OR bad_price OR bad_volume) THEN price END AS price,
+       CASE WHEN NOT (bad_time OR bad_price OR bad_volume) THEN total_volume END AS total_volume,
+       nullif(concat_ws(', ', CASE WHEN bad_time THEN 'DateTime' END, CASE WHEN bad_price THEN 'Price' END,
+                        CASE WHEN bad_volume THEN 'TotalVolume' END), '') AS reason
+FROM faults""")
+def quarantine_csv(spark, sf):
+    """A history with bad cells goes through files: good rows to one table, lines that cannot be read to another."""
+    rows = I.levels(spark, sf).select(
+        "symbol", F.when(I.slot() % 11 == 0, "yesterday").otherwise(time_text()).alias(TIME),
+        F.when(I.slot() % 7 == 0, "n/a").otherwise(F.col("Price").cast("string")).alias("Price"),
+        F.when(I.slot() % 5 == 0, "1.5e").otherwise(F.col("TotalVolume").cast("string")).alias("TotalVolume"))
+    path, target = checkpoint_location(spark), checkpoint_location(spark)
+    rows.write.option("header", True).csv(path)
+    good, rejects = files.split_history_csv(spark, path, target)
+    kept = good.select("symbol", TIME, "Price", "TotalVolume", F.lit(None).cast("string").alias("reason"))
+    lost = rejects.select(F.substring_index("line", ",", 1).alias("symbol"), F.lit(None).cast("timestamp_ntz").alias(TIME),
+                          F.lit(None).cast("double").alias("Price"), F.lit(None).cast("bigint").alias("TotalVolume"), "reason")
+    return result(kept.unionByName(lost), *BAR_KEY, "Price", "TotalVolume", "reason")
+
+
+@query("export_round_trip", ON_BARS + """
+SELECT symbol, DateTime, close, CASE WHEN DateTime >= TIMESTAMP '2024-01-20' THEN volume + 1 ELSE volume END AS volume,
+       strftime(DateTime, '%Y-%m-%d') AS trade_date
+FROM bars WHERE DateTime < TIMESTAMP '2024-01-20' OR symbol <> 'S0'""")
+def export_round_trip(spark, sf):
+    """All days are exported, then the last ones again: without a symbol, and with other volumes."""
+    bars = I.bars(spark, sf).select(*BAR_KEY, "Close", "Volume")
+    path = checkpoint_location(spark)
+    sinks.export_days(bars, path)
+    again = R.from_date(bars, "2024-01-20").filter("symbol <> 'S0'").withColumn("Volume", F.col("Volume") + 1)
+    sinks.export_days(again, path)
+    return result(sinks.read_days(spark, path), *BAR_KEY, "Close", "Volume", F.col("trade_date").cast("string").alias("trade_date"))
+
+
 # -- filters and slices ----------------------------------------------------------------------
 
 @query("bars_last_n", ON_BARS + """
