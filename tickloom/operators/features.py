@@ -188,8 +188,8 @@ def delta_ema(bars: DataFrame, span: int = 10) -> DataFrame:
     ends = blocked.groupBy(SYMBOL, "__block").agg(*[
         (F.sum(v) * F.pow(base, F.lit(size - 1))).alias(f"__e{n}") for n, v in scaled.items()])
     earlier = Window.partitionBy(SYMBOL).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.when(F.col("__ed").isNotNull(), F.struct("__block", "__en", "__ed"))
-    ends = ends.select(SYMBOL, "__block", F.last(known, ignorenulls=True).over(earlier).alias("__end"))
+    ends = ends.withColumn("__t_end", F.when(F.col("__ed").isNotNull(), F.struct("__block", "__en", "__ed")))
+    ends = ends.select(SYMBOL, "__block", F.last("__t_end", ignorenulls=True).over(earlier).alias("__end"))
     inside = Window.partitionBy(SYMBOL, "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = blocked.select("*", offset.alias("__off"), *[F.sum(v).over(inside).alias(f"__i{n}") for n, v in scaled.items()])
     joined = join_alike(local, ends, [SYMBOL, "__block"])
@@ -206,15 +206,18 @@ def delta_change(bars: DataFrame, n: int = 1) -> DataFrame:
     return past.select(*BAR_KEY, (F.col("Delta") - F.col("__d")).alias("value"))
 
 
-def percent_rank(bars: DataFrame, column: str, keys: Sequence[str] = (SYMBOL,), step: int = 256) -> DataFrame:
+def percent_rank(bars: DataFrame, column: str, keys: Sequence[str] = (SYMBOL,), pieces: int = 4096) -> DataFrame:
     """Share of the symbol's other bars with a smaller value: (rank - 1) / (rows - 1).
 
-    Values are counted first and ranked by a prefix sum over ranges of `step`, so no task sorts a
-    symbol's history. Every row stays; one without a value or a symbol has a NULL rank.
+    Values are counted first and ranked by a prefix sum over `pieces` ranges between the column's smallest and largest value,
+    so no task sorts a symbol's history, whatever the column's scale. Every row stays; one without a value or a symbol has a
+    NULL rank.
     """
     keys = list(keys)
+    ends = bars.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) / pieces or 1.0
     counts = bars.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running(counts, keys, column, {"__upto": F.col("__n")}, F.floor(F.col(column) / step),
+    ranked = running(counts, keys, column, {"__upto": F.col("__n")}, F.floor((F.col(column).cast("double") - F.lit(low)) / F.lit(width)),
                      {"__all": "__upto"})
     share = (F.col("__upto") - F.col("__n")) / F.nullif(F.col("__all") - 1, F.lit(0))
     values = ranked.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col(column).alias("__value"),

@@ -12,7 +12,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.columns import named, nan_to_null, numeric_columns, text_columns, time_columns
+from tickloom.functions.columns import columns_with_role, named, nan_to_null, numeric_columns, text_columns, time_columns
 from tickloom.operators.dedup import duplicate_count
 from tickloom.operators.quantiles import exact_quantiles, long_form, number, quantile_columns
 from tickloom.operators.quality import null_counts
@@ -96,8 +96,9 @@ def uniqueness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     values = nan_to_null(df.select(*[named(c) for c in chosen])).select(*[named(c).cast("string").alias(c) for c in chosen]).unpivot(
         [], [named(c) for c in chosen], "column", "value")
     per_value = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    kinds = F.create_map(*[F.lit(x) for c, kind in df.dtypes if c in chosen for x in (c, kind)])
     return per_value.groupBy("column").agg(
-        F.count("value").alias("n_unique"), (F.count("value") / F.sum("n")).alias("ratio"))
+        F.count("value").alias("n_unique"), (F.count("value") / F.sum("n")).alias("ratio")).withColumn("dtype", kinds[F.col("column")])
 
 
 def categorical(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5) -> DataFrame:
@@ -282,6 +283,16 @@ def pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(*[named(c) for c in chosen]).na.drop()
 
 
+def price_volume(df: DataFrame) -> DataFrame:
+    """The first column with the role of a price against the first with that of a volume, rows with both; both are named in the result."""
+    found = {role: columns_with_role(df.select(*[named(c) for c in numeric_columns(df)]), role) for role in ("price", "volume")}
+    if not all(found.values()):
+        raise ValueError(f"no numeric column for {[r for r, c in found.items() if not c]}")
+    price, volume = found["price"][0], found["volume"][0]
+    return df.select(F.lit(price).alias("price_column"), number(price).alias("price"), F.lit(volume).alias("volume_column"),
+                     number(volume).alias("volume")).na.drop()
+
+
 def timeseries(df: DataFrame, time: str, value: str) -> DataFrame:
     return df.select(named(time).cast("timestamp_ntz").alias("t"), named(value).alias("v")).orderBy("t", "v")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from tickloom.functions.columns import micros_between, named
 from tickloom.operators.quantiles import quantiles_of_counts
 from tickloom.operators.sequence import lagged
 from tickloom.schemas import OPTIONAL_COLUMNS, REQUIRED_COLUMNS, SYMBOL, TIME
-from tickloom.session import stage
+from tickloom.session import staged
 from tickloom.sources.files import read_indexed_csv
 from tickloom.sources.sinks import run_summary
 
@@ -55,22 +56,24 @@ def volume_check(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.col("Volume") < 0).alias("n_bad"))
 
 
-def step_counts(df: DataFrame, grain: str = "bar", chunk: Column | None = None) -> DataFrame:
+@contextmanager
+def step_counts(df: DataFrame, grain: str = "bar", chunk: Column | None = None) -> Iterator[DataFrame]:
     """(value, n): how often each step in microseconds occurs between consecutive times of a symbol.
 
     Grain "level" also counts a step of zero for every row that repeats its symbol's time. The
-    distinct times and the counts are staged, so that the table behind them is read once. Times are
+    distinct times and the counts are staged for the time of the block, so that the table behind them is read once. Times are
     ordered a day at a time; give a finer `chunk` for tables of single trades.
     """
     if grain not in ("bar", "level"):
         raise ValueError("grain is 'bar' or 'level'")
-    times = stage(df.groupBy(SYMBOL, TIME).agg(F.count(F.lit(1)).alias("rows")), "times")
-    steps = lagged(times, [SYMBOL], TIME, {"previous": TIME}, chunk=chunk).filter(F.col("previous").isNotNull())
-    counts = steps.groupBy(micros_between("previous", TIME).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    if grain == "level":
-        zeros = times.agg(F.lit(0).cast("bigint").alias("value"), F.sum(F.col("rows") - 1).alias("n"))
-        counts = counts.unionByName(zeros.filter(F.col("n") > 0)).groupBy("value").agg(F.sum("n").alias("n"))
-    return stage(counts, "steps")
+    with staged(df.groupBy(SYMBOL, TIME).agg(F.count(F.lit(1)).alias("rows")), "times") as times:
+        steps = lagged(times, [SYMBOL], TIME, {"previous": TIME}, chunk=chunk).filter(F.col("previous").isNotNull())
+        counts = steps.groupBy(micros_between("previous", TIME).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        if grain == "level":
+            zeros = times.agg(F.lit(0).cast("bigint").alias("value"), F.sum(F.col("rows") - 1).alias("n"))
+            counts = counts.unionByName(zeros.filter(F.col("n") > 0)).groupBy("value").agg(F.sum("n").alias("n"))
+        with staged(counts, "steps") as found:
+            yield found
 
 
 def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR,
@@ -80,15 +83,16 @@ def gap_check(df: DataFrame, grain: str = "bar", factor: int = GAP_FACTOR,
     Grain "bar" looks at distinct times; "level" takes every row as a step, as the original check
     did, which makes the median zero wherever bars have more than two levels.
     """
-    counts = step_counts(df, grain, chunk)
-    median = quantiles_of_counts(counts, [0.5]).get(0.5)
-    middle = F.lit(median).cast("double")
-    is_gap = F.col("value") > middle * factor
-    return counts.agg(
-        F.coalesce(F.sum(F.when(is_gap, F.col("n"))), F.lit(0)).cast("bigint").alias("n_gaps"),
-        F.max(middle / 1e6).alias("median_s"),
-        (F.max(F.when(is_gap, F.col("value"))) / 1e6).alias("max_gap_s"),
-    )
+    with step_counts(df, grain, chunk) as counts:
+        median = quantiles_of_counts(counts, [0.5]).get(0.5)
+        middle = F.lit(median).cast("double")
+        is_gap = F.col("value") > middle * factor
+        found = counts.agg(
+            F.coalesce(F.sum(F.when(is_gap, F.col("n"))), F.lit(0)).cast("bigint").alias("n_gaps"),
+            F.max(middle / 1e6).alias("median_s"),
+            (F.max(F.when(is_gap, F.col("value"))) / 1e6).alias("max_gap_s"),
+        )
+        return df.sparkSession.createDataFrame(found.collect(), found.schema)  # one row
 
 
 def _beyond(column: str, mean: float | None, std: float | None, sigmas: float) -> Column:

@@ -88,8 +88,8 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 0) -> DataFr
     """
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])
     hashed = df.withColumn("__hash", F.md5(text))
-    # 16^4 hash ranges, evenly filled
-    return smallest(hashed, "__hash", F.substring("__hash", 1, 4), n).drop("__hash")
+    # 16^4 hash ranges, evenly filled; as numbers, which aggregate by hash
+    return smallest(hashed, "__hash", F.conv(F.substring("__hash", 1, 4), 16, 10).cast("int"), n).drop("__hash")
 
 
 def append_rows(history: DataFrame, new: DataFrame) -> DataFrame:

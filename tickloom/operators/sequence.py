@@ -191,11 +191,24 @@ def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
     return condition
 
 
+def _pieces(df: DataFrame, column: str) -> Column:
+    """A chunk for any sortable column: the day of a time, the first letters of a text, 4,096 ranges of a number."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return day(column)
+    if isinstance(kind, T.NumericType):
+        value = F.col(quoted(column)).cast("double")
+        ends = df.agg(F.min(value), F.max(value)).first()
+        low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) / 4096 or 1.0
+        return F.floor((value - F.lit(low)) / F.lit(width))
+    return F.substring(F.col(quoted(column)).cast("string"), 1, 2)
+
+
 def position_slice(df: DataFrame, order: Sequence[str], start: Column | int, length: int) -> DataFrame:
     """Rows at global positions [start, start + length) when sorted by the columns in `order`.
 
-    Counts per prefix of the order narrow the search, one order column at a time, so no task
-    ever sorts more than one count per value of a column. `start` may use column `n_rows`.
+    Counts per prefix of the order narrow the search, one order column at a time. Those of the first column are summed up
+    in chunks, those of the others inside the few prefixes that matter. `start` may use column `n_rows`.
     """
     order = list(order)
     first = start if isinstance(start, Column) else F.lit(start)
@@ -204,15 +217,14 @@ def position_slice(df: DataFrame, order: Sequence[str], start: Column | int, len
         prefix = order[:depth]
         if wanted is None:
             counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-            located = counts.withColumn("n_rows", F.sum("__n").over(Window.partitionBy())).select(
-                column, "__n", F.lit(0).alias("__base"), first.alias("__start"))
+            summed = running(counts, [], column, {"__upto": F.col("__n")}, _pieces(df, column), {"n_rows": "__upto"})
+            placed = summed.select(column, "__n", (F.col("__upto") - F.col("__n")).alias("__at"), first.alias("__start"))
         else:
             # At most `length` prefixes are wanted, whatever the size of the data.
             scope = df.join(F.broadcast(wanted), _same(df, wanted, prefix))
             located = scope.groupBy(*prefix, column, "__base", "__start").agg(F.count(F.lit(1)).alias("__n"))
-        earlier = (Window.partitionBy(*prefix).orderBy(column)
-                   .rowsBetween(Window.unboundedPreceding, -1))
-        placed = located.withColumn("__at", F.col("__base") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+            earlier = Window.partitionBy(*prefix).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+            placed = located.withColumn("__at", F.col("__base") + F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
         wanted = placed.filter(
             (F.col("__at") + F.col("__n") > F.col("__start")) & (F.col("__at") < F.col("__start") + length)
         ).select(*[F.col(c).alias(f"__w_{c}") for c in order[:depth + 1]],

@@ -249,23 +249,26 @@ def latest_bar(spark, sf):
                   "NumOfTrades")
 
 
-@query("bar_panel", with_ctes(TAPE, BARS, LEVELS) + """
+@query("bar_panel", with_ctes(TAPE, BARS, LEVELS, STUDIES) + """
 SELECT b.symbol, b.DateTime, any_value(b.open) AS open, any_value(b.high) AS high, any_value(b.low) AS low,
        any_value(b.close) AS close, any_value(b.volume) AS volume, any_value(b.delta) AS delta,
-       any_value(b.large_bid) AS large_bid, any_value(b.large_ask) AS large_ask, count(*) AS n_levels,
+       any_value(b.large_bid) AS large_bid, any_value(b.large_ask) AS large_ask,
+       round(coalesce(any_value(b.rvol), 0), 6) AS rvol, any_value(b.cumulative_delta) AS cumulative_delta, count(*) AS n_levels,
        min(l.price) AS min_price, max(l.price) AS max_price, CAST(sum(l.bid_vol) AS BIGINT) AS bid_vol,
        CAST(sum(l.ask_vol) AS BIGINT) AS ask_vol, CAST(sum(l.num_trades) AS BIGINT) AS num_trades
-FROM bars b JOIN levels l ON b.symbol = l.symbol AND b.DateTime = l.DateTime GROUP BY 1, 2""")
+FROM studies b JOIN levels l ON b.symbol = l.symbol AND b.DateTime = l.DateTime GROUP BY 1, 2""")
 def bar_panel(spark, sf):
-    panel = R.bar_panel(R.flatten(I.nested(spark, sf)))
+    """Bars as the vendor delivers them, studies included; a missing study shows as 0."""
+    panel = R.bar_panel(R.to_flat(B.vendor_bars(tape(spark, sf))))
 
     def total(name):
         return F.aggregate(F.col(f"Levels.{name}"), F.lit(0).cast("bigint"), lambda a, v: a + v)
 
-    return result(panel, *BAR_KEY, "Open", "High", "Low", "Close", "Volume", "Delta", "LargeBidTrade",
-                  "LargeAskTrade", "NumLevels", F.array_min("Levels.Price").alias("min_price"),
-                  F.array_max("Levels.Price").alias("max_price"), total("BidVol").alias("bid_vol"),
-                  total("AskVol").alias("ask_vol"), total("NumOfTrades").alias("num_trades"))
+    return rounded(result(
+        panel, *BAR_KEY, "Open", "High", "Low", "Close", "Volume", "Delta", "LargeBidTrade", "LargeAskTrade", "RVOL",
+        "CumulativeDelta", "NumLevels", F.array_min("Levels.Price").alias("min_price"),
+        F.array_max("Levels.Price").alias("max_price"), total("BidVol").alias("bid_vol"),
+        total("AskVol").alias("ask_vol"), total("NumOfTrades").alias("num_trades")), 6, "rvol")
 
 
 @query("slices", ON_LEVELS + """

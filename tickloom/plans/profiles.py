@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+from pyspark.sql import functions as F
+
 from tickloom.operators import profile as P
+from tickloom.operators import sketches as S
 from tickloom.plans import inputs as I
 from tickloom.plans.base_sql import BARS, TAPE, with_ctes
 from tickloom.plans.inputs import DIRTY_EVENTS_SQL, LINEITEM_NUMBERS
 from tickloom.plans.registry import query, rounded, significant
-from tickloom.sources.tape import table
+from tickloom.session import stage
+from tickloom.sources.tape import table, tape
 
 ON_DIRTY = with_ctes(DIRTY_EVENTS_SQL)
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
@@ -60,7 +64,8 @@ ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_t
 
 
 @query("eda_uniqueness", _each(ORDER_COLUMNS, """SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_unique,
-  round(count(DISTINCT {c}) / count(*), 6) AS ratio FROM {t}""", "orders"))
+  round(count(DISTINCT {c}) / count(*), 6) AS ratio, CASE any_value(typeof({c})) WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(any_value(typeof({c}))) END AS dtype FROM {t}""", "orders"))
 def eda_uniqueness(spark, sf):
     return rounded(P.uniqueness(table(spark, sf, "orders"), ORDER_COLUMNS), 6, "ratio")
 
@@ -235,6 +240,39 @@ def eda_pairs(spark, sf):
     return P.pairs(lineitem(spark, sf), LINEITEM_NUMBERS)
 
 
+@query("eda_price_volume", """
+SELECT 'l_extendedprice' AS price_column, CAST(l_extendedprice AS DOUBLE) AS price, 'l_quantity' AS volume_column,
+       CAST(l_quantity AS DOUBLE) AS volume FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL""")
+def eda_price_volume(spark, sf):
+    return P.price_volume(lineitem(spark, sf))
+
+
+@query("profile_from_sketches", with_ctes(TAPE) + """
+, days AS (SELECT * FROM tape WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-23'),
+top AS (SELECT symbol, max(n) AS top_count FROM (SELECT symbol, price, count(*) AS n FROM days GROUP BY 1, 2) GROUP BY 1)
+SELECT symbol, count(*) AS n, min(price) AS lo, max(price) AS hi, any_value(top_count) AS top_count,
+       true AS quantiles_hold, true AS distinct_holds
+FROM days JOIN top USING (symbol) GROUP BY 1""")
+def profile_from_sketches(spark, sf):
+    """Sketches of all days, stored once; a range of days is merged and held against its exact ranks and distinct values."""
+    points = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+    stored = stage(S.daily_sketches(tape(spark, sf), "price", "ts"), "sketches")
+    inside = (F.col(S.DAY) >= "2024-01-08") & (F.col(S.DAY) < "2024-01-23")
+    estimated = S.profile(S.merged(stored.filter(inside)), points)
+    rows = tape(spark, sf).withColumn(S.DAY, F.to_date("ts")).filter(inside).groupBy("symbol", "price").agg(F.count(F.lit(1)).alias("m"))
+    judged = rows.join(estimated, "symbol").groupBy("symbol", "n", "min", "max", "quantiles", "distinct", "frequent").agg(
+        F.count(F.lit(1)).alias("values"),
+        *[F.sum(F.when(F.col("price") < F.col("quantiles")[i], F.col("m")).otherwise(0)).alias(f"below{i}") for i in range(len(points))],
+        *[F.sum(F.when(F.col("price") <= F.col("quantiles")[i], F.col("m")).otherwise(0)).alias(f"upto{i}") for i in range(len(points))])
+    holds = F.lit(True)
+    for i, p in enumerate(points):
+        holds = holds & (F.col(f"below{i}") / F.col("n") <= p + S.RANK_ERROR) & (F.col(f"upto{i}") / F.col("n") >= p - S.RANK_ERROR)
+    return judged.select(
+        "symbol", "n", F.col("min").alias("lo"), F.col("max").alias("hi"), F.col("frequent")[0]["count"].alias("top_count"),
+        holds.alias("quantiles_hold"),
+        (F.abs(F.col("distinct") - F.col("values")) <= S.DISTINCT_ERROR * F.col("values")).alias("distinct_holds"))
+
+
 @query("eda_timeseries", "SELECT o_orderdate AS t, o_totalprice AS v FROM orders")
 def eda_timeseries(spark, sf):
     return P.timeseries(table(spark, sf, "orders"), "o_orderdate", "o_totalprice")
