@@ -58,22 +58,25 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: int = 16, output:
     return df.withColumn(output, jump_shard(stable_key(df, key), shards))
 
 
-def number_slots(df: DataFrame, shard: str = "shard", output: str = "slot", blocks: int = 4096) -> DataFrame:
+def number_slots(df: DataFrame, shard: str = "shard", output: str = "slot", blocks: int = 4096, copies: int = 8192) -> DataFrame:
     """Rows of a narrow frame numbered from 0 without gaps inside each shard.
 
-    Repeated rows are counted once per partition before the shuffle and numbered together, so a
-    row that makes up a third of the table is one record. No task holds a shard: the rows of one fall
-    into `blocks` hash blocks, and only the blocks' totals meet in one window.
+    Repeated rows are counted once per partition before the shuffle, so a row that makes up a third of the table is one
+    record. It goes on as pieces of at most `copies` rows in blocks of their own, and only behind the window does each task
+    make the rows of its pieces. No task holds a shard: the rows of one fall into `blocks` hash blocks, and only the
+    blocks' totals meet in one window.
     """
     names = [c for c in df.columns if c != output]
     columns = [F.col(f"`{c}`") for c in names]
-    rows = (df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies"))
-            .withColumn("__block", F.pmod(F.xxhash64(*columns), F.lit(blocks))))
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__all"))
+    pieces = counted.withColumn("__piece", F.explode(F.expr(f"sequence(0L, (__all - 1) div {copies})")))
+    rows = (pieces.withColumn("__copies", F.least(F.lit(copies).cast("long"), F.col("__all") - F.col("__piece") * copies))
+            .withColumn("__block", F.pmod(F.xxhash64(*columns) % blocks + F.col("__piece"), F.lit(blocks))))
     by_shard = Window.partitionBy("__shard").orderBy("__b")
     totals = (rows.groupBy(F.col(f"`{shard}`").alias("__shard"), F.col("__block").alias("__b"))
               .agg(F.sum("__copies").alias("__total"))
               .withColumn("__before", F.sum("__total").over(by_shard) - F.col("__total")))
-    inside = Window.partitionBy(f"`{shard}`", "__block").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(f"`{shard}`", "__block").orderBy(*columns, "__piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = (rows.join(totals, F.col(f"`{shard}`").eqNullSafe(F.col("__shard")) & (F.col("__block") == F.col("__b")))
                 .withColumn("__first", F.sum("__copies").over(inside) - F.col("__copies") + F.col("__before")))
     return numbered.select(*columns, F.explode(F.sequence(
