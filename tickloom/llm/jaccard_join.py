@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import text as T
 from tickloom.llm.components import connected_components
+from tickloom.llm.session import shielded
 from tickloom.session import stage
 
 #: One set in so many, by its key, has all its tokens counted to find the frequent ones. The counts decide the order in
@@ -284,12 +285,13 @@ def one_of_each_group(documents: DataFrame, id: str = "doc_id", text: str = "tex
 
     Of rows that repeat an id one stays; rows without an id stay. Only the ids to be dropped are joined to the texts.
     """
-    named = stage(similar_documents(documents.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", words, percent), "groups")
+    rows, given = shielded(documents)
+    named = stage(similar_documents(rows.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text", words, percent), "groups")
     dropped = stage(named.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__id")).distinct(), "dropped")
     repeated = stage(named.groupBy("id").count().filter((F.col("count") > 1) & F.col("id").isNotNull()).select(F.col("id").alias("__id")), "repeated")
-    same = documents[id] == F.col("__id")
-    kept = documents.join(dropped, same, "left_anti")
+    same = rows[id] == F.col("__id")
+    kept = rows.join(dropped, same, "left_anti")
     if repeated.isEmpty():
-        return kept
+        return given(kept)
     again = kept.join(repeated, kept[id] == F.col("__id"), "left_semi").dropDuplicates([id])
-    return kept.join(repeated, kept[id] == F.col("__id"), "left_anti").union(again)
+    return given(kept.join(repeated, kept[id] == F.col("__id"), "left_anti").union(again))

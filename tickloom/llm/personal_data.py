@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import text as T
+from tickloom.llm.session import shielded
 from tickloom.session import stage
 
 # Kinds in their order, the patterns' character classes, and their limits.
@@ -326,6 +327,7 @@ def sanitise(documents: DataFrame, id: str = "doc_id", text: str = "text", lengt
     Base spans give way to the name of their kind, added terms to a mark or to nothing. Null texts stay null. The
     patterns run again on the text where it lies; only the few added spans are joined to it, by id and text.
     """
+    documents, given = shielded(documents)
     key = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`"))
     found = find_personal_data(documents.select(key.alias("__key"), F.col(f"`{text}`").alias("text")), "__key", "text", **options)
     added = stage(found.filter(F.size("added") > 0).dropDuplicates(["__key"]).select(
@@ -351,6 +353,6 @@ def sanitise(documents: DataFrame, id: str = "doc_id", text: str = "text", lengt
 
     clean = joined.mapInArrow(run, documents.schema)
     if length is None:
-        return clean
+        return given(clean)
     kind = documents.schema[length].dataType
-    return clean.withColumn(length, F.length(F.col(f"`{text}`")).cast(kind)).select(*[F.col(f"`{c}`") for c in names])
+    return given(clean.withColumn(length, F.length(F.col(f"`{text}`")).cast(kind)).select(*[F.col(f"`{c}`") for c in names]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,17 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with columns that begin with `__`, as this package's own do, under free names, and a function that gives the names back."""
+    taken = {c.lower() for c in df.columns}
+    changed = {}
+    for k, name in enumerate(c for c in df.columns if c.startswith("__")):
+        free = f"given{k}"
+        while free in taken:
+            free += "_"
+        taken.add(free)
+        changed[name] = free
+    back = {free: name for name, free in changed.items()}
+    return df.withColumnsRenamed(changed), lambda out: out.withColumnsRenamed(back)
