@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.session import shielded
+
 # What separates words, and the characters that count as symbols.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
@@ -77,21 +79,29 @@ def distinct_lines(text: Column) -> Column:
                        lambda x: F.struct(F.xxhash64(x).alias("hash"), F.length(x).alias("chars")))
 
 
-def frequent_lines(documents: DataFrame, host: str, text: str, max_documents: int) -> DataFrame:
-    """(__host, __line, documents) of lines that more than `max_documents` rows of a host hold.
+def frequent_lines(documents: DataFrame, host: str, text: str, max_documents: int, id: str = "doc_id", share: float = 0.0) -> DataFrame:
+    """(__host, __line, documents) of lines that more than `max_documents` documents of a host hold, and more than `share` of them.
 
-    A line counts once per row; counting starts before the shuffle, so a line that every document
-    holds is one record per task.
+    A document is an id, however many rows repeat it; rows without an id are told apart by their text. A line is counted once per document,
+    spread by host, line and document, so one that every document holds is many small groups before it is a count.
     """
-    return (documents.select(F.col(f"`{host}`").alias("__host"), F.explode(F.transform(
-                distinct_lines(F.col(f"`{text}`")), lambda x: x["hash"])).alias("__line"))
-            .groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > max_documents))
+    document = F.when(F.col(f"`{id}`").isNull(), F.xxhash64(F.col(f"`{text}`"))).otherwise(F.xxhash64(F.col(f"`{id}`")))
+    held = documents.select(F.col(f"`{host}`").alias("__host"), document.alias("__document"), F.explode(F.transform(
+        distinct_lines(F.col(f"`{text}`")), lambda x: x["hash"])).alias("__line")).distinct()
+    counts = held.groupBy("__host", "__line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") > max_documents)
+    if not share:
+        return counts
+    sizes = documents.select(F.col(f"`{host}`").alias("__of"), document.alias("__document")).distinct().groupBy("__of").agg(
+        F.count(F.lit(1)).alias("__all"))
+    return counts.join(sizes, F.col("__host").eqNullSafe(F.col("__of"))).filter(
+        F.col("documents") > share * F.col("__all")).select("__host", "__line", "documents")
 
 
 def judge_documents(documents: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text",
-                    max_documents: int = 40, least_kept: float = 0.3) -> DataFrame:
+                    max_documents: int = 40, share: float = 0.002, least_kept: float = 0.3) -> DataFrame:
     """id, statistics, base_failed, line_chars, removed_chars and kept for every row.
 
+    A line is removed where more than `max_documents` documents of its host, and more than `share` of them, hold it.
     `kept` is false where the base rules fail or less than `least_kept` of the characters in a document's
     distinct lines is left. Texts without a line fail the base rules. A null host is a host of its own; rows that
     repeat an id and text are judged alike, each in its own row. An empty table gives an empty table.
@@ -103,7 +113,7 @@ def judge_documents(documents: DataFrame, id: str = "doc_id", host: str = "sourc
     lines = documents.select(
         F.col(f"`{id}`").alias("i"), F.xxhash64(F.col(f"`{text}`")).alias("k"), F.col(f"`{host}`").alias("h"),
         F.explode(distinct_lines(F.col(f"`{text}`"))).alias("x"))
-    frequent = frequent_lines(documents, host, text, max_documents)
+    frequent = frequent_lines(documents, host, text, max_documents, id, share)
     removed = (lines.join(frequent, F.col("h").eqNullSafe(F.col("__host")) & (F.col("x.hash") == F.col("__line")))
                .groupBy("i", "k").agg(F.collect_set("x").alias("set"))
                .select("i", "k", F.aggregate("set", F.lit(0).cast("long"), lambda n, x: n + x["chars"]).alias("removed")))
@@ -115,17 +125,19 @@ def judge_documents(documents: DataFrame, id: str = "doc_id", host: str = "sourc
         (~F.col("base_failed") & (F.col("line_chars") - removed_chars >= least_kept * F.col("line_chars"))).alias("kept"))
 
 
-def without_frequent_lines(documents: DataFrame, host: str = "source", text: str = "text", max_documents: int = 40) -> DataFrame:
+def without_frequent_lines(documents: DataFrame, host: str = "source", text: str = "text", max_documents: int = 40,
+                           id: str = "doc_id", share: float = 0.0) -> DataFrame:
     """Every row and column, its frequent lines taken out of the text; a null text stays null.
 
     Lines are told apart by host and hash: an equi-join per line, then one row per document again in line order.
     """
-    names = documents.columns
-    frequent = frequent_lines(documents, host, text, max_documents)
+    rows, given = shielded(documents)
+    names = rows.columns
+    frequent = frequent_lines(rows, host, text, max_documents, id, share)
     key = [F.col(f"`{c}`") for c in names]
-    numbered = documents.select(*key, F.xxhash64(*key).alias("__row"), F.posexplode_outer(F.split(F.col(f"`{text}`"), "\n")).alias("__at", "__value"))
+    numbered = rows.select(*key, F.xxhash64(*key).alias("__row"), F.posexplode_outer(F.split(F.col(f"`{text}`"), "\n")).alias("__at", "__value"))
     kept = numbered.withColumn("__hash", F.xxhash64(normalised(F.col("__value")))).join(
         frequent.withColumnRenamed("__host", "__h"), F.col(f"`{host}`").eqNullSafe(F.col("__h")) & (F.col("__hash") == F.col("__line")), "left_anti")
     texts = kept.groupBy("__row").agg(F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("__at", "__value"))), lambda x: x["__value"]), "\n").alias("__new"))
-    return documents.withColumn("__key", F.xxhash64(*key)).join(texts, F.col("__key") == F.col("__row"), "left").select(*[
-        F.when(F.col(f"`{text}`").isNotNull(), F.coalesce("__new", F.lit(""))).alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    return given(rows.withColumn("__key", F.xxhash64(*key)).join(texts, F.col("__key") == F.col("__row"), "left").select(*[
+        F.when(F.col(f"`{text}`").isNotNull(), F.coalesce("__new", F.lit(""))).alias(c) if c == text else F.col(f"`{c}`") for c in names]))
