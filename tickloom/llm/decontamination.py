@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import text as T
+from tickloom.llm.session import shielded
 
 #: Words of the shortest tile.
 SEED_WORDS = 5
@@ -37,96 +38,167 @@ def plain_words(text: bytes | None) -> list[bytes]:
     return [w.encode() for w in _WORDS.findall(T.fold(text.decode("utf-8")))]
 
 
+#: Matches of a text and the items that are held against each other at once.
+PAIRS = 1 << 20
+#: Base of the running hashes and its inverse modulo 2^64, and what stands for the word before a text and before an item.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BEFORE_TEXT, _BEFORE_ITEM = np.uint64(1), np.uint64(2)
+
+
+class Running:
+    """Karp-Rabin hashes of all stretches of a sequence of words, from one running sum."""
+
+    def __init__(self, tokens: np.ndarray):
+        powers = np.full(len(tokens) + 1, _BASE, np.uint64)
+        back = np.full(len(tokens) + 1, _INVERSE, np.uint64)
+        powers[0] = back[0] = 1
+        self.back = np.cumprod(back, dtype=np.uint64)
+        self.sums = np.append(np.uint64(0), np.cumsum(tokens * np.cumprod(powers, dtype=np.uint64)[:-1], dtype=np.uint64))
+
+    def of(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def common_words(one: Running, at: np.ndarray, other: Running, there: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many words two sequences share from each pair of places on, at most `most`."""
+    length = np.zeros(len(at), np.int64)
+    step = 1 << int(most.max(initial=0)).bit_length()
+    while step:
+        k = np.flatnonzero(length + step <= most)
+        same = one.of(at[k] + length[k], step) == other.of(there[k] + length[k], step)
+        length[k[same]] += step
+        step >>= 1
+    return length
+
+
+def segment_search(values: np.ndarray, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+    """For each wanted value the place in its own sorted segment [low, high) where it would go."""
+    low, high = low.copy(), high.copy()
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        found = values[np.minimum(middle, len(values) - 1)]
+        up = open_ & ((found <= wanted) if right else (found < wanted))
+        low, high = np.where(up, middle + 1, low), np.where(open_ & ~up, middle, high)
+    return low
+
+
 @dataclass(frozen=True)
 class Items:
-    """A block of benchmark items: hashes of their words and the sorted seeds of all items."""
+    """A block of benchmark items: their words one after the other, and the seeds of all of them, sorted."""
 
     ids: list
-    words: list[np.ndarray]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words of a seed: hash, item, place, filter
+    begin: np.ndarray
+    running: Running
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words of a seed: hash, word before, place, filter
 
     @staticmethod
     def of(rows: list[tuple[object, bytes]], seed_words: int) -> Items:
         cache = T.WordHashes()
         words = [T.token_hashes(plain_words(text), cache) for _, text in rows]
+        begin = np.cumsum([0, *map(len, words)])
         parts: dict[int, list] = {}
-        for item, tokens in enumerate(words):
+        for start, tokens in zip(begin.tolist(), words):
             if len(tokens):
                 size = min(seed_words, len(tokens))
                 hashes = T.gram_hashes(tokens, size)
-                parts.setdefault(size, []).append((hashes, np.full(len(hashes), item), np.arange(len(hashes))))
+                before = np.append(_BEFORE_ITEM, tokens)[:len(hashes)]
+                parts.setdefault(size, []).append((hashes, before, start + np.arange(len(hashes))))
         seeds = {}
         for size, found in parts.items():
-            hashes, item, place = (np.concatenate([f[k] for f in found]) for k in range(3))
-            order = np.argsort(hashes, kind="stable")
+            hashes, before, place = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.lexsort((before, hashes))
             known = np.zeros(1 << _FILTER_BITS, bool)
             known[hashes >> np.uint64(64 - _FILTER_BITS)] = True
-            seeds[size] = (hashes[order], item[order], place[order], known)
-        return Items([r[0] for r in rows], words, seeds)
-
-
-def matches(text_places: np.ndarray, item_places: np.ndarray, size: int) -> list[tuple[int, int, int]]:
-    """Maximal runs (text place, item place, words) of the seeds that a text shares with one item."""
-    order = np.lexsort((text_places, text_places - item_places))
-    at, other = text_places[order], item_places[order]
-    new = np.append(True, (np.diff(at) != 1) | (np.diff(other) != 1))
-    first = np.flatnonzero(new)
-    runs = np.diff(np.append(first, len(at)))
-    return list(zip(at[first].tolist(), other[first].tolist(), (runs + size - 1).tolist()))
+            seeds[size] = (hashes[order], before[order], place[order], known)
+        return Items([r[0] for r in rows], begin, Running(np.concatenate([*words, np.empty(0, np.uint64)])), seeds)
 
 
 def tiles(runs: list[tuple[int, int, int]], item_words: int, shortest: int) -> list[tuple[int, int, int]]:
     """Greedy tiling: the longest match first, then the longest of what others leave free of it.
 
-    Equal lengths go by place in the text, then in the item.
+    Equal lengths go by place in the text, then in the item. It ends when no free stretch of the item is long enough.
     """
     heap = [(-n, t, i) for t, i, n in runs]
     heapq.heapify(heap)
-    item_used, text_used, chosen = np.zeros(item_words, bool), set(), []
-    while heap:
+    origin = min((t for t, _, _ in runs), default=0)
+    item_free = np.ones(item_words, bool)
+    text_free = np.ones(max((t + n for t, _, n in runs), default=0) - origin, bool)
+    chosen, open_ = [], True
+    while heap and open_:
         n, t, i = heapq.heappop(heap)
-        n = -n
-        free = ~item_used[i:i + n]
-        if text_used:
-            free &= np.fromiter((p not in text_used for p in range(t, t + n)), bool, n)
+        n, t = -n, t - origin
+        free = item_free[i:i + n] & text_free[t:t + n]
         if free.all():
-            chosen.append((t, i, n))
-            item_used[i:i + n] = True
-            text_used.update(range(t, t + n))
+            chosen.append((t + origin, i, n))
+            item_free[i:i + n] = text_free[t:t + n] = False
+            open_ = any(b - a >= shortest for a, b in stretches(item_free))
             continue
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
-        for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        for start, stop in stretches(free):
             if stop - start >= shortest:
-                heapq.heappush(heap, (start - stop, t + start, i + start))
+                heapq.heappush(heap, (start - stop, t + origin + start, i + start))
     return chosen
 
 
+def stretches(free: np.ndarray) -> list[tuple[int, int]]:
+    """First place and end of each run of true values."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def first_matches(items: Items, tokens: np.ndarray, begin: np.ndarray, size: int):
+    """(text, item, place, item place, words) of every longest match of `size` words or more, PAIRS at a time.
+
+    Of a stretch that text and item share only the first seed is looked at: one whose words before differ. The seeds of a
+    repetitive text that only go on with a stretch are never listed.
+    """
+    hashes, before, place, known = items.seeds[size]
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    grams = T.gram_hashes(tokens, size)
+    hit = np.flatnonzero(known[grams >> np.uint64(64 - _FILTER_BITS)])
+    hit = hit[owner[hit] == owner[hit + size - 1]]
+    low, high = (np.searchsorted(hashes, grams[hit], side) for side in ("left", "right"))
+    hit, low, high = (x[high > low] for x in (hit, low, high))
+    own = np.where(hit == begin[owner[hit]], _BEFORE_TEXT, tokens[hit - 1])
+    ends = segment_search(before, low, high, own, False), segment_search(before, low, high, own, True)
+    counts = (ends[0] - low) + (high - ends[1])
+    upto = np.cumsum(counts)
+    running = Running(tokens)
+    start = 0
+    while start < len(hit):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        part = slice(start, stop)
+        n = counts[part]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        smaller = np.repeat(ends[0][part] - low[part], n)
+        seed = np.where(k < smaller, np.repeat(low[part], n) + k, np.repeat(ends[1][part], n) + k - smaller)
+        at, there = np.repeat(hit[part], n), place[seed]
+        text, item = owner[at], np.searchsorted(items.begin, there, "right") - 1
+        most = np.minimum(begin[text + 1] - at, items.begin[item + 1] - there)
+        yield text, item, at - begin[text], there - items.begin[item], common_words(running, at, items.running, there, most)
+        start = stop
+
+
 def covered(items: Items, texts: list[bytes | None], cache: T.WordHashes) -> list[list[tuple[int, float, int]]]:
     """For each text: (item, share of the item's words under tiles, tiles) of every item it shares a seed with."""
     words = [T.token_hashes(plain_words(t), cache) for t in texts]
     tokens = np.concatenate([*words, np.empty(0, np.uint64)])
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
     begin = np.cumsum([0, *[len(w) for w in words]])
     found: list[list[tuple[int, float, int]]] = [[] for _ in texts]
-    for size, (hashes, item, place, known) in items.seeds.items():
-        grams = T.gram_hashes(tokens, size)
-        hit = np.flatnonzero(known[grams >> np.uint64(64 - _FILTER_BITS)])
-        hit = hit[owner[hit] == owner[hit + size - 1]]
-        low, high = (np.searchsorted(hashes, grams[hit], side) for side in ("left", "right"))
-        hit, low, high = (x[high > low] for x in (hit, low, high))
-        if not len(hit):
+    for size in items.seeds:
+        parts = list(first_matches(items, tokens, begin, size))
+        if not parts:
             continue
-        counts = high - low
-        seed = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        at = np.repeat(hit, counts)
-        pair = np.lexsort((item[seed], owner[at]))
-        at, seed = at[pair], seed[pair]
-        cut = np.flatnonzero(np.append(True, (np.diff(owner[at]) != 0) | (np.diff(item[seed]) != 0)))
-        for start, stop in zip(cut.tolist(), np.append(cut[1:], len(at)).tolist()):
-            document, which = int(owner[at[start]]), int(item[seed[start]])
-            total = len(items.words[which])
-            chosen = tiles(matches(at[start:stop] - begin[document], place[seed[start:stop]], size), total, size)
-            found[document].append((which, sum(n for _, _, n in chosen) / total, len(chosen)))
+        text, item, at, there, n = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        order = np.lexsort((item, text))
+        text, item, at, there, n = (x[order] for x in (text, item, at, there, n))
+        cut = np.flatnonzero(np.append(True, (np.diff(text) != 0) | (np.diff(item) != 0))) if len(text) else []
+        for start, stop in zip(cut, np.append(cut[1:], len(text))):
+            which = int(item[start])
+            total = int(items.begin[which + 1] - items.begin[which])
+            runs = list(zip(at[start:stop].tolist(), there[start:stop].tolist(), n[start:stop].tolist()))
+            chosen = tiles(runs, total, size)
+            found[int(text[start])].append((which, sum(m for _, _, m in chosen) / total, len(chosen)))
     return found
 
 
@@ -179,9 +251,10 @@ def tile_coverage(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id"
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """The rows, with all their columns, that hold no benchmark item."""
-    others = tuple(c for c in documents.columns if c != id)
-    return tile_coverage(documents, benchmark, id, keep=others, output="__found", **options).filter(F.size("__found") == 0).select(
-        *[F.col(f"`{c}`") for c in documents.columns])
+    rows, given = shielded(documents)
+    others = tuple(c for c in rows.columns if c != id)
+    clean = tile_coverage(rows, benchmark, id, keep=others, output="__found", **options).filter(F.size("__found") == 0)
+    return given(clean.drop("__found"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
