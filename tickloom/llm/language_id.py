@@ -69,18 +69,24 @@ class Model:
         return rows.astype(np.float32) @ self.weights / size[:, None] + self.intercept
 
 
-def fit(rows: np.ndarray, languages: list[str], landmarks: int = 128, ridge: float = 1e-3) -> Model:
-    """One-versus-rest kernel ridge regression on the landmarks' kernel; landmarks alternate between languages."""
+def fit(bits: np.ndarray, languages: list[str], landmarks: int = 128, ridge: float = 1e-3) -> Model:
+    """One-versus-rest kernel ridge regression on the landmarks' kernel; landmarks alternate between languages.
+
+    `bits` are packed presence vectors, unpacked a batch at a time.
+    """
     names = sorted(set(languages))
     label = np.array([names.index(x) for x in languages])
     turn = np.empty(len(label), np.int64)
     for k in range(len(names)):
         turn[label == k] = np.arange((label == k).sum())
     chosen = np.lexsort((label, turn))[:landmarks]
-    size = np.sqrt(np.maximum(rows.sum(1), 1)).astype(np.float32)[:, None]
-    basis = rows[chosen].astype(np.float32) / size[chosen]
-    k_nm = np.concatenate([rows[at:at + BATCH_ROWS].astype(np.float32) / size[at:at + BATCH_ROWS] @ basis.T
-                           for at in range(0, len(rows), BATCH_ROWS)]).astype(np.float64)
+
+    def normed(part: np.ndarray) -> np.ndarray:
+        rows = np.unpackbits(part, axis=1)
+        return rows.astype(np.float32) / np.sqrt(np.maximum(rows.sum(1), 1)).astype(np.float32)[:, None]
+
+    basis = normed(bits[chosen])
+    k_nm = np.concatenate([normed(bits[at:at + BATCH_ROWS]) @ basis.T for at in range(0, len(bits), BATCH_ROWS)]).astype(np.float64)
     k_mm = k_nm[chosen]
     target = np.eye(len(names))[label]
     # each language weighs the same, however many texts it has
@@ -97,13 +103,18 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_rows(documents: DataFrame, per_language: int, id: str, text: str, lang: str) -> tuple[np.ndarray, list[str]]:
+def training_rows(documents: DataFrame, per_language: int, id: str, text: str, lang: str,
+                  names: list[str] | None = None) -> tuple[np.ndarray, list[str]]:
     """Presence vectors, packed in the tasks, of at most `per_language` texts of each language, the first by hash.
 
     Ranks are taken on hashes alone, first inside parts of a language, so no task sees more than per_language rows of each
-    part of one. The broadcast keys are at most `per_language` for each of the bounded number of languages.
+    part of one. The broadcast keys are at most `per_language` for each of the bounded number of languages; with `names`,
+    only those languages are learned.
     """
     usable = documents.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & ~held_out(F.col(f"`{id}`")))
+    if names is not None:
+        chosen = documents.sparkSession.createDataFrame([(n,) for n in names], "__name string")
+        usable = usable.join(F.broadcast(chosen), F.col(f"`{lang}`") == F.col("__name"), "left_semi")
     keys = usable.select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(f"`{text}`").alias("key")).distinct()
     part = F.pmod("key", F.lit(_PARTS))
     for by in (["lang", part], ["lang"]):
@@ -126,24 +137,23 @@ def training_rows(documents: DataFrame, per_language: int, id: str, text: str, l
     texts = texts.join(F.broadcast(keys), ["lang", "key"], "left_semi")
     packed = texts.mapInArrow(pack, "lang string, key bigint, bits binary").dropDuplicates(["lang", "key"])
     found = sorted(packed.collect(), key=lambda r: (r["lang"], r["key"]))
-    rows = np.zeros((len(found), BUCKETS), bool)
-    for row, r in zip(rows, found):
-        row[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
-    return rows, [r["lang"] for r in found]
+    bits = np.frombuffer(b"".join(r["bits"] for r in found), np.uint8).reshape(len(found), BUCKETS // 8)
+    return bits, [r["lang"] for r in found]
 
 
 def train(documents: DataFrame, per_language: int = 200, id: str = "doc_id", text: str = "text", lang: str = "lang",
-          most_languages: int = 200) -> Model | None:
+          most_rows: int = 40_000, most_languages: int = 4_000) -> Model | None:
     """A model from the documents that are not held out; None without a labelled text.
 
-    Fitted on a bounded sample: `per_language` texts per language (the first by hash), at most
-    `most_languages` languages, of 4 KB each on the driver. More languages are an error, not a cut.
+    Fitted on a bounded sample of at most `most_rows` texts, 4 KB each on the driver: `per_language` texts of each language, the
+    first by hash, or fewer where there are many languages. Beyond `most_languages` the ones with the most rows are learned.
     """
-    count = len(documents.filter(F.col(f"`{lang}`").isNotNull()).select(f"`{lang}`").distinct().limit(most_languages + 1).collect())
-    if count > most_languages:
-        raise ValueError(f"more than {most_languages} languages; raise most_languages")
-    rows, languages = training_rows(documents, per_language, id, text, lang)
-    return fit(rows, languages) if len(rows) else None
+    known = documents.filter(F.col(f"`{lang}`").isNotNull()).groupBy(F.col(f"`{lang}`").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    names = [r["lang"] for r in known.orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()]
+    chosen = names[:most_languages] if len(names) > most_languages else None
+    share = max(1, most_rows // max(1, min(len(names), most_languages)))
+    bits, languages = training_rows(documents, min(per_language, share), id, text, lang, chosen)
+    return fit(bits, languages) if len(bits) else None
 
 
 def predict(documents: DataFrame, model: Model | None, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
