@@ -80,6 +80,9 @@ def test_sharding(spark, odd, rows, none):
     wide = sharding.assign_shards(spark.createDataFrame([(k,) for k in keys], "k bigint"), "k", 1000, "s").collect()
     assert [r["s"] for r in wide] == [jump(k, 1000) for k in keys]
     assert sharding.shard_digest(none).count() == 0
+    copies = spark.createDataFrame([(7, 0), (8, 0), (8, 1)], "k int, shard int").join(spark.range(25).select(), how="cross")
+    pieces = sharding.number_slots(copies.select("k", "shard"), copies=4)
+    assert sorted((r["shard"], r["slot"]) for r in pieces.collect()) == [(0, i) for i in range(50)] + [(1, i) for i in range(25)]
 
 
 def test_urls(spark):
@@ -119,6 +122,30 @@ def test_quality_rules(odd, rows, none):
     assert quality_rules.judge_documents(none).count() == 0
 
 
+def test_kept_counts_documents_not_rows(spark):
+    """Against plain counting: repeated rows of a document count once, a limit holds per host, and the rule changes verdicts."""
+    line = prose(99, 25)
+    data = [(1, "only here " + prose(1, 30), "a")] * 60
+    data += [(100 + k, line if k % 2 else f"{line}\n{prose(k, 90)}", "a") for k in range(50)]
+    data += [(200 + k, line, "b") for k in range(5)] + [(None, prose(7, 40), "a")] * 60 + [(None, prose(8, 40), None)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    holders = collections.defaultdict(set)
+    for d, t, h in data:
+        for x in t.split("\n"):
+            holders[h, re.sub(r"[\W_]+", "", x.lower())].add(d if d is not None else t)
+
+    def kept(d, t, h):
+        lines = {re.sub(r"[\W_]+", "", x.lower()) for x in t.split("\n")}
+        left = sum(len(x) for x in lines if len(holders[h, x]) <= 40)
+        return left >= 0.3 * sum(map(len, lines))
+
+    found = quality_rules.judge_documents(frame, max_documents=40).collect()
+    assert not any(r["base_failed"] for r in found)
+    assert collections.Counter((r["doc_id"], r["kept"]) for r in found) == collections.Counter((d, kept(d, t, h)) for d, t, h in data)
+    assert collections.Counter(r["kept"] for r in found)[False] == 25, "base rules alone would keep them"
+    assert quality_rules.frequent_lines(frame, "source", "text", 40, share=0.99).count() == 0
+
+
 def test_frequent_lines(spark):
     common, own = "This line stands everywhere", "a text of its own number "
     data = [(k, f"{common}\n" + "\n".join(own + prose(100 * k + i, 6) for i in range(3)), "h") for k in range(6)]
@@ -365,3 +392,117 @@ def test_language_id(spark, sf_dir, odd, none):
     assert {r["lang_pred"] for r in got.join(odd.select("doc_id", "text"), "doc_id").filter("text IS NULL OR trim(text) = ''").collect()} == {"und"}
     assert {r["lang_pred"] for r in language_id.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id.identify(none).count() == 0
+
+
+def test_more_languages_than_the_sample_takes(spark):
+    """Texts of 30 alphabets; bounds of the sample change what is learned, never whether there is a result."""
+    data = [(k, " ".join(chr(0x4E00 + 8 * (k % 30) + (i * 7 + k) % 8) * (i % 3 + 1) for i in range(40)), f"l{k % 30:02d}") for k in range(600)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    for bounds, learned in (({}, 30), ({"most_rows": 60}, 30), ({"most_languages": 5}, 5)):
+        model = language_id.train(docs, **bounds)
+        assert len(model.languages) == learned
+        found = language_id.predict(docs, model, keep=("lang",)).filter(F.col("lang").isin(model.languages)).collect()
+        assert sum(r["lang"] == r["lang_pred"] for r in found) >= 0.9 * len(found) > 0
+
+
+def test_score_of_the_kernel_by_hand(spark):
+    """The prediction against kernels taken one pair of texts at a time: the same sums, without landmarks folded into a matrix."""
+    import numpy as np
+
+    data = [(k, prose(k, 30, "abcd" if k % 2 else "aefg"), "x" if k % 2 else "y") for k in range(60)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    texts_, langs = [], []
+    for d, t, lang in data:
+        if zlib.crc32(str(d).encode()) % 3 != 1:
+            texts_.append(t)
+            langs.append(lang)
+
+    def buckets(t):
+        row = np.zeros(language_id.BUCKETS, bool)
+        language_id.presence(t.encode(), row)
+        return set(np.flatnonzero(row).tolist())
+
+    grams = {t: buckets(t) for _, t, _ in data}
+
+    def kernel(a, b):
+        return len(grams[a] & grams[b]) / (len(grams[a]) * len(grams[b])) ** 0.5
+
+    k = np.array([[kernel(a, b) for b in texts_] for a in texts_])  # every sample text is a landmark
+    y = np.array([[lang == n for n in ("x", "y")] for lang in langs], float)
+    weight = np.array([1 / langs.count(lang) / 2 for lang in langs])
+    centred = (k - weight @ k) * weight[:, None]
+    alpha = np.linalg.solve(centred.T @ (k - weight @ k) + 1e-3 * k + 1e-9 * np.eye(len(k)), centred.T @ (y - weight @ y))
+    intercept = weight @ y - weight @ k @ alpha
+    for r in language_id.identify(docs).collect():
+        values = np.array([kernel(data[r["doc_id"]][1], t) for t in texts_]) @ alpha + intercept
+        assert r["lang_pred"] == "xy"[int(values.argmax())] and r["score"] == pytest.approx(min(1, max(0, values.max())), abs=1e-3)
+
+
+def plain_tiling(text, item, shortest):
+    """Every pair of places is tried, and the longest match that is free is taken again and again."""
+    shortest = min(shortest, len(item))
+    pool = []
+    for t in range(len(text)):
+        for i in range(len(item)):
+            if not (t and i and text[t - 1] == item[i - 1]):
+                n = 0
+                while t + n < len(text) and i + n < len(item) and text[t + n] == item[i + n]:
+                    n += 1
+                if n >= shortest:
+                    pool.append((-n, t, i))
+    if not pool:
+        return None
+    used, taken, count = (set(), set()), 0, 0
+    while pool:
+        pool.sort()
+        n, t, i = pool.pop(0)
+        free = [t + x not in used[0] and i + x not in used[1] for x in range(-n)]
+        if all(free):
+            used[0].update(range(t, t - n))
+            used[1].update(range(i, i - n))
+            taken, count = taken - n, count + 1
+            continue
+        for run, group in itertools.groupby(range(-n), key=lambda x: free[x]):
+            places = list(group)
+            if run and len(places) >= shortest:
+                pool.append((-len(places), t + places[0], i + places[0]))
+    return taken / len(item), count
+
+
+@pytest.mark.parametrize("pairs", [3, 1 << 20])
+def test_tiling_of_random_words(monkeypatch, pairs):
+    monkeypatch.setattr(decontamination, "PAIRS", pairs)
+    r = random.Random(pairs)
+    for _ in range(80):
+        kinds = r.choice([1, 2, 3, 6])
+        some = lambda n: [chr(97 + r.randrange(kinds)) for _ in range(n)]
+        items = [some(r.choice([1, 3, 5, 9, 20, 30])) for _ in range(r.randint(1, 4))]
+        given = [some(r.choice([0, 1, 4, 10, 40, 70])) for _ in range(r.randint(1, 5))]
+        given = [t + (x := r.choice(items))[len(x) // 2:] + ["z"] + x[:len(x) // 2] if r.random() < 0.5 else t for t in given]
+        block = decontamination.Items.of([(k, " ".join(x).encode()) for k, x in enumerate(items)], 5)
+        found = decontamination.covered(block, [" ".join(t).encode() for t in given], decontamination.T.WordHashes())
+        for t, got in zip(given, found):
+            assert sorted(got) == [(k, *x) for k, item in enumerate(items) if (x := plain_tiling(t, item, 5))]
+
+
+def test_tiling_of_repetitive_texts_is_bounded():
+    import tracemalloc
+
+    block = decontamination.Items.of([(0, b"word " * 2000)], 5)
+    tracemalloc.start()
+    assert decontamination.covered(block, [b"word " * 20_000], decontamination.T.WordHashes()) == [[(0, 1.0, 1)]]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+CLASHES = ["__id", "__text", "__key", "__row", "__found", "__items", "__added", "__k", "__language", "__score", "__at", "__value", "__h", "__line",
+           "__new", "__host", "given0", "label", "token"]
+
+
+def test_columns_named_like_our_own(spark, odd):
+    wide = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    bench = spark.createDataFrame([(1, prose(2, 60))], "item_id bigint, text string")
+    for made in (jaccard_join.one_of_each_group(wide), decontamination.without_contaminated(wide, bench),
+                 personal_data.sanitise(wide, length="n_chars"), quality_rules.without_frequent_lines(wide, max_documents=2)):
+        assert made.columns == wide.columns and made.count() > 0
+        assert [made.first()[c] for c in CLASHES] == list(range(len(CLASHES)))
