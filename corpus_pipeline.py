@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import bpe, decontamination, jaccard_join, language_id, personal_data
-from tickloom.llm.session import find_package, table
+from tickloom.llm.session import find_package, shielded, table
 from tickloom.session import stage
 
 #: A text whose best language scores less is of no language the model knows.
@@ -21,9 +21,11 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without a letter, or whose best score is too low, go."""
     find_package(spark)
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    judged = language_id.predict(docs, language_id.train(docs), keep=others, outputs=("__language", "__score"))
-    return judged.filter((F.col("__language") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, given = shielded(docs)
+    others = tuple(c for c in rows.columns if c != "doc_id")
+    judged = language_id.predict(rows, language_id.train(rows), keep=others, outputs=("__language", "__score"))
+    known = judged.filter((F.col("__language") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE))
+    return given(known.select(*[F.col(f"`{c}`") for c in rows.columns]))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
