@@ -197,7 +197,7 @@ def test_token_counts(odd, rows, none):
         for end in range(1, len(word) + 1):
             options = [(table[i][0] + model.scores[word[i:end]], table[i][1] - 1) for i in range(max(0, end - model.longest), end) if word[i:end] in model.scores]
             if word[end - 1] not in model.scores:
-                options.append((table[end - 1][0] + model.unknown, table[end - 1][1] - 1))
+                options.append((table[end - 1][0] + model.unknown, table[end - 1][1] - len(word[end - 1].encode())))  # byte pieces
             table[end] = max(options)
         return -table[len(word)][1]
 

@@ -55,3 +55,25 @@ def test_empty_table(spark, sf_dir):
     for _, function in corpus_pipeline.STAGES[:-1]:
         docs = function(spark, docs, sf_dir)
         assert docs.count() == 0 and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and blank texts, ties, repeated rows, long texts and columns named like internal ones."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, " \n", None, "s", 2), (None, "no id here at all", "en", None, 3),
+           (10**6 + 3, "tie", "en", "s", 3), (10**6 + 4, "tie", "de", "s", 3), (10**6 + 5, "word " * 30_000, "en", "s", 150_000)]
+    rows = real.unionByName(spark.createDataFrame(odd, real.schema)).unionByName(real.limit(5))
+    docs = rows.selectExpr("*", "1 AS __id", "'x' AS __language", "2 AS __score", "'y' AS __text", "3 AS __found", "4 AS __key", "5 AS given0")
+    names, counts = docs.columns, [docs.count()]
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        from tickloom.session import stage
+
+        docs = stage(function(spark, docs, sf_dir), name)
+        assert docs.columns == names, name
+        assert docs.select("__id", "__language", "__score", "__text", "__found", "__key", "given0").distinct().collect() == [(1, "x", 2, "y", 3, 4, 5)]
+        counts.append(docs.count())
+    assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4] > 0
+    left = docs.filter("doc_id IS NOT NULL")
+    assert left.count() == left.select("doc_id").distinct().count(), "one row of each repeated document"
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert tokens.count() == counts[4] and set(tokens.columns) >= {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}

@@ -31,7 +31,8 @@ class Pieces:
     """Pieces and scores of a vocabulary file.
 
     A unigram file's scores are used as they are. Files of other kinds list pieces by rank; their scores are the
-    logarithms of a Zipf law over the ranks.
+    logarithms of a Zipf law over the ranks. Where the file has byte pieces, a character that is no piece counts as the bytes
+    of its UTF-8 form, else as one token.
     """
 
     def __init__(self, path: str):
@@ -40,6 +41,7 @@ class Pieces:
                  if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         unigram = any(model.get_score(i) != round(model.get_score(i)) for i, _ in names)
         self.scores = {p: model.get_score(i) if unigram else -math.log(rank + 2.0) for rank, (i, p) in enumerate(names)}
+        self.by_bytes = any(model.is_byte(i) for i in range(model.get_piece_size()))
         self.longest = max(map(len, self.scores))
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         self.powers = np.array([pow(int(_BASE), n, 1 << 64) for n in range(self.longest + 1)], np.uint64)
@@ -55,6 +57,12 @@ class Pieces:
                 self.tables[n] = (h[order], np.array([self.scores[p] for p in some])[order])
 
 
+    def unknown_tokens(self, points: np.ndarray) -> np.ndarray:
+        """Tokens of each code point that is no piece."""
+        extra = (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+        return 1 + extra * self.by_bytes
+
+
 @cache
 def pieces(path: str) -> Pieces:
     """The worker's copy of a vocabulary file."""
@@ -64,8 +72,9 @@ def pieces(path: str) -> Pieces:
 def count_alone(model: Pieces, word: str) -> int:
     """The same recurrence over one word, without a trie."""
     best, number = [0.0], [0]
+    alone = model.unknown_tokens(np.frombuffer(word.encode("utf-32-le"), np.uint32)).tolist()
     for end in range(1, len(word) + 1):
-        score, count = best[end - 1] + model.unknown, number[end - 1] + 1
+        score, count = best[end - 1] + model.unknown, number[end - 1] + alone[end - 1]
         known = False
         for n in range(1, min(model.longest, end) + 1):
             piece = model.scores.get(word[end - n:end])
@@ -108,7 +117,7 @@ def count_words(model: Pieces, words: list[str]) -> np.ndarray:
         up = edges >> 21
         parent[new] = up
         prefix[new] = prefix[up] * _BASE + (edges & 0x1FFFFF).astype(np.uint64) + np.uint64(1)
-        score, count = best[up] + model.unknown, number[up] + 1
+        score, count = best[up] + model.unknown, number[up] + model.unknown_tokens(edges & 0x1FFFFF)
         known = np.zeros(len(edges), bool)
         ancestor = np.arange(used, used + len(edges))
         for n in range(1, min(model.longest, depth + 1) + 1):
