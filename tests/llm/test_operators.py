@@ -506,3 +506,14 @@ def test_columns_named_like_our_own(spark, odd):
                  personal_data.sanitise(wide, length="n_chars"), quality_rules.without_frequent_lines(wide, max_documents=2)):
         assert made.columns == wide.columns and made.count() > 0
         assert [made.first()[c] for c in CLASHES] == list(range(len(CLASHES)))
+
+
+def test_quality_rules_in_sql(spark, sf_dir):
+    import duckdb
+
+    from tickloom.llm.queries import QUERIES, SQL
+
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    expected = duckdb.sql(SQL["op8_quality_rules"])
+    found = QUERIES["op8_quality_rules"](spark, sf_dir).select(*expected.columns).collect()
+    assert sorted(map(tuple, found)) == sorted(expected.fetchall())

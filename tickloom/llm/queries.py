@@ -140,6 +140,44 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transfo
        folded_root, folded_root = root AS verified
 FROM results"""
 
-SQL: dict[str, str] = {"op11_manifest": MANIFEST_SQL}
+QUALITY_SQL = r"""
+WITH rows_ AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
+         list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(
+           regexp_replace(lower(x), '[0-9]', '0', 'g'), '[^\p{L}\p{N}]+', '', 'g')), lambda x: x <> '')) AS lines
+  FROM documents
+),
+windows AS (
+  SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS w
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM rows_ WHERE len(words) > 7)
+),
+repeated AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, w) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM repeated, (SELECT unnest(range(8)) AS k) GROUP BY rid),
+held AS (SELECT rid, doc_id, source, unnest(lines) AS line FROM rows_),
+frequent AS (
+  SELECT h.source, h.line FROM held h JOIN (SELECT source, count(DISTINCT doc_id) AS n FROM rows_ GROUP BY 1) s
+    ON s.source IS NOT DISTINCT FROM h.source
+  GROUP BY h.source, h.line, s.n HAVING count(DISTINCT h.doc_id) > 40 AND count(DISTINCT h.doc_id) > CAST(0.002 AS DOUBLE) * s.n
+),
+removed AS (
+  SELECT h.rid, CAST(sum(length(h.line)) AS BIGINT) AS n FROM held h JOIN frequent f
+    ON f.source IS NOT DISTINCT FROM h.source AND f.line = h.line GROUP BY h.rid
+),
+counted AS (
+  SELECT r.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+         CAST(length(array_to_string(lines, '')) AS BIGINT) AS line_chars, coalesce(d.n, 0) AS removed_chars
+  FROM rows_ r LEFT JOIN covered c USING (rid) LEFT JOIN removed d USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, line_chars, removed_chars,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+         AND line_chars - removed_chars >= CAST(0.3 AS DOUBLE) * line_chars AS kept
+FROM counted"""
+
+SQL: dict[str, str] = {"op8_quality_rules": QUALITY_SQL, "op11_manifest": MANIFEST_SQL}
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
