@@ -104,6 +104,17 @@ def test_urls(spark):
     assert urls.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    """One URL makes up most of the labelled rows; the other kind is still learned, and judged on other hosts. Long URLs pass."""
+    data = [(k, "http://hot.net/") for k in range(300)]
+    data += [(1000 + k, f"https://a{k}.example.net/en/{'p' * (k % 9)}") for k in range(30)]
+    data += [(2000 + k, f"http://b{k}.net/x") for k in range(30)] + [(3000, "https://c.example.com/en/ppp"), (3001, "http://c.d/" + "x/" * 20_000)]
+    frame = spark.createDataFrame(data, "page_id bigint, url string").repartition(3)
+    found = {r["page_id"]: r for r in urls.judge_urls(frame, sample_rows=50).collect()}
+    assert len(found) == len(data) and 0 < found[3000]["block_probability"] < 1
+    assert all(found[k]["verdict"] == "block" for k in range(300)) and all(found[1000 + k]["verdict"] == "allow" for k in range(30))
+
+
 def test_quality_rules(odd, rows, none):
     got = collections.Counter(tuple(r)[:7] for r in quality_rules.judge_documents(odd).collect())
 

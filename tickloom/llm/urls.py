@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.session import stage
+
 FEATURES = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters",
             "host_labels", "hyphens", "secure", "suffix_weight", "suffix_block_rate"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,7 +102,7 @@ def judge_urls(df: DataFrame, url: str = "url", id: str = "page_id", rules=RULES
                trees: int = 12, depth: int = 3) -> DataFrame:
     """id, host, path, rule, verdict and the trees' block probability for every row.
 
-    Labels come from the rules (`training_label`). Trees are fitted on at most `sample_rows` labelled rows, taken by
+    Labels come from the rules (`training_label`). Trees are fitted on at most `sample_rows` distinct labelled URLs, taken by
     hash; suffix statistics cover all rows. With labels of one kind only, that verdict holds for the rest;
     with none it is `allow`. Null or malformed URLs have empty host and path and are judged by the trees.
     Repeated rows are judged alike; columns besides id and url are not looked at.
@@ -113,9 +115,10 @@ def judge_urls(df: DataFrame, url: str = "url", id: str = "page_id", rules=RULES
     known, blocked = F.col("labelled").isNotNull(), F.col("labelled") == "block"
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(
         with_suffix_statistics(parts, known, blocked))
-    sample = (rows.filter(known).select("features", blocked.cast("double").alias("label"), "url")
-              .orderBy(F.xxhash64("url"), "url").limit(sample_rows).select("features", "label"))
-    kinds = [r[0] for r in parts.filter(known).select("labelled").distinct().limit(3).collect()]
+    # One row per URL, so that a hot one cannot fill the sample; written once, as the guard and every tree read it
+    distinct = rows.filter(known).select("url", "features", blocked.cast("double").alias("label")).dropDuplicates(["url"])
+    sample = stage(distinct.orderBy(F.xxhash64("url"), "url").limit(sample_rows).select("features", "label"), "sample")
+    kinds = ["block" if r["label"] else "allow" for r in sample.select("label").distinct().collect()]
     if set(kinds) == {"allow", "block"}:
         model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=7,
                               subsamplingRate=1.0).fit(sample)
