@@ -98,12 +98,12 @@ def test_many_groups(spark):
 
 
 def test_bitmaps():
-    r = np.random.default_rng(1)
-    for n in (0, 1, 4095, 4096, 30_000, 65_536):
-        low = np.sort(r.choice(1 << 16, n, replace=False))
+    r, room = np.random.default_rng(1), 1 << manifest.RANGE_BITS
+    for n in (0, 1, manifest.SPARSE - 1, manifest.SPARSE, room // 2, room):
+        low = np.sort(r.choice(room, n, replace=False))
         data = manifest.compressed(low)
-        assert np.array_equal(manifest.opened(data), low) and len(data) == min(2 * n, 8192)
-        asked = r.integers(0, 1 << 16, 500)
+        assert np.array_equal(manifest.opened(data), low) and len(data) == min(2 * n, room // 8)
+        asked = r.integers(0, room, 500)
         assert np.array_equal(manifest.ranks(data, asked), np.searchsorted(low, asked))
 
 

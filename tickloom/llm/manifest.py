@@ -1,6 +1,6 @@
 """Merkle manifest of a table: bitmap ranks place the leaves, keyed slot arrays reduce the levels.
 
-A group's ids are kept as compressed bitmaps, one for each range of 2^16 ids: tasks make partial ones, which are merged, and a
+A group's ids are kept as compressed bitmaps, one for each range of 2^12 ids: tasks make partial ones, which are merged, and a
 directory of counts says how many ids lie before each. The rank of an id, its leaf's slot, is that number and the ones below
 it in its own bitmap; ids are never sorted. Slots are dealt into arrays of 2^LEVELS, and a whole array becomes one node of
 the next array. So 10^12 leaves take four rounds, and no task holds more than one array at a time. Proofs go the same way
@@ -22,10 +22,11 @@ from tickloom.session import stage
 
 #: Levels of the tree that one slot array reduces.
 LEVELS = 11
-#: Ids of one bitmap: those that agree in all but their last 16 bits.
-RANGE_BITS = 16
-#: A bitmap of fewer ids is kept as their sorted low bits, two bytes each; a full one takes 8 KB.
-SPARSE = 4096
+#: Ids of one bitmap: those that agree in all but their last 12 bits. Ranges are what work is dealt out by, so they are small.
+RANGE_BITS = 12
+LOW_BITS = (1 << RANGE_BITS) - 1
+#: A bitmap of fewer ids is kept as their sorted low bits, two bytes each; a full one takes 512 bytes.
+SPARSE = 1 << RANGE_BITS - 4
 #: Pieces of the range of all ids in which the directory is summed up.
 DIRECTORY_CHUNKS = 4096
 #: Ids that a task gathers before it writes its partial bitmaps.
@@ -97,7 +98,7 @@ def fold(node: str, path: str) -> str:
 # -- compressed bitmaps ------------------------------------------------------------------------
 
 def compressed(low: np.ndarray) -> bytes:
-    """Sorted distinct 16-bit numbers, as they are or as a bitmap, whichever is shorter."""
+    """Sorted distinct low bits, as they are or as a bitmap, whichever is shorter."""
     if len(low) < SPARSE:
         return low.astype("<u2").tobytes()
     bits = np.zeros(1 << RANGE_BITS, np.uint8)
@@ -138,7 +139,7 @@ def _partial_bitmaps(batches):
             high = ids >> RANGE_BITS
             starts = np.flatnonzero(np.r_[True, high[1:] != high[:-1]])
             for a, b in zip(starts, np.append(starts[1:], len(ids))):
-                out.append((group, int(high[a]), compressed((ids[a:b] & 0xFFFF).astype(np.uint16))))
+                out.append((group, int(high[a]), compressed((ids[a:b] & LOW_BITS).astype(np.uint16))))
         held.clear()
         for at in range(0, len(out), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
@@ -230,7 +231,7 @@ def id_ranks(keys: DataFrame) -> DataFrame:
                     a += 1
                 if a < b:
                     assert key == (groups[a], high[a]), "every id was counted"
-                    out[a:b] = before + ranks(data, ids[a:b] & 0xFFFF)
+                    out[a:b] = before + ranks(data, ids[a:b] & LOW_BITS)
             rows = np.ones(len(ids), bool)
             rows[heads] = False
             kept = pa.array(np.flatnonzero(rows))
