@@ -250,8 +250,8 @@ def numbered_copies(df: DataFrame, first: str, copies: str, out: str) -> DataFra
         F.col(first) + F.col("__at"), F.col(first) + F.least(F.col("__at") + COPIES, F.col(copies)) - 1))).drop("__at", first, copies)
 
 
-def leaf_slots(rows: DataFrame) -> DataFrame:
-    """`rows` (grp, id, leaf, ...) with `slot`, from 0 in each group by id, without gaps.
+def leaf_slots(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` (grp, id, leaf, ...) with `slot`, from 0 in each group by id, without gaps; and (grp, total) of the groups.
 
     Null ids come first; rows of one id follow each other by leaf. Equal rows are counted before they move. What repeated
     ids add to the ranks behind them, and the order of the leaves of one id, are running sums over pieces of a range, so an id that
@@ -259,10 +259,11 @@ def leaf_slots(rows: DataFrame) -> DataFrame:
     """
     counted = stage(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__copies")), "leaves")
     per_id = stage(counted.groupBy("grp", "id").agg(F.count(F.lit(1)).alias("__leaves"), F.sum("__copies").alias("__rows")), "ids")
+    totals = stage(per_id.groupBy("grp").agg(F.sum("__rows").alias("total")), "totals")
     seen = per_id.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("__rows").alias("rows"), F.count_if(F.col("id").isNull()).alias("none")).first()
     ranked = join_alike(per_id, id_ranks(per_id.filter("id IS NOT NULL").select("grp", "id")), ["grp", "id"], "left")
     if (seen["rows"] or 0) <= 1 and not seen["none"]:
-        return join_alike(counted.drop("__copies"), ranked.select("grp", "id", F.col("id_rank").alias("slot")), ["grp", "id"])
+        return join_alike(counted.drop("__copies"), ranked.select("grp", "id", F.col("id_rank").alias("slot")), ["grp", "id"]), totals
     width = max(1, ((seen["hi"] or 0) - (seen["lo"] or 0)) // DIRECTORY_CHUNKS + 1)
     more = ranked.withColumn("__more", F.col("__rows") - F.when(F.col("id").isNull(), 0).otherwise(1))
     summed = running(more, ["grp"], "id", {"__upto": F.col("__more")}, F.expr(f"id div {width}"))
@@ -272,7 +273,7 @@ def leaf_slots(rows: DataFrame) -> DataFrame:
     several = running(joined.filter("__leaves > 1"), ["grp", "id"], "leaf", {"__upto": F.col("__copies")}, F.substring("leaf", 1, 3))
     numbered = joined.filter("__leaves = 1").withColumn("__first", F.col("__start")).unionByName(
         several.withColumn("__first", F.col("__start") + F.col("__upto") - F.col("__copies")).drop("__upto"))
-    return numbered_copies(numbered.drop("__start", "__leaves"), "__first", "__copies", "slot")
+    return numbered_copies(numbered.drop("__start", "__leaves"), "__first", "__copies", "slot"), totals
 
 
 # -- levels ------------------------------------------------------------------------------------
@@ -365,9 +366,9 @@ def manifest(df: DataFrame, id: str = "doc_id", group: str = "lang", columns: Se
     name = F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit(""))
     rows = df.select(name.alias("grp"), F.col(f"`{id}`").cast("long").alias("id"), original.alias("leaf"),
                      F.when(which, now).alias("now"))
-    slots = stage(leaf_slots(rows), "slots")
-    totals = slots.groupBy("grp").agg(F.count(F.lit(1)).alias("total"))
-    leaves = slots.select("grp", "slot", F.col("leaf").alias("node"), "id", "now").join(totals, "grp")
+    slots, totals = leaf_slots(rows)
+    # Written, so that rows which met by group alone are dealt out by group and array again
+    leaves = stage(slots.select("grp", "slot", F.col("leaf").alias("node"), "id", "now").join(totals, "grp"), "slots")
     rounds = reduce_levels(leaves, levels)
     if len(rounds) == 1:
         return rows.select(F.col("id").alias(id), "leaf", *[F.lit(None).cast(t).alias(n) for n, t in _OUTPUTS[2:]])
@@ -379,7 +380,7 @@ def manifest(df: DataFrame, id: str = "doc_id", group: str = "lang", columns: Se
     named = subroots.select("slot", F.col("name").alias("grp"), F.col("node").alias("subroot")).join(per_group.select("slot", "path"), "slot")
     named = stage(named.select("grp", F.lit(0).cast("long").alias("slot"), "path", "subroot"), "groups")
     arrays = paths_down(rounds, named.select("grp", "slot", "path"), levels)
-    above = arrays.join(named.select("grp", "subroot"), "grp")
+    above = stage(arrays.join(named.select("grp", "subroot"), "grp"), "above")
 
     def prove(table: pa.Table, above: pa.Table) -> pa.Table:
         ordered, nodes, paths = _paths(table, above, levels)
