@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.columns import day
 from tickloom.operators.sequence import carried, framed, islands, join_alike, lagged, running, with_position
-from tickloom.schemas import BAR_KEY, SYMBOL, TIME
-
-VALUE_AREA = 0.7
-IMBALANCE = 1.5
+from tickloom.schemas import (
+    ACCUMULATION, BAR_KEY, BUYING_EXHAUSTED, DISTRIBUTION, IMBALANCE, NO_SIGNAL, REVERSAL_DOWN, REVERSAL_UP, SELLING_EXHAUSTED,
+    SMART_BUYING, SMART_SELLING, STRONG_BREAKOUT, SYMBOL, TIME, VALUE_AREA,
+)
 
 
 # -- profile of a bar ------------------------------------------------------------------------
@@ -74,22 +74,22 @@ def delta_divergence(bars: DataFrame, position: str | None = None) -> DataFrame:
     past = lagged(bars, [SYMBOL], TIME, {"__h": "High", "__l": "Low", "__c": "CumulativeDelta"}, position=position)
     bearish = (F.col("High") > F.col("__h")) & (F.col("CumulativeDelta") < F.col("__c"))
     bullish = (F.col("Low") < F.col("__l")) & (F.col("CumulativeDelta") > F.col("__c"))
-    return past.select(*BAR_KEY, F.when(bearish, "potential_reversal_down")
-                       .when(bullish, "potential_reversal_up").otherwise("none").alias("signal"))
+    return past.select(*BAR_KEY, F.when(bearish, REVERSAL_DOWN)
+                       .when(bullish, REVERSAL_UP).otherwise(NO_SIGNAL).alias("signal"))
 
 
 def institutional_flow(bars: DataFrame, ratio: float = IMBALANCE) -> DataFrame:
     bid, ask = F.col("LargeBidTrade"), F.col("LargeAskTrade")
-    return bars.select(*BAR_KEY, F.when((ask > bid * ratio) & (F.col("Delta") > 0), "smart_money_accumulation")
-                       .when((bid > ask * ratio) & (F.col("Delta") < 0), "smart_money_distribution")
-                       .otherwise("none").alias("signal"))
+    return bars.select(*BAR_KEY, F.when((ask > bid * ratio) & (F.col("Delta") > 0), SMART_BUYING)
+                       .when((bid > ask * ratio) & (F.col("Delta") < 0), SMART_SELLING)
+                       .otherwise(NO_SIGNAL).alias("signal"))
 
 
 def accumulation(bars: DataFrame, max_range: float, min_delta: float) -> DataFrame:
     """Strong buying inside a narrow price range."""
     quiet = F.col("High") - F.col("Low") < max_range
-    return bars.select(*BAR_KEY, F.when(quiet & (F.col("Delta") > min_delta), "accumulation")
-                       .otherwise("none").alias("signal"))
+    return bars.select(*BAR_KEY, F.when(quiet & (F.col("Delta") > min_delta), ACCUMULATION)
+                       .otherwise(NO_SIGNAL).alias("signal"))
 
 
 def breakout(bars: DataFrame, n: int = 20, min_delta: float = 0, position: str | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def breakout(bars: DataFrame, n: int = 20, min_delta: float = 0, position: str |
     seen = framed(bars, [SYMBOL], TIME, n, columns, position)
     strong = ((F.col("Close") > F.col("__top")) & (F.col("CumulativeDelta") > F.col("__cum"))
               & (F.col("Delta") > min_delta))
-    return seen.select(*BAR_KEY, F.when(strong, "strong_breakout").otherwise("none").alias("signal"))
+    return seen.select(*BAR_KEY, F.when(strong, STRONG_BREAKOUT).otherwise(NO_SIGNAL).alias("signal"))
 
 
 def delta_alert(bars: DataFrame, n: int = 20, factor: float = 2.0) -> DataFrame:
@@ -139,7 +139,7 @@ def large_trade_alert(bars: DataFrame, ratio: float = IMBALANCE, min_bars: int =
     lean = F.when((bid == 0) & (ask == 0), None).when(ask > bid * ratio, 1).when(bid > ask * ratio, -1).otherwise(0)
     runs = islands(bars, [SYMBOL], TIME, lean)
     return runs.filter((F.col("place") == min_bars - 1) & (F.col("state") != 0)).select(
-        *BAR_KEY, F.when(F.col("state") > 0, "accumulation").otherwise("distribution").alias("signal"))
+        *BAR_KEY, F.when(F.col("state") > 0, ACCUMULATION).otherwise(DISTRIBUTION).alias("signal"))
 
 
 # -- delta transforms ------------------------------------------------------------------------
@@ -236,5 +236,5 @@ def delta_reversal(bars: DataFrame, tail: float = 0.05) -> DataFrame:
     """Extreme delta as a sign of exhaustion."""
     rank: Column = F.col("PercentRank")
     return percent_rank(bars, "Delta").select(
-        *BAR_KEY, F.when(rank >= 1 - tail, "buying_exhausted").when(rank <= tail, "selling_exhausted")
-        .otherwise("none").alias("value"))
+        *BAR_KEY, F.when(rank >= 1 - tail, BUYING_EXHAUSTED).when(rank <= tail, SELLING_EXHAUSTED)
+        .otherwise(NO_SIGNAL).alias("value"))

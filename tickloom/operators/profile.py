@@ -16,11 +16,8 @@ from tickloom.functions.columns import columns_with_role, named, nan_to_null, nu
 from tickloom.operators.dedup import duplicate_count
 from tickloom.operators.quantiles import exact_quantiles, long_form, number, quantile_columns
 from tickloom.operators.quality import null_counts
+from tickloom.schemas import BINS, HIGH_CORRELATION, IQR_REACH, SKEW_LABELS, TAIL_LABELS, Z_LIMIT
 
-BINS = 50
-IQR_REACH = 1.5
-Z_LIMIT = 3
-HIGH_CORRELATION = 0.7
 #: Columns of a block whose correlations with another block are one aggregate.
 SIDE = 4
 
@@ -163,13 +160,13 @@ def shape(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 def skew_label(skew: Column) -> Column:
     """Exactly 0.5 and NULL fall through to the last label, as in the original report."""
-    return (F.when(F.abs(skew) < 0.5, "Approximately Normal")
-            .when(skew > 0.5, "Right Skewed").otherwise("Left Skewed"))
+    return (F.when(F.abs(skew) < 0.5, SKEW_LABELS["middle"])
+            .when(skew > 0.5, SKEW_LABELS["right"]).otherwise(SKEW_LABELS["left"]))
 
 
 def tail_label(kurtosis: Column) -> Column:
-    return (F.when(kurtosis > 3, "Heavy Tailed").when(kurtosis < -1, "Light Tailed")
-            .otherwise("Normal Tails"))
+    return (F.when(kurtosis > 3, TAIL_LABELS["heavy"]).when(kurtosis < -1, TAIL_LABELS["light"])
+            .otherwise(TAIL_LABELS["middle"]))
 
 
 def feature_flags(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

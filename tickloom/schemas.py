@@ -34,6 +34,24 @@ STUDY_COLUMNS = [
 ]
 BAR_COLUMNS = REQUIRED_COLUMNS + STUDY_COLUMNS
 
+# Limits and labels of the statistical report.
+BINS = 50
+IQR_REACH = 1.5
+Z_LIMIT = 3
+HIGH_CORRELATION = 0.7
+SKEW_LABELS = {"middle": "Approximately Normal", "right": "Right Skewed", "left": "Left Skewed"}
+TAIL_LABELS = {"heavy": "Heavy Tailed", "light": "Light Tailed", "middle": "Normal Tails"}
+
+# Shares, ratios and names of order-flow signals.
+VALUE_AREA = 0.7
+IMBALANCE = 1.5
+NO_SIGNAL = "none"
+REVERSAL_DOWN, REVERSAL_UP = "potential_reversal_down", "potential_reversal_up"
+SMART_BUYING, SMART_SELLING = "smart_money_accumulation", "smart_money_distribution"
+ACCUMULATION, DISTRIBUTION = "accumulation", "distribution"
+STRONG_BREAKOUT = "strong_breakout"
+BUYING_EXHAUSTED, SELLING_EXHAUSTED = "buying_exhausted", "selling_exhausted"
+
 DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 LEVEL = T.StructType([
