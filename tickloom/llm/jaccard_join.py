@@ -1,9 +1,9 @@
 """N-gram Jaccard join by prefix filtering under several global token orders.
 
-Two sets that are similar enough share a token among the first few of each, whatever the order of all tokens.
-The first order puts tokens that many sets hold last and is evaluated for all documents by one shuffle of prefix
-tokens; the number of shared prefix tokens bounds the overlap. Pairs that pass are held against the prefixes under the
-other orders, and what is left is verified on whole sets.
+Two sets that are similar enough share tokens among the first few of each, whatever the order of all tokens, and the
+number of shared prefix tokens bounds the overlap. The first order puts tokens that many sets hold last and is evaluated
+for all documents by one shuffle of prefix tokens. Pairs that pass are held against the prefixes under the other
+orders, of which only the prefixes are sent. Whole sets are sent for pairs that pass under every order, and verified.
 
 No bucket of a token is paired with itself: its members are first compared with one hub, and only those that are
 not in the hub's component by then are compared with the rest, so that a group of near copies costs as many comparisons
@@ -15,24 +15,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.llm import text as T
 from tickloom.llm.components import connected_components
 from tickloom.llm.session import shielded
 from tickloom.session import stage
 
-#: One set in so many, by its key, has all its tokens counted to find the frequent ones. The counts decide the order in
-#: which tokens are looked at and nothing else: all sets are searched under it, and any order gives the same links.
-COUNTED = 16
-#: Counted sets that hold a token before it goes last in the first order.
-FREQUENT = 4
-#: Frequent tokens broadcast, 8 bytes each; beyond it the less frequent ones keep their place, which is slower, not less exact.
-MOST_FREQUENT = 2_000_000
+#: Bits of the cell of a token: how many sets hold a token is counted by cells, over all documents, in fixed space (a byte
+#: per cell and task). The counts decide the order in which tokens are looked at and nothing else; any order gives the same links.
+CELL_BITS = 20
+#: Parts in which a task's counts are added up.
+CELL_PARTS = 16
+#: Tokens go last in the first order whose cell counts so many times the mean of all cells, and so many more.
+FREQUENT_TIMES, FREQUENT_MORE = 2, 64
 #: Seeds of the orders besides the first.
 OTHER_ORDERS = (2, 3)
-#: Bits of the filter that tells which sets are to be sent to verification (2 MB).
+#: Bits of the filter that tells which rows are to be read again, and which sets are to be sent (2 MB).
 FILTER_BITS = 24
 #: Sets a task remembers so as not to send copies again.
 REMEMBERED = 200_000
@@ -52,23 +54,6 @@ def set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-class Frequent:
-    """The frequent tokens, with a bitmap in front of the search."""
-
-    def __init__(self, tokens: np.ndarray):
-        self.tokens = np.sort(tokens)
-        self.known = np.zeros(1 << 20, bool)
-        self.known[self.tokens >> np.uint64(44)] = True
-
-    def marks(self, tokens: np.ndarray) -> np.ndarray:
-        found = self.known[tokens >> np.uint64(44)]
-        if found.any():
-            some = np.flatnonzero(found)
-            at = np.minimum(np.searchsorted(self.tokens, tokens[some]), len(self.tokens) - 1)
-            found[some] = self.tokens[at] == tokens[some]
-        return found
-
-
 def _sets(batches, words: int):
     """(rows, the rows' sets) block by block."""
     cache = T.WordHashes()
@@ -86,25 +71,57 @@ def _first_time(key: int, seen: set[int]) -> bool:
 
 
 def describe(source: DataFrame, kind: str, words: int) -> DataFrame:
-    """(id, n, key, tokens) of every row; tokens of the counted sets only, and once per task."""
+    """(id, n, key) of every row, and rows (slice, part, cells) with a task's counts of its sets by cell of their tokens."""
 
     def run(batches):
         seen: set[int] = set()
+        counts = np.zeros(1 << CELL_BITS, np.int64)
+        task = TaskContext.get().partitionId()
         for rows, sets in _sets(batches, words):
             keys = [set_key(s) for s in sets]
-            counted = [s.view(np.int64) if k % COUNTED == 0 and _first_time(k, seen) else None for s, k in zip(sets, keys)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                                              pa.array(keys, pa.int64()), pa.array(counted, pa.list_(pa.int64()))], ["id", "n", "key", "tokens"])
+            new = [s for s, k in zip(sets, keys) if len(s) and _first_time(k, seen)]
+            if new:
+                counts += np.bincount(cells_of(np.concatenate(new)), minlength=len(counts))
+            empty = pa.nulls(len(keys), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()),
+                                              empty, empty, pa.nulls(len(keys), pa.binary())], columns)
+        if seen:
+            parts = np.minimum(counts, 255).astype(np.uint8).reshape(CELL_PARTS, -1)
+            none = pa.nulls(CELL_PARTS, pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                none.cast(id_type), none, none, pa.array([task >> 10] * CELL_PARTS, pa.int64()), pa.array(range(CELL_PARTS), pa.int64()),
+                pa.array([p.tobytes() for p in parts], pa.binary())], columns)
+
+    columns = ["id", "n", "key", "slice", "part", "cells"]
+    id_type = to_arrow_type(source.schema["__id"].dataType)
+    return source.mapInArrow(run, f"id {kind}, n bigint, key bigint, slice bigint, part bigint, cells binary")
+
+
+def cells_of(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
 
-    return source.mapInArrow(run, f"id {kind}, n bigint, key bigint, tokens array<bigint>")
+def _added(kind: type, out: type):
+    """A function that adds up the cells of a group."""
 
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << CELL_BITS) // CELL_PARTS, np.uint64)
+        for cells in table.column("cells"):
+            total += np.frombuffer(cells.as_py(), kind)
+        total = np.minimum(total, np.iinfo(out).max).astype(out)
+        return pa.table({"part": table.column("part").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
 
-def frequent_tokens(described: DataFrame) -> np.ndarray:
-    """The tokens that at least FREQUENT counted sets hold, at most MOST_FREQUENT of them, the most frequent first."""
-    counts = described.select(F.explode("tokens").alias("token")).groupBy("token").count().filter(F.col("count") >= FREQUENT)
-    if counts.count() > MOST_FREQUENT:
-        counts = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT)
-    return np.array([r[0] for r in counts.select("token").collect()], np.int64).view(np.uint64)
+    return run
+
+
+def frequent_cells(described: DataFrame) -> np.ndarray:
+    """Which cells hold frequent tokens. Counts are added up in two levels of bounded groups; 4 MB reach the driver."""
+    rows = described.filter(F.col("part").isNotNull()).select("slice", "part", "cells")
+    sums = rows.groupBy("slice", "part").applyInArrow(_added(np.uint8, np.uint64), "part bigint, cells binary")
+    counts = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.int64)
+    for row in sums.groupBy("part").applyInArrow(_added(np.uint64, np.uint32), "part bigint, cells binary").collect():
+        counts[row["part"]] = np.frombuffer(row["cells"], np.uint32)
+    return counts.reshape(-1) >= FREQUENT_TIMES * counts.mean() + FREQUENT_MORE
 
 
 def prefix_tokens(source: DataFrame, words: int, percent: int, frequent) -> DataFrame:
@@ -124,7 +141,7 @@ def prefix_tokens(source: DataFrame, words: int, percent: int, frequent) -> Data
                 key = set_key(s)
                 if not _first_time(key, seen):
                     continue
-                marks = last.marks(s)
+                marks = last[cells_of(s)]
                 length = prefix_length(len(s), percent)
                 own = s[~marks]
                 first = own[:length] if len(own) >= length else np.concatenate([own, s[marks][:length - len(own)]])
@@ -185,50 +202,97 @@ def may_link(pairs: DataFrame, percent: int) -> DataFrame:
                         & (possible * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Shared prefixes under every other order, then the overlap of the whole sets."""
+def order_prefixes(tokens: np.ndarray, percent: int) -> bytes:
+    """The set's prefixes under the other orders, each sorted, one after the other."""
+    length, parts = prefix_length(len(tokens), percent), []
     for seed in OTHER_ORDERS:
-        parts = []
-        for s in (a, b):
-            order, length = T.mixed(s, seed), prefix_length(len(s), percent)
-            parts.append(np.partition(order, length - 1)[:length])
-        if not len(np.intersect1d(*parts, assume_unique=True)):
+        first = np.partition(T.mixed(tokens, seed), length - 1)[:length]
+        parts.append(np.sort(first).tobytes())
+    return b"".join(parts)
+
+
+def may_overlap(a: bytes, b: bytes, a_n: int, b_n: int, percent: int) -> bool:
+    """Whether the prefixes under every other order allow the similarity.
+
+    Up to where the first of two prefixes ends all tokens of both sets are known; behind it no more can be
+    shared than the shorter rest holds.
+    """
+    one, two = (np.frombuffer(x, np.uint64).reshape(len(OTHER_ORDERS), -1) for x in (a, b))
+    for x, y in zip(one, two):
+        end = min(x[-1], y[-1])
+        x, y = x[:np.searchsorted(x, end, "right")], y[:np.searchsorted(y, end, "right")]
+        shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+        possible = shared + min(a_n - len(x), b_n - len(y))
+        if not shared or possible * (100 + percent) < percent * (a_n + b_n):
             return False
+    return True
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs that are similar. Only sets that a pair names are sent, each at most once per task."""
-    spark = source.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(F.expr(f"pmod(key, {1 << FILTER_BITS})").alias("bit"))
-    words_of_filter = wanted.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits")).collect()
+def _filter_of(numbers: DataFrame) -> Broadcast:
+    """A filter of fixed size over the one column of whole numbers; more numbers than bits let more pass, never fewer."""
+    (name,) = numbers.columns
+    bits = numbers.select(F.pmod(F.col(name), F.lit(1 << FILTER_BITS)).alias("bit"))
+    found = bits.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 64 AS INT)))").alias("bits")).collect()
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for row in words_of_filter:
+    for row in found:
         bitmap[row["word"]] = row["bits"]
-    shared = spark.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
+    return numbers.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
-    def send(batches):
-        bits, seen = shared.value, set()
-        for _, sets in _sets(batches, words):
-            keys, values = [], []
-            for s in sets:
-                if len(s):
-                    key = set_key(s)
-                    if bits[key % (1 << FILTER_BITS)] and _first_time(key, seen):
-                        keys.append(key)
-                        values.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], ["key", "tokens"])
+
+def _passing(batches, column: str, bits: np.ndarray):
+    for batch in batches:
+        at = batch.column(column).to_numpy(zero_copy_only=False) % (1 << FILTER_BITS)
+        kept = batch.filter(pa.array(bits[at].astype(bool)))
+        if kept.num_rows:
+            yield kept
+
+
+def verified(pairs: DataFrame, source: DataFrame, holders: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, a_n, b_n) that are similar.
+
+    Of each set that a pair names one row is read again. Prefixes under the other orders meet first; whole sets are sent
+    for pairs that pass under all of them.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    reread = _filter_of(holders.join(named, "key").select("row"))
+
+    def read(batches):
+        seen: set[int] = set()
+        for _, sets in _sets(_passing(batches, "__row", reread.value), words):
+            new = [(k, s) for k, s in ((set_key(s), s) for s in sets if len(s)) if _first_time(k, seen)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k for k, _ in new], pa.int64()), pa.array([order_prefixes(s, percent) for _, s in new], pa.binary()),
+                pa.array([s.tobytes() for _, s in new], pa.binary())], ["key", "orders", "tokens"])
+
+    def intersect(batches):
+        for batch in batches:
+            a, b, a_n, b_n = (batch.column(k).to_pylist() for k in ("a_orders", "b_orders", "a_n", "b_n"))
+            keep = [may_overlap(*row, percent) for row in zip(a, b, a_n, b_n)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def check(batches):
         for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            a, b = (batch.column(k).to_pylist() for k in ("a_tokens", "b_tokens"))
+            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def with_both(left: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+        for side in ("a", "b"):
+            one = sets.select(F.col("key").alias(side), F.col(value).alias(f"{side}_{value}")).dropDuplicates([side])
+            left = left.join(one, side)
+        return left
 
-    sets = stage(source.mapInArrow(send, "key bigint, tokens binary"), "sets")
-    one, two = (sets.select(F.col("key").alias(k), F.col("tokens").alias(f"{k}_tokens")).dropDuplicates([k]) for k in ("a", "b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(check, "a bigint, b bigint")
+    numbered = source.withColumn("__row", F.xxhash64("__id"))
+    sets = stage(numbered.mapInArrow(read, "key bigint, orders binary, tokens binary"), "sets")
+    candidates = stage(with_both(pairs.select("a", "b", "a_n", "b_n"), sets, "orders").mapInArrow(intersect, "a bigint, b bigint"), "candidates")
+    wanted = _filter_of(candidates.select(F.explode(F.array("a", "b")).alias("key")))
+    sent = sets.select("key", "tokens").mapInArrow(lambda batches: _passing(batches, "key", wanted.value), "key bigint, tokens binary")
+    return with_both(candidates, sent, "tokens").mapInArrow(check, "a bigint, b bigint")
 
 
 def hub_pairs(index: DataFrame) -> DataFrame:
@@ -244,9 +308,14 @@ def remaining_pairs(index: DataFrame, labels: DataFrame, percent: int) -> DataFr
     rows = (index.join(named, "key", "left").join(of_hub, "hub", "left")
             .select("token", "key", "n", F.coalesce("found", "key").alias("c"), F.coalesce("hub_found", "hub").alias("main")))
     rows = stage(rows, "bucket-rows")
-    outside = rows.filter(F.col("c") != F.col("main")).select("token", F.col("key").alias("u"), F.col("n").alias("u_n"), F.col("c").alias("u_c"))
+    # A set's partners are at most one class of size away; the step is a little wider than the similarity asks for
+    rows = rows.withColumn("size", F.floor(F.ln("n") / F.ln(F.lit(100.1 / percent))))
+    outside = rows.filter(F.col("c") != F.col("main")).select(
+        "token", F.col("key").alias("u"), F.col("n").alias("u_n"), F.col("c").alias("u_c"),
+        F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
     near = (F.least("u_n", "n") * 100 >= F.greatest("u_n", "n") * percent)
-    met = outside.join(rows, "token").filter((F.col("u_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("u") < F.col("key"))) & near)
+    met = outside.join(rows, ["token", "size"]).filter(
+        (F.col("u_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("u") < F.col("key"))) & near)
     swap = F.col("u") > F.col("key")
     return (met.groupBy(F.least("u", "key").alias("a"), F.greatest("u", "key").alias("b"))
             .agg(F.first(F.when(swap, F.col("n")).otherwise(F.col("u_n"))).alias("a_n"),
@@ -264,14 +333,16 @@ def similar_documents(documents: DataFrame, id: str = "doc_id", text: str = "tex
     spark = documents.sparkSession
     kind = documents.schema[id].dataType.simpleString()
     source = documents.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    described = stage(describe(source, kind, words), "shingles")
-    frequent = spark.sparkContext.broadcast(Frequent(frequent_tokens(described)))
+    written = stage(describe(source, kind, words), "shingles")
+    described = written.filter(F.col("part").isNull()).select("id", "n", "key")
+    frequent = spark.sparkContext.broadcast(frequent_cells(written))
+    holders = described.groupBy("key").agg(F.min(F.xxhash64("id")).alias("row"))
     index = stage(buckets(prefix_tokens(source, words, percent, frequent)), "buckets")
-    first = stage(verified(stage(may_link(hub_pairs(index), percent), "pairs"), source, words, percent), "links")
+    first = stage(verified(stage(may_link(hub_pairs(index), percent), "pairs"), source, holders, words, percent), "links")
     labels = connected_components(first)
     rest = stage(may_link(remaining_pairs(index, labels, percent), percent), "pairs")
     if not rest.isEmpty():
-        labels = connected_components(first.union(verified(rest, source, words, percent)))
+        labels = connected_components(first.union(verified(rest, source, holders, words, percent)))
     rows = described.select("id", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "id", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label"))
     names = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("smallest"))
