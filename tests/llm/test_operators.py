@@ -528,3 +528,42 @@ def test_quality_rules_in_sql(spark, sf_dir):
     expected = duckdb.sql(SQL["op8_quality_rules"])
     found = QUERIES["op8_quality_rules"](spark, sf_dir).select(*expected.columns).collect()
     assert sorted(map(tuple, found)) == sorted(expected.fetchall())
+
+
+def test_prefixes_under_other_orders():
+    """No similar pair is lost, whatever its sizes; sets that share a third go."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    lost = passed = 0
+    for size in (1, 2, 3, 7, 20, 90, 400):
+        for percent in (50, 80, 85, 100):
+            for _ in range(40):
+                a = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+                drop, add = r.integers(0, max(1, size * (100 - percent) // 100 + 1), 2)
+                b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
+                if len(b) and jaccard_join.similar(a, b, percent):
+                    prefixes = [jaccard_join.order_prefixes(s, percent) for s in (a, b)]
+                    lost += not jaccard_join.may_overlap(*prefixes, len(a), len(b), percent)
+                    passed += 1
+    assert passed > 200 and not lost
+    pool = r.integers(0, 1 << 63, 270).astype(np.uint64)
+    pairs = [[np.sort(r.permutation(pool)[:90]) for _ in "ab"] for _ in range(200)]
+    kept = sum(jaccard_join.may_overlap(*(jaccard_join.order_prefixes(s, 85) for s in p), 90, 90, 85) for p in pairs)
+    assert kept <= 40  # of 200 pairs that share some 30 of their 90 tokens
+
+
+def test_frequent_cells(spark, none):
+    """Counts cover every set of every task, equal ones of a task once; an empty table marks nothing."""
+    import numpy as np
+
+    line, data = prose(70, 8), []
+    for k in range(150):
+        data.append((k, prose(7000 + k, 6) + " " + line))
+    frame = spark.createDataFrame(data + [(1000 + k, "only this text") for k in range(150)], "__id bigint, __text string").coalesce(1)
+    marks = jaccard_join.frequent_cells(jaccard_join.describe(frame, "bigint", 4))
+    own, common, copied = (marks[jaccard_join.cells_of(jaccard_join.shingle_set(t.encode(), 4, jaccard_join.T.WordHashes()))]
+                           for t in (data[0][1], line, "only this text"))
+    assert common.all() and not copied.any() and np.count_nonzero(own) == len(common)
+    empty = none.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    assert not jaccard_join.frequent_cells(jaccard_join.describe(empty, "bigint", 4)).any()
