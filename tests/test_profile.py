@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -119,6 +120,25 @@ def test_correlation_is_pairwise_complete(df, frame):
     assert all(math.isclose(r, want.loc[a, b], rel_tol=1e-9) for (a, b), r in found.items())
 
 
+def test_correlation_may_take_longer_than_a_broadcast(spark):
+    def wait(batches):
+        for batch in batches:
+            time.sleep(5)
+            yield batch
+
+    slow = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "x double, y double").coalesce(1).mapInArrow(wait, "x double, y double")
+    settings = {"spark.sql.broadcastTimeout": "3", "spark.sql.adaptive.enabled": "false"}  # adaptive plans take the shuffle out of the broadcast
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = [(r["col_a"], r["col_b"], round(r["r"], 9)) for r in P.high_correlation(slow).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == [("x", "y", 1.0)]
+
+
 def test_histogram_matches_numpy(df, frame):
     found = sorted((r["column"], r["bin"], r["n"]) for r in P.histogram(df, ["a", "c", "d"], 20).collect())
     want = []

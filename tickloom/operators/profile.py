@@ -248,7 +248,8 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """Pearson r of every pair of table columns over rows where both are present.
 
     Columns go in blocks, and each row gives one row per pair of blocks. So one scan does for any number of columns,
-    and the aggregate is the SIDE * SIDE correlations of two blocks, which Spark compiles.
+    and the aggregate is the SIDE * SIDE correlations of two blocks, which Spark compiles. Only the names are broadcast: a
+    broadcast of the correlations would have the whole scan inside it, and Spark gives up a broadcast after some minutes.
     """
     chosen = list(columns or numeric_columns(df))
     blocks = [chosen[i:i + SIDE] for i in range(0, len(chosen), SIDE)]
@@ -263,10 +264,13 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     rows = numbers.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("pair"), *[(value[p[i]] if i < len(p) else none).alias(f"{side}{i}") for side, p in zip("ab", pair) for i in range(SIDE)])
         for k, pair in enumerate(pairs)])))
-    found = rows.groupBy("pair").agg(*[F.corr(f"a{i}", f"b{j}").alias(f"r{i}_{j}") for i, j in cells])
+    # One row more per pair of blocks, which counts nothing, so that a table without rows has every pair too
+    every = df.sparkSession.createDataFrame([(k,) for k in range(len(pairs))], "pair int").select(
+        "pair", *[none.alias(f"{side}{i}") for side in "ab" for i in range(SIDE)])
+    found = rows.unionByName(every).groupBy("pair").agg(*[F.corr(f"a{i}", f"b{j}").alias(f"r{i}_{j}") for i, j in cells])
     found = found.select("pair", F.inline(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in cells])))
-    return names.join(F.broadcast(found), ["pair", "i", "j"], "left").select("col_a", "col_b", "r")  # one row per pair of columns
+    return found.join(F.broadcast(names), ["pair", "i", "j"]).select("col_a", "col_b", "r")
 
 
 def high_correlation(df: DataFrame, columns: Sequence[str] | None = None,
