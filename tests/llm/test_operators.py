@@ -335,6 +335,28 @@ def test_jaccard_join(spark, words, percent):
     assert jaccard_join.similar_documents(frame.limit(0)).count() == 0
 
 
+def test_sets_too_far_from_their_group_are_not_paired(spark, monkeypatch):
+    base, data = prose(4000, 60).split(), []
+    for k in range(150):
+        words = list(base)
+        for at in ((5, 20, 40) if k else ()):  # 12 of 57 shingles: no two of these texts are linked
+            words[at] = f"w{k}x{at}"
+        data.append((k, " ".join(words)))
+    data += [(1000 + k, prose(5000 + k, 60)) for k in range(40)]
+    counts = collections.Counter()
+
+    def counting(df, label="stage"):
+        made = stage(df, label)
+        counts[label] += made.count() if label == "met" else 1
+        return made
+
+    stage = jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", counting)
+    got = jaccard_join.similar_documents(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, d) for d, _ in data}
+    assert "met" in counts and counts["met"] < len(data)
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 200), (300, 200)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

@@ -125,9 +125,9 @@ def frequent_cells(described: DataFrame) -> np.ndarray:
 
 
 def prefix_tokens(source: DataFrame, words: int, percent: int, frequent) -> DataFrame:
-    """(token, rank, key) of the prefixes under the first order: frequent tokens last, then by hash.
+    """(token, rank, key, place) of the prefixes under the first order: frequent tokens last, then by hash.
 
-    rank packs the number of tokens that are not frequent and the set's size: sets of frequent tokens only are
+    place counts the set's tokens before the token; rank packs the number of tokens that are not frequent and the set's size: sets of frequent tokens only are
     the most common wording of their group and come first in a bucket.
     """
 
@@ -152,9 +152,10 @@ def prefix_tokens(source: DataFrame, words: int, percent: int, frequent) -> Data
                 lengths = [len(t) for t in tokens]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(ranks, np.int64), lengths)),
-                    pa.array(np.repeat(np.array(keys, np.int64), lengths))], ["token", "rank", "key"])
+                    pa.array(np.repeat(np.array(keys, np.int64), lengths)),
+                    pa.array(np.concatenate([np.arange(k) for k in lengths]))], ["token", "rank", "key", "place"])
 
-    return source.mapInArrow(run, "token bigint, rank bigint, key bigint")
+    return source.mapInArrow(run, "token bigint, rank bigint, key bigint, place bigint")
 
 
 def _shared(batches):
@@ -163,7 +164,7 @@ def _shared(batches):
     hub = last = None  # first row of the open bucket, last row seen
     open_sent = False
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])
         if last is not None:
             rows = rows[:, (rows != last[:, None]).any(0)]
             rows = np.concatenate([hub[:, None], rows], 1)
@@ -183,13 +184,13 @@ def _shared(batches):
         if send.any():
             part, hubs = rows[:, send], rows[:, first[send]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                part[0], part[2], part[1] & low, hubs[2], hubs[1] & low)], ["token", "key", "n", "hub", "hub_n"])
+                part[0], part[2], part[1] & low, part[3], hubs[2], hubs[1] & low)], ["token", "key", "n", "place", "hub", "hub_n"])
 
 
 def buckets(tokens: DataFrame) -> DataFrame:
-    """(token, key, n, hub, hub_n) of the tokens that at least two sets hold; streams over one shuffle, groups nothing."""
+    """(token, key, n, place, hub, hub_n) of the tokens that at least two sets hold; streams over one shuffle, groups nothing."""
     ordered = tokens.repartition("token").sortWithinPartitions("token", "rank", "key")
-    return ordered.mapInArrow(_shared, "token bigint, key bigint, n bigint, hub bigint, hub_n bigint")
+    return ordered.mapInArrow(_shared, "token bigint, key bigint, n bigint, place bigint, hub bigint, hub_n bigint")
 
 
 def may_link(pairs: DataFrame, percent: int) -> DataFrame:
@@ -302,24 +303,34 @@ def hub_pairs(index: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(index: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components: the sets outside the hub's component with all others."""
+    """Pairs of a bucket that lie in different components: the sets outside the hub's component with all others.
+
+    A pair is met at the first token that its sets share: all they share stands from there on in both, so a bucket gives
+    only pairs of which enough is left behind the token. What is rare in a near copy stands before the wording of its
+    group, so sets too far from the group do not meet it. The tokens that a pair shares are counted afterwards.
+    """
     named = labels.withColumnsRenamed({"node": "key", "label": "found"})
     of_hub = labels.withColumnsRenamed({"node": "hub", "label": "hub_found"})
     rows = (index.join(named, "key", "left").join(of_hub, "hub", "left")
-            .select("token", "key", "n", F.coalesce("found", "key").alias("c"), F.coalesce("hub_found", "hub").alias("main")))
+            .select("token", "key", "n", "place", F.coalesce("found", "key").alias("c"), F.coalesce("hub_found", "hub").alias("main")))
     rows = stage(rows, "bucket-rows")
     # A set's partners are at most one class of size away; the step is a little wider than the similarity asks for
-    rows = rows.withColumn("size", F.floor(F.ln("n") / F.ln(F.lit(100.1 / percent))))
-    outside = rows.filter(F.col("c") != F.col("main")).select(
-        "token", F.col("key").alias("u"), F.col("n").alias("u_n"), F.col("c").alias("u_c"),
+    sized = rows.withColumn("size", F.floor(F.ln("n") / F.ln(F.lit(100.1 / percent))))
+    outside = sized.filter(F.col("c") != F.col("main")).select(
+        "token", F.col("key").alias("u"), F.col("n").alias("u_n"), F.col("place").alias("u_place"), F.col("c").alias("u_c"),
         F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
     near = (F.least("u_n", "n") * 100 >= F.greatest("u_n", "n") * percent)
-    met = outside.join(rows, ["token", "size"]).filter(
-        (F.col("u_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("u") < F.col("key"))) & near)
+    left = F.least(F.col("u_n") - F.col("u_place"), F.col("n") - F.col("place"))
+    enough = left * (100 + percent) >= percent * (F.col("u_n") + F.col("n"))
+    met = outside.join(sized, ["token", "size"]).filter(
+        (F.col("u_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("u") < F.col("key"))) & near & enough)
     swap = F.col("u") > F.col("key")
-    return (met.groupBy(F.least("u", "key").alias("a"), F.greatest("u", "key").alias("b"))
-            .agg(F.first(F.when(swap, F.col("n")).otherwise(F.col("u_n"))).alias("a_n"),
-                 F.first(F.when(swap, F.col("u_n")).otherwise(F.col("n"))).alias("b_n"), F.count(F.lit(1)).alias("shared")))
+    pairs = stage(met.groupBy(F.least("u", "key").alias("a"), F.greatest("u", "key").alias("b")).agg(
+        F.first(F.when(swap, F.col("n")).otherwise(F.col("u_n"))).alias("a_n"),
+        F.first(F.when(swap, F.col("u_n")).otherwise(F.col("n"))).alias("b_n")), "met")
+    one, other = (rows.select("token", F.col("key").alias(side)) for side in "ab")
+    return pairs.join(one, "a").join(other, ["b", "token"]).groupBy("a", "b").agg(
+        F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count(F.lit(1)).alias("shared"))
 
 
 def similar_documents(documents: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
