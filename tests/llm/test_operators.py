@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import (
-    bpe, components, decontamination, jaccard_join, language_id, personal_data, quality_rules, sharding,
+    bpe, components, decontamination, jaccard_join, language_id, personal_data, quality_rules, queries, sharding,
     suffix_dedup, unigram_counts, urls,
 )
 from tickloom.llm.queries import PIECES, WORD_BPE
@@ -384,6 +384,18 @@ def test_suffix_dedup(spark, rows, odd, none, batches):
     assert suffix_dedup.repeats_digest(none).count() == 0
 
 
+def test_suffix_query_scans_and_merges_tables(spark, monkeypatch, tmp_path):
+    passage = prose(6000, 40)
+    data = [(k, f"{prose(6001 + k, 30)} {passage if k % 3 else ''} {prose(7000 + k, 30)}") for k in range(40)]
+    frame = spark.createDataFrame(data, "doc_id bigint, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    seen, add = [], suffix_dedup.SuffixIndex.add
+    monkeypatch.setattr(suffix_dedup.SuffixIndex, "add", lambda self, *a, **k: (seen.append(sorted(x for x, _ in self.levels)), add(self, *a, **k))[1])
+    got = queries.op7_suffix_dedup(spark, str(tmp_path)).collect()
+    assert seen == [[], [0], [1], [0, 1]]
+    assert collections.Counter(got) == collections.Counter(suffix_dedup.repeats_digest(frame).collect()) and sum(r["n_removed"] for r in got) > 0
+
+
 def test_greedy_tiling(spark, odd, none):
     item, other = prose(31, 40), prose(32, 40)
     shuffled = " ".join(" ".join(item.split()[k:k + 10]) for k in (30, 0, 20, 10))

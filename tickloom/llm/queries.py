@@ -16,6 +16,8 @@ from tickloom.llm.session import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: So many that a table is merged into a greater one, and that the last batch meets tables of two sizes.
+SUFFIX_BATCHES = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +35,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeats_digest(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeats_digest(table(spark, sf_dir, "documents"), batches=SUFFIX_BATCHES)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

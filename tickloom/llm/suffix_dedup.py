@@ -16,12 +16,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import text as T
 from tickloom.llm.session import release
-from tickloom.session import stage
+from tickloom.session import stage, write_stage
+from tickloom.sources.folders import remove
 
 WINDOW = 100
 GRAM = 40
@@ -247,42 +248,48 @@ def single_windows(source: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class SuffixIndex:
-    """The tables of the batches seen so far, at most one of each size class."""
+    """The tables of the batches seen so far, at most one of each size class, each in a folder of its own."""
 
     def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, str]] = []
+
+    def _read(self, spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.schema(_TABLE).parquet(path)
 
     def add(self, batch: DataFrame, texts: DataFrame, more: bool = True) -> DataFrame:
-        """(doc, place) of the repeated windows of a batch whose ids are greater than those before it.
+        """(doc, place) of the repeated windows of a batch whose ids are greater than those before it, in the shared folder.
 
         `batch` and `texts` are frames of `_source`; `texts` holds the batch and all earlier ones, for the edges of matches.
         The batch's own table is kept only if `more` batches are to come.
         """
-        rows = merge_scan([suffix_table(batch), *(t for _, t in self.levels)])
-        if more:
-            rows = stage(rows, "suffixes")
-        marks = stage(rows.filter("kind > 0").select("doc", "place", "kind"), "marks")
-        release(batch.sparkSession)
+        spark = batch.sparkSession
+        rows = merge_scan([suffix_table(batch), *(self._read(spark, path) for _, path in self.levels)])
+        # Of earlier batches only the edges count: their firsts have a table, their repeats have been told before
+        earliest = batch.agg(F.min("doc")).first()[0] if self.levels else None
+        new = F.lit(True) if earliest is None else F.col("doc") >= F.lit(earliest)
+        kept = rows.filter((F.col("kind") == 2) | new)
+        scanned = write_stage(kept if more else kept.filter("kind > 0").select("doc", "place", "kind"), "suffixes")
+        release(spark)
+        marks = spark.read.schema("doc bigint, place bigint, kind tinyint").parquet(scanned)
         later, edges = (marks.filter(f"kind = {k}").select("doc", "place") for k in (1, 2))
-        found = later.union(single_windows(texts, edges))
-        old = None
-        for _, table in self.levels:
-            old = table if old is None else old.union(table)
-        if old is not None:  # places of earlier batches have been told before
-            earliest = batch.agg(F.min("doc")).first()[0]
-            found = found.filter(F.col("doc") >= F.lit(earliest)) if earliest is not None else found
+        found = stage(later.union(single_windows(texts, edges).filter(new)), "places")
         if more:
-            fresh = rows.filter("kind = 0").drop("kind")
-            self._insert(fresh if old is None else fresh.join(old, ["suffix", "context", "doc", "place"], "left_anti"))
+            self._insert(spark, spark.read.schema(_TABLE + ", kind tinyint").parquet(scanned).filter("kind = 0").drop("kind"))
+        remove(spark, scanned)
+        release(spark)
         return found
 
-    def _insert(self, table: DataFrame) -> None:
-        size = 0
-        while any(k == size for k, _ in self.levels):
-            table = table.union(next(t for k, t in self.levels if k == size))
-            self.levels = [(k, t) for k, t in self.levels if k != size]
-            size += 1
-        self.levels.append((size, stage(table, "level") if size or self.levels else table))
+    def _insert(self, spark: SparkSession, table: DataFrame) -> None:
+        size, merged = 0, []
+        for k, path in sorted(self.levels):
+            if k == size:
+                table = table.union(self._read(spark, path))
+                merged.append(path)
+                size += 1
+        written = write_stage(table, "level")
+        self.levels = [(k, path) for k, path in self.levels if path not in merged] + [(size, written)]
+        for path in merged:
+            remove(spark, path)
 
 
 def repeated_places(documents: DataFrame, id: str = "doc_id", text: str = "text", batches: int = 1) -> DataFrame:
@@ -299,7 +306,7 @@ def repeated_places(documents: DataFrame, id: str = "doc_id", text: str = "text"
     for low, high in zip(bounds[:-1], bounds[1:]):
         upto = source.filter(F.col("doc") < high) if high is not None else source
         batch = upto.filter(F.col("doc") >= low) if low is not None else upto
-        places = stage(index.add(batch, upto, more=high is not None), "places")
+        places = index.add(batch, upto, more=high is not None)
         found = places if found is None else found.union(places)
     return found
 
@@ -323,8 +330,7 @@ def remove_repeats(documents: DataFrame, id: str = "doc_id", text: str = "text",
     """
     kind = documents.schema[id].dataType.simpleString()
     source = _source(documents, id, text)
-    places = stage(repeated_places(documents, id, text, batches), "places")
-    release(documents.sparkSession)
+    places = repeated_places(documents, id, text, batches)
 
     def run(batches):
         for rows, texts in T.text_blocks(batches, "text", BLOCK_BYTES):
