@@ -12,6 +12,7 @@ import re
 import unicodedata
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from tickloom.llm import (
     suffix_dedup, unigram_counts, urls,
 )
 from tickloom.llm.queries import PIECES, WORD_BPE
+from tickloom.sources import folders
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key bigint, label string, shard int, n bigint, a bigint, kept string"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -396,6 +398,33 @@ def test_suffix_query_scans_and_merges_tables(spark, monkeypatch, tmp_path):
     assert collections.Counter(got) == collections.Counter(suffix_dedup.repeats_digest(frame).collect()) and sum(r["n_removed"] for r in got) > 0
 
 
+def test_suffix_scan_sorts_by_suffix_and_tells_old_edges_once(spark, tmp_path):
+    rows = [(1, 1, 5, 1), (1, 2, 6, 1), (2, 1, 5, 2), (2, 2, 7, 2), (3, 1, 6, 3), (3, 1, 8, 3), (4, 1, 5, 4), (4, 2, 6, 4), (4, 2, 9, 4),
+            (5, 1, 5, 5), (5, 2, 8, 5), (5, 3, 6, 5), (6, 1, 7, 6)]
+    table = spark.createDataFrame([(*r, False) for r in rows], "suffix bigint, context bigint, doc bigint, place bigint, known boolean").coalesce(1)
+    scanned = suffix_dedup.merge_scan([table], floor=6, earliest=7)
+    sorts = re.findall(r"Sort \[(\w+)#", scanned._jdf.queryExecution().toString())
+    assert sorts and set(sorts) == {"suffix"}  # the sort compares numbers, not rows
+    got = collections.defaultdict(set)
+    batch = pa.record_batch([pa.array([r[k] for r in rows]) for k in range(4)] + [pa.array([False] * len(rows))],
+                            ["suffix", "context", "doc", "place", "known"])
+    for out in suffix_dedup._scan([batch.slice(0, 0), batch], 6, 7):
+        for r in out.to_pylist():
+            got[r["kind"]].add((r["doc"], r["place"]))
+            assert (r["suffix"] is None) == (r["kind"] > 0)
+    assert got[0] == {(d, p) for _, _, d, p in rows if d >= 6} - {(8, 3), (9, 4)} and got[1] == {(8, 3), (9, 4)}
+    assert got[2] == {(5, 2), (7, 2), (5, 5), (8, 5), (6, 5)}  # suffixes 1 and 4 have no first of the batch
+
+
+def test_suffix_tables_are_gone_behind_the_last_batch(spark, monkeypatch):
+    written, write = [], suffix_dedup.write_stage
+    monkeypatch.setattr(suffix_dedup, "write_stage", lambda *a, **k: (written.append(write(*a, **k)), written[-1])[1])
+    data = [(k, f"{prose(8000 + k, 30)} {prose(8900, 40)}") for k in range(12)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(data, "doc_id bigint, text string"), batches=4).collect()
+    assert len(got) == 12 and sum(r["n_removed"] > 0 for r in got) == 11
+    assert len(written) == 4 and not any(folders.matching(spark, path) for path in written)  # one table a batch, none written again
+
+
 def test_greedy_tiling(spark, odd, none):
     item, other = prose(31, 40), prose(32, 40)
     shuffled = " ".join(" ".join(item.split()[k:k + 10]) for k in (30, 0, 20, 10))

@@ -101,6 +101,9 @@ def _source(documents: DataFrame, id: str, text: str) -> DataFrame:
 
 _TABLE = "suffix bigint, context bigint, doc bigint, place bigint"
 _COLUMNS = ["suffix", "context", "doc", "place"]
+_MARKED = _TABLE + ", kind tinyint"
+#: Smallest id, and one above all that can stand in a table.
+_LEAST, _NONE = -(1 << 63), (1 << 63) - 1
 
 
 def suffix_table(source: DataFrame) -> DataFrame:
@@ -124,17 +127,26 @@ def suffix_table(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, _TABLE + ", known boolean")
 
 
-def _scan(batches):
+def _scan(batches, floor: int, earliest: int):
     """Over rows sorted by suffix, context, doc, place: (row, kind), kind 0 for the first of a context, 1 for a later one, and 2,
-    beside 0, for the first of a context whose suffix has other contexts too."""
+    beside 0, for the first of a context whose suffix has other contexts too. Firsts below the id `floor` are left out; rows of
+    kind 1 and 2 are places only, without hashes. Ids below `earliest` belong to earlier batches: a suffix all of whose firsts do
+    has been told before and gives no rows of kind 2 (it may where its rows reach into another batch of the stream)."""
     before = head = None  # last row; the first row of the open suffix, until it is known whether it has other contexts
     several = False
-    names = [*_COLUMNS, "kind"]
+
+    def marked(firsts, later, edges):
+        places = np.concatenate([x[2:] for x in (firsts, *later, *edges)], 1)
+        counts = [firsts.shape[1], sum(x.shape[1] for x in later), sum(x.shape[1] for x in edges)]
+        hashes = [pa.concat_arrays([pa.array(x), pa.nulls(counts[1] + counts[2], pa.int64())]) for x in firsts[:2]]
+        return pa.RecordBatch.from_arrays([*hashes, *(pa.array(x) for x in places), pa.array(np.repeat(np.arange(3, dtype=np.int8), counts))],
+                                          [*_COLUMNS, "kind"])
+
     for batch in batches:
         rows = np.stack([batch.column(k).to_numpy() for k in range(4)])
         known = batch.column(4).to_numpy(zero_copy_only=False)
         if known.any():
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in rows[:, known]), pa.array(np.ones(int(known.sum()), np.int8))], names)
+            yield marked(rows[:, :0], [rows[:, known]], [])
             rows = rows[:, ~known]
         if not rows.shape[1]:
             continue
@@ -155,29 +167,30 @@ def _scan(batches):
         heads = np.flatnonzero(new_suffix)
         group = np.cumsum(new_suffix) - 1  # -1: the suffix that was open before this batch
         with_others = np.bincount(group[others] + 1, minlength=len(heads) + 1) > 0
-        out = [(rows[:, new_context], 0), (rows[:, later], 1), (rows[:, others], 2), (rows[:, heads[with_others[1:]]], 2)]
+        now = np.bincount(group[new_context & (rows[2] >= earliest)] + 1, minlength=len(heads) + 1) > 0
+        now[0] = now[-1] = True  # the open ones
+        edges = [rows[:, others & now[group + 1]], rows[:, heads[(with_others & now)[1:]]]]
         if head is not None and with_others[0] and not several:
-            out.append((head[:, None], 2))
+            edges.append(head[:, None])
         if len(heads):
             head, several = rows[:, heads[-1]].copy(), bool(with_others[-1])
         else:
             several = several or bool(with_others[0])
-        kinds = np.concatenate([np.full(r.shape[1], k, np.int8) for r, k in out])
-        part = np.concatenate([r for r, _ in out], 1)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in part), pa.array(kinds)], names)
+        yield marked(rows[:, new_context & (rows[2] >= floor)], [rows[:, later]], edges)
 
 
-def merge_scan(tables: list[DataFrame]) -> DataFrame:
-    """All rows of the tables with their kind (see `_scan`); one shuffle by suffix, and groups are streamed, not gathered.
+def merge_scan(tables: list[DataFrame], floor: int = _LEAST, earliest: int = _LEAST) -> DataFrame:
+    """Rows of the tables with their kind (see `_scan`); one shuffle by suffix, and groups are streamed, not gathered.
 
-    Known rows pass through it, dealt out by their place: a passage that fills the table is then a row of each block.
+    Known rows pass through it, dealt out by their place: a passage that fills the table is then a row of each block. They are
+    sorted along with the others, as the sort compares the numbers of its first column before it looks into any row.
     """
     rows = tables[0]
     for other in tables[1:]:
         rows = rows.union(other.select(*_COLUMNS, F.lit(False).alias("known")))
     dealt = F.when(F.col("known"), F.xxhash64("doc", "place")).otherwise(F.col("suffix"))
-    ordered = rows.repartition(dealt).sortWithinPartitions("known", *_COLUMNS)
-    return ordered.mapInArrow(_scan, _TABLE + ", kind tinyint")
+    ordered = rows.repartition(dealt).sortWithinPartitions(*_COLUMNS)
+    return ordered.mapInArrow(lambda batches: _scan(batches, floor, earliest), _MARKED)
 
 
 def _first_or_later(batches):
@@ -248,48 +261,51 @@ def single_windows(source: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 class SuffixIndex:
-    """The tables of the batches seen so far, at most one of each size class, each in a folder of its own."""
+    """The tables of the batches seen so far, at most one of each size class, each in a folder of its own.
+
+    A folder holds what the scan of its last batch wrote: the firsts of all batches that its size class stands for.
+    """
 
     def __init__(self):
         self.levels: list[tuple[int, str]] = []
+        self.earliest: dict[str, int] = {}
 
     def _read(self, spark: SparkSession, path: str) -> DataFrame:
-        return spark.read.schema(_TABLE).parquet(path)
+        return spark.read.schema(_MARKED).parquet(path).filter("kind = 0").select(*_COLUMNS)
 
     def add(self, batch: DataFrame, texts: DataFrame, more: bool = True) -> DataFrame:
         """(doc, place) of the repeated windows of a batch whose ids are greater than those before it, in the shared folder.
 
         `batch` and `texts` are frames of `_source`; `texts` holds the batch and all earlier ones, for the edges of matches.
-        The batch's own table is kept only if `more` batches are to come.
+        The batch's own table is kept only if `more` batches are to come, and no table behind the last. Tables of equal size
+        are merged by the scan itself: it meets their rows anyway, and as their ids are the last ones, all firsts from the
+        earliest of them on are written.
         """
         spark = batch.sparkSession
-        rows = merge_scan([suffix_table(batch), *(self._read(spark, path) for _, path in self.levels)])
-        # Of earlier batches only the edges count: their firsts have a table, their repeats have been told before
-        earliest = batch.agg(F.min("doc")).first()[0] if self.levels else None
-        new = F.lit(True) if earliest is None else F.col("doc") >= F.lit(earliest)
-        kept = rows.filter((F.col("kind") == 2) | new)
-        scanned = write_stage(kept if more else kept.filter("kind > 0").select("doc", "place", "kind"), "suffixes")
-        release(spark)
-        marks = spark.read.schema("doc bigint, place bigint, kind tinyint").parquet(scanned)
-        later, edges = (marks.filter(f"kind = {k}").select("doc", "place") for k in (1, 2))
-        found = stage(later.union(single_windows(texts, edges).filter(new)), "places")
-        if more:
-            self._insert(spark, spark.read.schema(_TABLE + ", kind tinyint").parquet(scanned).filter("kind = 0").drop("kind"))
-        remove(spark, scanned)
-        release(spark)
-        return found
-
-    def _insert(self, spark: SparkSession, table: DataFrame) -> None:
+        earliest = batch.agg(F.coalesce(F.min("doc"), F.lit(_NONE))).first()[0] if self.levels else _LEAST
         size, merged = 0, []
         for k, path in sorted(self.levels):
             if k == size:
-                table = table.union(self._read(spark, path))
                 merged.append(path)
                 size += 1
-        written = write_stage(table, "level")
-        self.levels = [(k, path) for k, path in self.levels if path not in merged] + [(size, written)]
+        floor = min([earliest, *(self.earliest[path] for path in merged)]) if more else _NONE
+        rows = merge_scan([suffix_table(batch), *(self._read(spark, path) for _, path in self.levels)], floor, earliest)
+        scanned = write_stage(rows, "suffixes", **{"parquet.enable.dictionary": "false"})  # hashes and places do not repeat
+        if not more:
+            for _, path in self.levels:
+                remove(spark, path)
+            self.levels, merged = [], [scanned]
+        release(spark)
+        marks = spark.read.schema(_MARKED).parquet(scanned).select("doc", "place", "kind")
+        later, edges = (marks.filter(f"kind = {k}").select("doc", "place") for k in (1, 2))
+        found = stage(later.union(single_windows(texts, edges).filter(F.col("doc") >= F.lit(earliest))), "places")
+        if more:
+            self.levels = [(k, path) for k, path in self.levels if path not in merged] + [(size, scanned)]
+            self.earliest[scanned] = floor
         for path in merged:
             remove(spark, path)
+        release(spark)
+        return found
 
 
 def repeated_places(documents: DataFrame, id: str = "doc_id", text: str = "text", batches: int = 1) -> DataFrame:

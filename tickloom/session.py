@@ -49,10 +49,10 @@ def checkpoint_location(spark: SparkSession, label: str | None = None) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{label or uuid.uuid4().hex}"
 
 
-def write_stage(df: DataFrame, label: str = "stage") -> str:
+def write_stage(df: DataFrame, label: str = "stage", **options: str) -> str:
     """Write a table to a new folder below the shared one; returns the folder."""
     path = checkpoint_location(df.sparkSession, f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return path
 
 
