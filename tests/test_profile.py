@@ -139,6 +139,21 @@ def test_correlation_may_take_longer_than_a_broadcast(spark):
     assert found == [("x", "y", 1.0)]
 
 
+def test_correlation_with_one_value_only(spark):
+    """NaN, as the SQL form has it: alone, with a value that tasks' means miss by a bit, and only where the other side is present."""
+    rows = [(0.0, 0.1 * 3, float(k), 5.0 if k % 2 else float(k), None if k % 2 == 0 else 2.0 * k, 1e-200 * k) for k in range(343)]
+    made = spark.createDataFrame(rows, "zero double, flat double, x double, half double, odd double, tiny double").repartition(7)
+    found = {(r["col_a"], r["col_b"]): r["r"] for r in P.correlation(made).collect()}
+    assert len(found) == 15
+    assert all(math.isnan(r) for pair, r in found.items() if {"zero", "flat", "tiny"} & {*pair} or pair == ("half", "odd"))
+    assert math.isclose(found["x", "odd"], 1.0) and math.isclose(
+        found["x", "half"], np.corrcoef([r[2] for r in rows], [r[3] for r in rows])[0, 1])
+    high = [(r["col_a"], r["col_b"]) for r in P.high_correlation(made, ["zero", "x", "odd"]).collect()]
+    assert sorted(high) == [("x", "odd"), ("zero", "odd"), ("zero", "x")]
+    one = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    assert [tuple(r) for r in P.correlation(one).collect()] == [("x", "y", None)]
+
+
 def test_histogram_matches_numpy(df, frame):
     found = sorted((r["column"], r["bin"], r["n"]) for r in P.histogram(df, ["a", "c", "d"], 20).collect())
     want = []

@@ -18,9 +18,6 @@ from tickloom.operators.quantiles import exact_quantiles, long_form, number, qua
 from tickloom.operators.quality import null_counts
 from tickloom.schemas import BINS, HIGH_CORRELATION, IQR_REACH, SKEW_LABELS, TAIL_LABELS, Z_LIMIT
 
-#: Columns of a block whose correlations with another block are one aggregate.
-SIDE = 4
-
 Stat = Callable[[Column], Column]
 
 
@@ -244,33 +241,35 @@ def qq(df: DataFrame, column: str, points: int = 99) -> DataFrame:
 
 # -- relations -------------------------------------------------------------------------------
 
+def pearson(x: Column, y: Column) -> Column:
+    """Pearson r of rows that have both; NULL below two of them, NaN, as in SQL engines, if one side has one value only.
+
+    F.corr divides by zero there, an error in ANSI mode. Deviations that are merged from several tasks need not be exactly
+    zero, so equal values are told by their ends.
+    """
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)) & (spread > 0)
+    return F.when(F.count(x) > 1, F.when(varies, F.covar_pop(x, y) / spread).otherwise(F.lit(float("nan"))))
+
+
 def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson r of every pair of table columns over rows where both are present.
 
-    Columns go in blocks, and each row gives one row per pair of blocks. So one scan does for any number of columns,
-    and the aggregate is the SIDE * SIDE correlations of two blocks, which Spark compiles. Only the names are broadcast: a
-    broadcast of the correlations would have the whole scan inside it, and Spark gives up a broadcast after some minutes.
+    Each row gives one row per pair, and the aggregate is that of one pair. So one scan does for any number of columns,
+    and what Spark compiles stays small. Only the names are broadcast: a broadcast of the correlations would have the whole
+    scan inside it, and Spark gives up a broadcast after some minutes.
     """
     chosen = list(columns or numeric_columns(df))
-    blocks = [chosen[i:i + SIDE] for i in range(0, len(chosen), SIDE)]
-    pairs = [(a, b) for i, a in enumerate(blocks) for b in blocks[i:]]
-    wanted = [(k, i, j, x, y) for k, (a, b) in enumerate(pairs) for i, x in enumerate(a) for j, y in enumerate(b)
-              if chosen.index(x) < chosen.index(y)]
-    names = df.sparkSession.createDataFrame(wanted, "pair int, i int, j int, col_a string, col_b string")
-    none = F.lit(None).cast("double")
-    cells = [(i, j) for i in range(SIDE) for j in range(SIDE)]
-    numbers = df.select(*[number(c).alias(f"c{i}") for i, c in enumerate(chosen)])
-    value = {c: F.col(f"c{i}") for i, c in enumerate(chosen)}
-    rows = numbers.select(F.inline(F.array(*[
-        F.struct(F.lit(k).alias("pair"), *[(value[p[i]] if i < len(p) else none).alias(f"{side}{i}") for side, p in zip("ab", pair) for i in range(SIDE)])
-        for k, pair in enumerate(pairs)])))
-    # One row more per pair of blocks, which counts nothing, so that a table without rows has every pair too
-    every = df.sparkSession.createDataFrame([(k,) for k in range(len(pairs))], "pair int").select(
-        "pair", *[none.alias(f"{side}{i}") for side in "ab" for i in range(SIDE)])
-    found = rows.unionByName(every).groupBy("pair").agg(*[F.corr(f"a{i}", f"b{j}").alias(f"r{i}_{j}") for i, j in cells])
-    found = found.select("pair", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in cells])))
-    return found.join(F.broadcast(names), ["pair", "i", "j"]).select("col_a", "col_b", "r")
+    wanted = [(i * len(chosen) + j, chosen[i], chosen[j]) for i in range(len(chosen)) for j in range(i + 1, len(chosen))]
+    names = df.sparkSession.createDataFrame(wanted, "pair int, col_a string, col_b string")
+    pairs = F.array(*[F.lit(k) for k, _, _ in wanted]).cast("array<int>")
+    values = df.select(F.array(*[number(c) for c in chosen]).alias("values")).select("values", F.explode(pairs).alias("pair"))
+    place = {"x": F.expr(f"pair div {max(len(chosen), 1)}"), "y": F.col("pair") % max(len(chosen), 1)}
+    rows = values.select("pair", *[F.get("values", at.cast("int")).alias(side) for side, at in place.items()]).dropna()
+    found = rows.groupBy("pair").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    # One row more per pair, so that one without rows is there too; added before the aggregate it would slow the scan
+    found = found.unionByName(names.select("pair", F.lit(None).cast("double").alias("r"))).groupBy("pair").agg(F.max("r").alias("r"))
+    return found.join(F.broadcast(names), "pair").select("col_a", "col_b", "r")
 
 
 def high_correlation(df: DataFrame, columns: Sequence[str] | None = None,
