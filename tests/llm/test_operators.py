@@ -7,6 +7,7 @@ are those the operators use themselves.
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import unicodedata
@@ -21,6 +22,7 @@ from tickloom.llm import (
     suffix_dedup, unigram_counts, urls,
 )
 from tickloom.llm.queries import PIECES, WORD_BPE
+from tickloom.session import checkpoint_root
 from tickloom.sources import folders
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key bigint, label string, shard int, n bigint, a bigint, kept string"
@@ -359,6 +361,36 @@ def test_sets_too_far_from_their_group_are_not_paired(spark, monkeypatch):
     assert "met" in counts and counts["met"] < len(data)
 
 
+def test_texts_that_share_a_wording_by_chance_are_not_counted(spark, monkeypatch):
+    r, counts, stage = random.Random(7), collections.Counter(), jaccard_join.stage
+    phrases, data = [prose(7000 + k, 4) for k in range(20)], []
+    for k in range(120):
+        words = prose(7100 + k, 48).split()
+        for at, phrase in zip((8, 16, 24, 32, 40), r.sample(phrases, 5)):
+            words[at] = phrase
+        data.append((k, " ".join(words)))
+
+    def counting(df, label="stage"):
+        made = stage(df, label)
+        counts[label] += made.count()
+        return made
+
+    monkeypatch.setattr(jaccard_join, "stage", counting)
+    got = jaccard_join.similar_documents(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert {(x["doc_id"], x["component_id"]) for x in got} == {(d, d) for d, _ in data}
+    assert counts["met"] == 0, "each pair would be joined with all tokens of a prefix"
+
+
+def test_the_join_leaves_only_what_its_result_reads(spark):
+    base = [prose(8000 + k, 60) for k in range(20)]
+    data = [(k, t) for k, t in enumerate([*base, *[t + " one" for t in base], *[t.replace(" ", " two ", 1) for t in base]])]
+    frame, folder = spark.createDataFrame(data, "doc_id bigint, text string"), checkpoint_root(spark)
+    before = set(os.listdir(folder))
+    assert len(jaccard_join.one_of_each_group(frame).collect()) == len(base)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"sets", "candidates", "buckets", "bucket-rows"} and {"shingles", "dropped"} <= left
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 200), (300, 200)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

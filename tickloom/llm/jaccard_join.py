@@ -16,14 +16,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tickloom.llm import text as T
 from tickloom.llm.components import connected_components
-from tickloom.llm.session import shielded
-from tickloom.session import stage
+from tickloom.llm.session import release, shielded
+from tickloom.session import stage, staged
 
 #: Bits of the cell of a token: how many sets hold a token is counted by cells, over all documents, in fixed space (a byte
 #: per cell and task). The counts decide the order in which tokens are looked at and nothing else; any order gives the same links.
@@ -32,6 +32,8 @@ CELL_BITS = 20
 CELL_PARTS = 16
 #: Tokens go last in the first order whose cell counts so many times the mean of all cells, and so many more.
 FREQUENT_TIMES, FREQUENT_MORE = 2, 64
+#: Pairs of different components are counted only if they meet at so many tokens, or at all that they have to share if that is fewer.
+MEETINGS = 4
 #: Seeds of the orders besides the first.
 OTHER_ORDERS = (2, 3)
 #: Bits of the filter that tells which rows are to be read again, and which sets are to be sent (2 MB).
@@ -193,14 +195,21 @@ def buckets(tokens: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_shared, "token bigint, key bigint, n bigint, place bigint, hub bigint, hub_n bigint")
 
 
-def may_link(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, a_n, b_n, shared) whose sizes and number of shared prefix tokens allow the similarity.
+def least_overlap(a: str, b: str, percent: int) -> Column:
+    """How many tokens two sets of the sizes a and b share at least if they are similar."""
+    return F.expr(f"(({a} + {b}) * {percent} + {99 + percent}) div {100 + percent}")
 
-    The set whose prefix ends first in the order misses all its prefix tokens that are not shared.
-    """
-    possible = F.greatest(F.expr(f"(a_n * {percent} + 99) div 100"), F.expr(f"(b_n * {percent} + 99) div 100")) - 1 + F.col("shared")
+
+def least_shared(a: str, b: str, percent: int) -> Column:
+    """How many of them are in both prefixes: the set whose prefix ends first in the order misses all its prefix tokens that are not shared."""
+    behind = F.greatest(*[F.expr(f"({n} * {percent} + 99) div 100") for n in (a, b)]) - 1
+    return least_overlap(a, b, percent) - behind
+
+
+def may_link(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, a_n, b_n, shared) whose sizes and number of shared prefix tokens allow the similarity."""
     return pairs.filter((F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-                        & (possible * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))))
+                        & (F.col("shared") >= least_shared("a_n", "b_n", percent)))
 
 
 def order_prefixes(tokens: np.ndarray, percent: int) -> bytes:
@@ -254,11 +263,12 @@ def _passing(batches, column: str, bits: np.ndarray):
 
 
 def verified(pairs: DataFrame, source: DataFrame, holders: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, a_n, b_n) that are similar.
+    """(a, b) of the pairs (a, b, a_n, b_n) that are similar, in the shared folder.
 
     Of each set that a pair names one row is read again. Prefixes under the other orders meet first; whole sets are sent
-    for pairs that pass under all of them.
+    for pairs that pass under all of them. What a step no longer needs goes at once, and so do its shuffle files.
     """
+    spark = source.sparkSession
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     reread = _filter_of(holders.join(named, "key").select("row"))
 
@@ -289,11 +299,17 @@ def verified(pairs: DataFrame, source: DataFrame, holders: DataFrame, words: int
         return left
 
     numbered = source.withColumn("__row", F.xxhash64("__id"))
-    sets = stage(numbered.mapInArrow(read, "key bigint, orders binary, tokens binary"), "sets")
-    candidates = stage(with_both(pairs.select("a", "b", "a_n", "b_n"), sets, "orders").mapInArrow(intersect, "a bigint, b bigint"), "candidates")
-    wanted = _filter_of(candidates.select(F.explode(F.array("a", "b")).alias("key")))
-    sent = sets.select("key", "tokens").mapInArrow(lambda batches: _passing(batches, "key", wanted.value), "key bigint, tokens binary")
-    return with_both(candidates, sent, "tokens").mapInArrow(check, "a bigint, b bigint")
+    made = numbered.mapInArrow(read, "key bigint, orders binary, tokens binary")
+    with staged(made, "sets") as sets:
+        release(spark)
+        met = with_both(pairs.select("a", "b", "a_n", "b_n"), sets, "orders").mapInArrow(intersect, "a bigint, b bigint")
+        with staged(met, "candidates") as candidates:
+            release(spark)
+            wanted = _filter_of(candidates.select(F.explode(F.array("a", "b")).alias("key")))
+            sent = sets.select("key", "tokens").mapInArrow(lambda batches: _passing(batches, "key", wanted.value), "key bigint, tokens binary")
+            links = stage(with_both(candidates, sent, "tokens").mapInArrow(check, "a bigint, b bigint"), "links")
+    release(spark)
+    return links
 
 
 def hub_pairs(index: DataFrame) -> DataFrame:
@@ -303,34 +319,42 @@ def hub_pairs(index: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(index: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components: the sets outside the hub's component with all others.
+    """Pairs of a bucket that lie in different components: the sets outside the hub's component with all others; in the shared folder.
 
-    A pair is met at the first token that its sets share: all they share stands from there on in both, so a bucket gives
-    only pairs of which enough is left behind the token. What is rare in a near copy stands before the wording of its
-    group, so sets too far from the group do not meet it. The tokens that a pair shares are counted afterwards.
+    A pair is met at the first tokens that its sets share: all they share stands from the first of them on in both, so a bucket
+    gives only pairs of which enough is left behind the token. What is rare in a near copy stands before the wording of its
+    group, so sets too far from the group do not meet it. Texts that share a wording by chance meet at a token or two, and ever
+    more of them do in a greater table; only of pairs that meet MEETINGS times the shared tokens are counted, which takes a row per token.
     """
     named = labels.withColumnsRenamed({"node": "key", "label": "found"})
     of_hub = labels.withColumnsRenamed({"node": "hub", "label": "hub_found"})
-    rows = (index.join(named, "key", "left").join(of_hub, "hub", "left")
-            .select("token", "key", "n", "place", F.coalesce("found", "key").alias("c"), F.coalesce("hub_found", "hub").alias("main")))
-    rows = stage(rows, "bucket-rows")
-    # A set's partners are at most one class of size away; the step is a little wider than the similarity asks for
-    sized = rows.withColumn("size", F.floor(F.ln("n") / F.ln(F.lit(100.1 / percent))))
-    outside = sized.filter(F.col("c") != F.col("main")).select(
-        "token", F.col("key").alias("u"), F.col("n").alias("u_n"), F.col("place").alias("u_place"), F.col("c").alias("u_c"),
-        F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
-    near = (F.least("u_n", "n") * 100 >= F.greatest("u_n", "n") * percent)
-    left = F.least(F.col("u_n") - F.col("u_place"), F.col("n") - F.col("place"))
-    enough = left * (100 + percent) >= percent * (F.col("u_n") + F.col("n"))
-    met = outside.join(sized, ["token", "size"]).filter(
-        (F.col("u_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("u") < F.col("key"))) & near & enough)
-    swap = F.col("u") > F.col("key")
-    pairs = stage(met.groupBy(F.least("u", "key").alias("a"), F.greatest("u", "key").alias("b")).agg(
-        F.first(F.when(swap, F.col("n")).otherwise(F.col("u_n"))).alias("a_n"),
-        F.first(F.when(swap, F.col("u_n")).otherwise(F.col("n"))).alias("b_n")), "met")
-    one, other = (rows.select("token", F.col("key").alias(side)) for side in "ab")
-    return pairs.join(one, "a").join(other, ["b", "token"]).groupBy("a", "b").agg(
-        F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count(F.lit(1)).alias("shared"))
+    placed = (index.join(named, "key", "left").join(of_hub, "hub", "left")
+              .select("token", "key", "n", "place", F.coalesce("found", "key").alias("c"), F.coalesce("hub_found", "hub").alias("main")))
+    with staged(placed, "bucket-rows") as rows:
+        release(index.sparkSession)
+        # A set's partners are at most one class of size away; the step is a little wider than the similarity asks for
+        sized = rows.withColumn("size", F.floor(F.ln("n") / F.ln(F.lit(100.1 / percent))))
+        outside = sized.filter(F.col("c") != F.col("main")).select(
+            "token", F.col("key").alias("u"), F.col("n").alias("u_n"), F.col("place").alias("u_place"), F.col("c").alias("u_c"),
+            F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)).alias("size"))
+        near = (F.least("u_n", "n") * 100 >= F.greatest("u_n", "n") * percent)
+        left = F.least(F.col("u_n") - F.col("u_place"), F.col("n") - F.col("place"))
+        # Before its k-th shared token a pair shares k - 1; as many meetings as asked for below are made
+        meetings = lambda a, b: F.least(F.lit(MEETINGS), least_shared(a, b, percent))
+        enough = left + meetings("u_n", "n") - 1 >= least_overlap("u_n", "n", percent)
+        met = outside.join(sized, ["token", "size"]).filter(
+            (F.col("u_c") != F.col("c")) & ((F.col("c") == F.col("main")) | (F.col("u") < F.col("key"))) & near & enough)
+        swap = F.col("u") > F.col("key")
+        pairs = stage(met.groupBy(F.least("u", "key").alias("a"), F.greatest("u", "key").alias("b")).agg(
+            F.first(F.when(swap, F.col("n")).otherwise(F.col("u_n"))).alias("a_n"),
+            F.first(F.when(swap, F.col("u_n")).otherwise(F.col("n"))).alias("b_n"),
+            F.count(F.lit(1)).alias("times")).filter(F.col("times") >= meetings("a_n", "b_n")), "met")
+        release(index.sparkSession)
+        one, other = (rows.select("token", F.col("key").alias(side)) for side in "ab")
+        counted = stage(may_link(pairs.join(one, "a").join(other, ["b", "token"]).groupBy("a", "b").agg(
+            F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.count(F.lit(1)).alias("shared")), percent), "pairs")
+    release(index.sparkSession)
+    return counted
 
 
 def similar_documents(documents: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -348,12 +372,16 @@ def similar_documents(documents: DataFrame, id: str = "doc_id", text: str = "tex
     described = written.filter(F.col("part").isNull()).select("id", "n", "key")
     frequent = spark.sparkContext.broadcast(frequent_cells(written))
     holders = described.groupBy("key").agg(F.min(F.xxhash64("id")).alias("row"))
-    index = stage(buckets(prefix_tokens(source, words, percent, frequent)), "buckets")
-    first = stage(verified(stage(may_link(hub_pairs(index), percent), "pairs"), source, holders, words, percent), "links")
-    labels = connected_components(first)
-    rest = stage(may_link(remaining_pairs(index, labels, percent), percent), "pairs")
+    tokens = prefix_tokens(source, words, percent, frequent)
+    with staged(buckets(tokens), "buckets") as index:
+        release(spark)
+        with staged(may_link(hub_pairs(index), percent), "pairs") as pairs:
+            release(spark)
+            links = verified(pairs, source, holders, words, percent)
+        labels = connected_components(links)
+        rest = remaining_pairs(index, labels, percent)
     if not rest.isEmpty():
-        labels = connected_components(first.union(verified(rest, source, holders, words, percent)))
+        labels = connected_components(links.union(verified(rest, source, holders, words, percent)))
     rows = described.select("id", "n", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
         "id", "n", F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label"))
     names = rows.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("smallest"))
